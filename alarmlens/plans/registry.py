@@ -1,4 +1,5 @@
 """All registered queries of the library and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .evaluation import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
