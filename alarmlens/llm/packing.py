@@ -145,14 +145,19 @@ def _open(pieces: DataFrame, capacity: int, buckets: int) -> DataFrame:
     first = counts.join(classes, "size").select("size", "bucket", "base", "in_class")
     start = F.col("base") + (F.col("in_class") + F.col("rank") - 1) * F.col("size")
     laid = ranked.join(first, ["size", "bucket"]).select("id", "size", start.alias("from"))
-    at = F.col("from") % capacity
-    fits = at + F.col("size") <= capacity
-    return laid.select("id", "size", F.when(fits, F.floor(F.col("from") / capacity)).alias("mate"), F.when(fits, at).alias("at"))
+    laid = laid.withColumn("number", F.floor(F.col("from") / capacity)).withColumn("at", F.col("from") % capacity)
+    fits = F.col("at") + F.col("size") <= capacity
+    # the piece that crosses into a sequence leaves its start free: the others move up
+    lead = F.min(F.when(fits, F.col("at"))).over(W.partitionBy("number"))
+    return laid.select("id", "size", F.when(fits, F.col("number")).alias("mate"), F.when(fits, F.col("at") - lead).alias("at"))
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, rows_per_bucket: int = 2_000_000, most_rounds: int = 400) -> DataFrame:
-    """Place ``pieces`` (id long, unique; size long from 1 to ``capacity``): one row each (id, sequence_id, offset)."""
-    total = pieces.count()
+def pack(pieces: DataFrame, capacity: int = CAPACITY, rows_per_bucket: int = 2_000_000, most_rounds: int = 400, few: float = 0.1, share: float = 0.3, rest: float = 0.005) -> DataFrame:
+    """Place ``pieces`` (id long, unique; size long from 1 to ``capacity``): one row each (id, sequence_id, offset).
+
+    A sweep that places less than ``few`` of what is left is the last before sequences are opened for pieces longer
+    than ``share`` of the longest, or for all once they make up no more than ``rest`` of all tokens."""
+    total, tokens = pieces.agg(F.count("*"), F.sum("size")).first()
     if not total:
         return pieces.select("id", F.lit(None).cast("long").alias("sequence_id"), F.lit(None).cast("long").alias("offset"))
     buckets = max(4, total // rows_per_bucket)
@@ -161,7 +166,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rows_per_bucket: int = 2_0
     gaps = large.select("id", (F.lit(capacity) - F.col("size")).alias("size")).filter("size > 0")
     left = pieces.filter(F.col("size") * 2 <= capacity)
     opened = 0
-    least, most = left.agg(F.min("size"), F.max("size")).first()
+    waiting, least, most, weight = left.agg(F.count("*"), F.min("size"), F.max("size"), F.sum("size")).first()
     for _ in range(most_rounds):
         if most is None:
             break
@@ -169,20 +174,22 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rows_per_bucket: int = 2_0
         swept = materialize(_sweep(left.withColumn("is_gap", F.lit(False)).unionByName(fit.withColumn("is_gap", F.lit(True))), capacity, buckets), "sweep")
         got = swept.filter("not is_gap and mate is not null")
         unplaced = F.when(~F.col("is_gap") & F.col("mate").isNull(), F.col("size"))
-        found, least, most = swept.agg(F.count(F.when(~F.col("is_gap"), F.col("mate"))), F.min(unplaced), F.max(unplaced)).first()
+        found, least, most, weight = swept.agg(F.count(F.when(~F.col("is_gap"), F.col("mate"))), F.min(unplaced), F.max(unplaced), F.sum(unplaced)).first()
         placed.append(got.select("id", F.col("mate").alias("sequence_id"), (F.lit(capacity) - F.col("mate_size")).alias("offset")))
         left = swept.filter("not is_gap and mate is null").select("id", "size")
         gaps = swept.filter("is_gap").select("id", (F.col("size") - F.coalesce("mate_size", F.lit(0))).alias("size")).filter("size > 0")
-        if found:
+        enough, waiting = found >= max(1, few * waiting), waiting - found
+        if enough or not waiting:
             continue
-        laid = materialize(_open(left.filter(F.col("size") * 2 > most), capacity, buckets), "opened")
+        limit = 0 if weight <= rest * tokens else int(share * most)
+        laid = materialize(_open(left.filter(F.col("size") > limit), capacity, buckets), "opened")
         new = F.lit(-1 - opened) - F.col("mate")
         placed.append(laid.filter("mate is not null").select("id", new.alias("sequence_id"), F.col("at").alias("offset")))
         fresh = laid.filter("mate is not null").groupBy(new.alias("id")).agg((F.lit(capacity) - F.sum("size")).alias("size")).filter("size > 0")
         opened += laid.agg(F.max("mate")).first()[0] + 1
         gaps = gaps.unionByName(fresh)
-        left = left.filter(F.col("size") * 2 <= most).unionByName(laid.filter("mate is null").select("id", "size"))
-        least, most = left.agg(F.min("size"), F.max("size")).first()
+        left = left.filter(F.col("size") <= limit).unionByName(laid.filter("mate is null").select("id", "size"))
+        waiting, least, most, weight = left.agg(F.count("*"), F.min("size"), F.max("size"), F.sum("size")).first()
     else:
         raise RuntimeError(f"packing did not end in {most_rounds} rounds")
     out = placed[0]
