@@ -151,8 +151,8 @@ def reconstruct_runs(t: DataFrame, lengths: tuple[int, ...] = (12, 96, 288), all
 
     The k-th row of a step is the k-th run still open; a labelled row closes its run.  So an unlabelled row points to
     row k less the labelled rows before it of the next step, and pointers are doubled until they reach the run's end,
-    each time one equi-join.  With ``allow_extra``, a step may lead with one normal row, which is dropped where counts
-    demand it."""
+    each time one equi-join.  With ``allow_extra``, all runs of a pump start together and a step may lead with one normal
+    row, which is dropped where counts demand it."""
     rows = t
     if allow_extra:
         steps = t.groupBy("pump_id", "step").agg(F.count("*").alias("n"), F.count("fault_type").alias("ends"), F.min("row_pos").alias("lead_row"))

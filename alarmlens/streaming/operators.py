@@ -101,7 +101,8 @@ def stream_episodes(obs: DataFrame, gap_seconds: float = 900, delay: str = "1 ho
 
 def stream_session_episodes(obs: DataFrame, gap_seconds: float = 900, delay: str = "1 hour") -> DataFrame:
     """The simple form, without boundaries: sessions of alarm rows."""
-    rows = obs.filter("is_alarm").withColumn("at", F.col("occurred_at").cast("timestamp")).withWatermark("at", delay)
+    # normal rows move the watermark too: a filter that looks at the event time stays above it
+    rows = obs.withColumn("at", F.col("occurred_at").cast("timestamp")).withWatermark("at", delay).filter(F.when(F.col("is_alarm"), F.col("at")).isNotNull())
     found = rows.groupBy("channel_id", F.session_window("at", f"{gap_seconds} seconds")).agg(F.min("at").alias("first_alarm_at"), F.max("at").alias("last_alarm_at"), F.count("*").alias("alarm_row_count"))
     return found.drop("session_window")
 
