@@ -58,6 +58,12 @@ def with_row_id(df: DataFrame, col: str = "_row") -> DataFrame:
     return df.withColumn(col, F.monotonically_increasing_id())
 
 
+def boxed(df: DataFrame) -> DataFrame:
+    """(_doc, _row): each row as one struct, so that no name of its columns meets a name of ours; ``select("_doc.*")``
+    gives it back.  Numbers as of ``with_row_id``."""
+    return with_row_id(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_doc")))
+
+
 def as_bytes(text: object) -> bytes:
     """UTF-8 of a text; null is empty."""
     return text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, with_row_id
+from .common import WORD, boxed, materialize, with_row_id
 
 BUCKETS = 4096
 #: Weights of sources in code point order, repeating.
@@ -56,10 +56,14 @@ def _key(rank: Column) -> Column:
     return F.least(F.floor(rank * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
 
 
-def sample_copies(sized: DataFrame, targets: DataFrame, id_col: str, seed: int = 17, most_copies: float = 2.0, propensity: str | None = None, fill_rounds: int = 3) -> DataFrame:
+def sample_copies(sized: DataFrame, targets: DataFrame, id_col: str, seed: int = 17, most_copies: float = 2.0, propensity: str | None = None, fill_rounds: int = 6) -> DataFrame:
     """``sized`` (_row, id, source, size[, propensity]) with ``source_size``, ``target`` and ``copies``."""
     share = F.col("target") / F.col("source_size")
-    expected = F.least(share * (F.col(propensity) if propensity else F.lit(1.0)), F.lit(float(most_copies)))
+    if propensity:  # relative to its mean over the source's words
+        mean = sized.groupBy("source").agg((F.sum(F.col(propensity) * F.col("size")) / F.sum("size")).alias("_mean"), F.first("source").alias("_s"))
+        targets = targets.join(mean.select("_s", "_mean"), targets.source.eqNullSafe(F.col("_s")), "left").drop("_s")
+        share = share * F.col(propensity) / F.col("_mean")
+    expected = F.least(share, F.lit(float(most_copies)))
     rows = sized.join(targets, sized.source.eqNullSafe(targets.source)).drop(targets.source)
     rows = rows.withColumn("expected", F.when(F.col("source_size") > 0, expected).otherwise(F.lit(0.0)))
     rows = rows.withColumn("sure", F.floor("expected")).withColumn("part", F.col("expected") - F.col("sure"))
@@ -117,5 +121,5 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The documents of the mix: each as often as it is taken."""
     copies = mix(docs, id_col, text_col, source_col, **how).filter("copies > 0").select("_row", F.col("copies").alias("_copies"))
-    rows = with_row_id(docs).join(copies, "_row")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    rows = boxed(docs).join(copies, "_row")
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_doc.*")

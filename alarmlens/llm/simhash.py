@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, materialize, with_row_id
+from .common import as_bytes, boxed, materialize, with_row_id
 
 BITS, BLOCK, BUDGET = 64, 16, 3
 SEED = 42
@@ -267,4 +267,4 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     found = materialize(near_duplicates(docs, id_col, text_col, shingle), "classes")
     first = found.groupBy("component_id").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_row").alias("r")))["r"].alias("_row"))
     dropped = found.select("_row").join(first.select("_row"), "_row", "left_anti")
-    return with_row_id(docs).join(dropped, "_row", "left_anti").select(*docs.columns)
+    return boxed(docs).join(dropped, "_row", "left_anti").select("_doc.*")

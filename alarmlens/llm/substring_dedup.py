@@ -28,7 +28,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, as_bytes, materialize, text_chunks, with_row_id
+from .common import BoundedCache, as_bytes, boxed, materialize, text_chunks, with_row_id
 
 WINDOW = 35
 BASE = 0x9E3779B97F4A7C15
@@ -189,8 +189,9 @@ def dedup_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def without_repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """``docs`` with repeated passages removed from the text (kept words joined by one space; a text that loses nothing
     stays as it is, null too).  ``n_chars``, if there, follows the new text."""
-    keyed = with_row_id(docs)
-    runs = repeated_windows(keyed.select("_row", text_col), text_col, window)
+    keyed = boxed(docs)
+    text = F.col(f"_doc.`{text_col}`")
+    runs = repeated_windows(keyed.select("_row", text.alias("text")), "text", window)
 
     @F.pandas_udf("string")
     def cleaned(texts: pd.Series, found: pd.Series) -> pd.Series:
@@ -198,9 +199,9 @@ def without_repeats(docs: DataFrame, text_col: str = "text", window: int = WINDO
             text if len(k) == len(w) else b" ".join(k).decode("utf-8", "surrogatepass") for text, (w, k) in zip(texts, _kept(texts, found, window), strict=True)
         ], dtype=object)
 
-    new = F.when(F.col("runs").isNull(), F.col(text_col)).otherwise(cleaned(text_col, "runs"))
-    rows = keyed.join(runs, "_row", "left").withColumn("_new", new)
+    kept = F.col("runs").isNull()
+    rows = keyed.join(runs, "_row", "left").withColumn("_new", F.when(kept, text).otherwise(cleaned(text, F.col("runs"))))
+    out = {c: F.col(f"_doc.`{c}`") for c in docs.columns} | {text_col: F.col("_new")}
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        rows = rows.withColumn("n_chars", F.when(F.col("runs").isNull(), F.col("n_chars")).otherwise(F.length("_new").cast(kind)))
-    return rows.withColumn(text_col, F.col("_new")).select(*docs.columns)
+        out["n_chars"] = F.when(kept, F.col("_doc.n_chars")).otherwise(F.length("_new").cast(docs.schema["n_chars"].dataType))
+    return rows.select(*[x.alias(c) for c, x in out.items()])

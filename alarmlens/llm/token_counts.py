@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import boxed
+
 MARK = "▁"
 
 
@@ -115,7 +117,7 @@ def _trie(path: str) -> UnigramTrie:
 
 
 def count_tokens(docs: DataFrame, text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """``docs`` with ``n_words`` and ``n_tokens``."""
+    """``docs`` with ``n_words`` and ``n_tokens`` (in the place of columns of these names, if there)."""
     path = vocabulary or default_vocabulary()
 
     @F.pandas_udf("n_words long, n_tokens long")
@@ -134,5 +136,6 @@ def count_tokens(docs: DataFrame, text_col: str = "text", vocabulary: str | None
         rows = [trie.count(x) if isinstance(x, str) else (0, 0) for x in texts]
         return pd.DataFrame(np.array(rows, np.int64).reshape(-1, 2), columns=["n_words", "n_tokens"])
 
-    counted = docs.withColumn("_counts", udf(F.col(text_col)))
-    return counted.select(*docs.columns, F.col("_counts.n_words").alias("n_words"), F.col("_counts.n_tokens").alias("n_tokens"))
+    counted = boxed(docs).withColumn("_counts", udf(F.col(f"_doc.`{text_col}`")))
+    kept = [F.col(f"_doc.`{c}`").alias(c) for c in docs.columns if c not in ("n_words", "n_tokens")]
+    return counted.select(*kept, "_counts.n_words", "_counts.n_tokens")

@@ -243,7 +243,7 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """Write ``pages`` and read the archives back: page_id, payload_bytes, payload_digest (both of the full payload; a
     response's from the bytes read), record_type, refers_to, uri."""
     spark = pages.sparkSession
-    archives = write_archives(record_kinds(pages, id_col, html_col), scratch_path(spark, "warc"), id_col, url_col, html_col)
+    archives = write_archives(record_kinds(pages.select(id_col, url_col, html_col), id_col, html_col), scratch_path(spark, "warc"), id_col, url_col, html_col)
     rows = read_archives(archives, max(1, archives.count()))
     digest = F.when(F.col("payload").isNull(), F.col("told_digest")).otherwise(F.sha1("payload"))
     size = F.when(F.col("payload").isNull(), F.col("told_bytes")).otherwise(F.octet_length("payload").cast("long"))

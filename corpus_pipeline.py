@@ -9,13 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from alarmlens.llm import mixing, packing, simhash, substring_dedup, toxicity
-from alarmlens.llm.common import materialize, table
+from alarmlens.llm.common import boxed, materialize, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model scores below 0.7."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model, out="_toxicity").filter("_toxicity < 0.7").select(*docs.columns)
+    return toxicity.scored(boxed(docs), model, "_doc.text").filter("score < 0.7").select("_doc.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
