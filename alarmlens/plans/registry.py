@@ -1,5 +1,5 @@
 """All registered queries of the library and their SQL."""
 
-from .evaluation import ORACLES, QUERIES
+from .single import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
