@@ -65,4 +65,18 @@ QUERIES = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_warc_zip": """
+SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+  CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN last END AS refers_to, coalesce(url, '') AS uri
+FROM (SELECT *, octet_length(encode(coalesce(html, ''))) >= 1000 AND page_id <> last AS again
+      FROM (SELECT *, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages))""",
+    "op6_substring_dedup": r"""
+WITH docs AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+windows AS (SELECT r, p, md5(array_to_string(list_slice(ws, p, p + 34), ' ')) AS k FROM (SELECT r, ws, unnest(range(1, len(ws) - 33)) AS p FROM docs WHERE len(ws) >= 35)),
+repeated AS (SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY k) AS c FROM windows) WHERE c > 1),
+words AS (SELECT r, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM docs),
+marked AS (SELECT w.r, w.p, word, count(x.p) OVER (PARTITION BY w.r ORDER BY w.p ROWS 34 PRECEDING) > 0 AS gone FROM words w LEFT JOIN repeated x ON x.r = w.r AND x.p = w.p)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs LEFT JOIN (SELECT r, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (WHERE NOT gone) AS kept FROM marked GROUP BY r) USING (r)""",
+}
