@@ -36,7 +36,7 @@ from .common import as_bytes
 
 BIAS, UNIT, RESTART = 96, 64, 4
 #: Bytes of payload or media that are worked on together.
-BATCH = 1 << 21
+BATCH = 1 << 19
 
 
 def _zigzag() -> np.ndarray:
@@ -286,7 +286,7 @@ def encode_payloads(payloads: list[bytes]) -> list[bytes]:
     files = []
     for k, (w, h) in enumerate(zip(wide.tolist(), high.tolist(), strict=True)):
         frame = struct.pack(">BHHB", 8, 16 * h, 16 * w, 3) + bytes([1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0])
-        parts = [b"\xff\xd8", _TABLES, _segment(0xC2, frame)]
+        parts = [b"\xff\xd8", _segment(0xFE, struct.pack(">Q", len(payloads[k]))), _TABLES, _segment(0xC2, frame)]
         for head, (data, starts) in zip(heads, coded, strict=True):
             for c in range(3):
                 parts += [head[c], data[starts[3 * k + c] : starts[3 * k + c + 1]]]
@@ -329,6 +329,7 @@ class Image:
     scans: list[Scan]
     units: tuple[int, int]  # MCUs across and down
     restarts: np.ndarray  # where restart markers stand in the file
+    comment: bytes = b""
 
 
 @lru_cache(maxsize=256)
@@ -362,7 +363,7 @@ def parse(data: bytes) -> Image:
     if data[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG file")
     at, restart, tables, ids, n_other = 2, 0, {}, [], 0
-    image = None
+    image, comment = None, b""
     quants: dict[int, np.ndarray] = {}
     while True:
         marker = data[at + 1]
@@ -377,6 +378,8 @@ def parse(data: bytes) -> Image:
             tables |= _tables(body)
         elif marker == 0xDD:
             restart = body[0] << 8 | body[1]
+        elif marker == 0xFE:
+            comment = body
         elif marker == 0xC2:
             bits, height, width, count = struct.unpack(">BHHB", body[:6])
             if bits != 8 or not height:
@@ -403,6 +406,7 @@ def parse(data: bytes) -> Image:
             at = stop
     if image is None:
         raise ValueError("no frame")
+    image.comment = comment
     return image
 
 
@@ -436,9 +440,12 @@ class _Bits:
     """A bit reader over many positions: 33 bits from any bit on."""
 
     def __init__(self, raw: np.ndarray):
-        padded = np.concatenate([raw, np.zeros(1024, np.uint8)]).astype(np.int64)
+        padded = np.concatenate([raw, np.zeros(1024, np.uint8)])
         n = len(raw) + 1000
-        self.window = padded[:n] << 32 | padded[1 : n + 1] << 24 | padded[2 : n + 2] << 16 | padded[3 : n + 3] << 8 | padded[4 : n + 4]
+        self.window = padded[:n].astype(np.int64)
+        for k in range(1, 5):
+            self.window <<= 8
+            self.window |= padded[k : n + k]
         self.most = 8 * (n - 1)
 
     def ahead(self, at: np.ndarray) -> np.ndarray:
@@ -679,21 +686,25 @@ def padded(data: bytes) -> bytes:
     return data + bytes(-len(data) % UNIT or (0 if data else UNIT))
 
 
-def _in_batches(payloads: list[bytes]) -> Iterator[bytes]:
-    start = 0
-    while start < len(payloads):
-        stop, held = start, 0
-        while stop < len(payloads) and (stop == start or held + len(payloads[stop]) <= BATCH):
-            held += len(payloads[stop])
-            stop += 1
-        yield from encode_payloads(payloads[start:stop])
-        start = stop
+def _stored_texts(texts: pd.Series) -> Iterator[bytes]:
+    """Media of texts; only a batch of payloads exists at a time."""
+    held: list[bytes] = []
+    size = 0
+    for text in texts:
+        payload = padded(as_bytes(text))
+        if held and size + len(payload) > BATCH:
+            yield from encode_payloads(held)
+            held, size = [], 0
+        held.append(payload)
+        size += len(payload)
+    if held:
+        yield from encode_payloads(held)
 
 # ---------------------------------------------------------------- columns
 
 
 def _encode(texts: pd.Series) -> pd.Series:
-    return pd.Series(list(_in_batches([padded(as_bytes(x)) for x in texts])), dtype=object)
+    return pd.Series(list(_stored_texts(texts)), dtype=object)
 
 
 def stored(text: Column) -> Column:
@@ -714,16 +725,16 @@ def with_tensors(df: DataFrame, media_col: str = "media", out: str = "image") ->
     return df.withColumn(out, F.pandas_udf(_tensors, "width int, height int, rgb binary")(media_col))
 
 
-def payload_of(coefs: np.ndarray, blocks: int) -> bytes:
-    """The bytes that ``encode_payloads`` stored in the first ``blocks`` blocks."""
-    return (coefs[:blocks] + BIAS).astype(np.uint8).tobytes()
+def payload_of(image: Image, coefs: np.ndarray) -> bytes:
+    """The bytes that ``encode_payloads`` stored; their number is in the file's comment."""
+    (size,) = struct.unpack(">Q", image.comment)
+    return (coefs[: size // UNIT] + BIAS).astype(np.uint8).tobytes()
 
 
-def _features(media: pd.Series, n_bytes: pd.Series) -> pd.DataFrame:
+def _features(media: pd.Series) -> pd.DataFrame:
     rows = []
-    files = [bytes(x) for x in media]
-    for data, n, (image, coefs, tensor) in zip(files, n_bytes, decoded(files), strict=True):
-        payload = payload_of(coefs, max(1, -(-int(n) // UNIT)))
+    for data, (image, coefs, tensor) in zip(media, decoded(media.tolist()), strict=True):
+        payload = payload_of(image, coefs)
         mean = tensor.reshape(-1, 3).sum(axis=0, dtype=np.int64) // max(1, tensor.size // 3)
         feature = f"{image.width}x{image.height} rgb {mean[0]},{mean[1]},{mean[2]} crc {zlib.crc32(tensor):08x}"
         rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature))
@@ -732,8 +743,8 @@ def _features(media: pd.Series, n_bytes: pd.Series) -> pd.DataFrame:
 
 def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Store each text as media, read it back and describe both: id, n_bytes, payload_bytes, payload_sha256, tail_crc32,
-    media_bytes, media_sha256, feature."""
-    size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
+    media_bytes, media_sha256, feature.  The two functions of one argument run in one worker, one after the other."""
     features = F.pandas_udf(_features, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
-    rows = docs.select(F.col(id_col), size.alias("n_bytes"), features(stored(F.col(text_col)), size).alias("f"))
+    size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
+    rows = docs.select(F.col(id_col), size.alias("n_bytes"), features(stored(F.col(text_col))).alias("f"))
     return rows.select(id_col, "n_bytes", "f.*")

@@ -21,7 +21,7 @@ from alarmlens.llm import warc_zip
 
 def restored(payloads):
     files = jpeg.encode_payloads(payloads)
-    return files, [jpeg.payload_of(c, len(p) // 64) for p, (_, c, _) in zip(payloads, jpeg.decoded(files))]
+    return files, [jpeg.payload_of(i, c) for i, c, _ in jpeg.decoded(files)]
 
 
 @settings(max_examples=60, deadline=None)
