@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -92,3 +94,16 @@ class BoundedCache(dict):
             self.clear()
         value = self[key] = self.make(key)
         return value
+
+
+def fitted_in_a_task(rows: DataFrame, train: Callable[[pd.DataFrame], Any]) -> Any:
+    """``train`` on a bounded sample, in one task: neither the sample nor the work comes to the driver, only the model."""
+    columns = rows.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = list(batches)
+        pdf = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=columns)
+        yield pd.DataFrame({"model": [pickle.dumps(train(pdf))]})
+
+    found = rows.repartition(1).mapInPandas(run, "model binary").first()
+    return pickle.loads(bytes(found[0])) if found else train(pd.DataFrame(columns=columns))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes
+from .common import as_bytes, fitted_in_a_task
 from .toxicity import labelled_sample
 
 #: Labelled rows of each class that the trees are fitted on, at most.
@@ -129,9 +129,11 @@ def train(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH,
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> Trees:
     """Fit on at most ``per_class`` labelled training rows of each class, those of the least hashes."""
-    rows = labelled_sample(docs, labels, "quality", id_col, text_col, 4, 2, per_class)
-    x = np.array([statistics(t) for t in rows[text_col]], np.float64).reshape(-1, len(STATISTICS))
-    return train(x, rows["quality"].to_numpy())
+    def run(rows: pd.DataFrame) -> Trees:
+        rows = rows.sort_values(["id", "label"], kind="stable")
+        return train(np.array([statistics(t) for t in rows["text"]], np.float64).reshape(-1, len(STATISTICS)), rows["label"].to_numpy())
+
+    return fitted_in_a_task(labelled_sample(docs, labels, "quality", id_col, text_col, 4, 2, per_class), run)
 
 
 def scored(docs: DataFrame, trees: Trees, text_col: str = "text", out: str = "score") -> DataFrame:

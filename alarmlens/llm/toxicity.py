@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BoundedCache
+from .common import fitted_in_a_task
 
 ORDER, SPAN, DECAY, CODES, PIECE = 3, 6, 0.7, 64, 24
 #: Labelled rows of each class that the machine is fitted on, at most.
@@ -89,14 +89,18 @@ def words_of(data: bytes) -> set[bytes]:
 
 def _kernel(words: list[bytes], landmarks: list[bytes]) -> np.ndarray:
     """Kernel values, words by landmarks (largest over pieces of long words)."""
-    dense = np.zeros((CODES**ORDER, len(landmarks)), np.float32)
-    for at, ids, weight in _features(landmarks):
-        np.add.at(dense, (ids, np.broadcast_to(at[:, None], ids.shape)), np.broadcast_to(weight, ids.shape))
+    marks = _features(landmarks)
+    known = np.unique(np.concatenate([ids.ravel() for _, ids, _ in marks]))
+    row = np.full(CODES**ORDER, len(known), np.int32)  # the last row is that of all other subsequences
+    row[known] = np.arange(len(known))
+    dense = np.zeros((len(known) + 1, len(landmarks)), np.float32)
+    for at, ids, weight in marks:
+        np.add.at(dense, (row[ids], np.broadcast_to(at[:, None], ids.shape)), np.broadcast_to(weight, ids.shape))
     out = np.zeros((len(words), len(landmarks)), np.float32)
     for at, ids, weight in _features(words):
-        for lo in range(0, len(at), 500):
-            part = np.einsum("ncl,c->nl", dense[ids[lo : lo + 500]], weight)
-            np.maximum.at(out, at[lo : lo + 500], part)
+        for lo in range(0, len(at), 100):
+            part = np.einsum("ncl,c->nl", dense[row[ids[lo : lo + 100]]], weight)
+            np.maximum.at(out, at[lo : lo + 100], part)
     return out
 
 
@@ -240,18 +244,20 @@ def held_out(doc_id: Column, parts: int, rest: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == rest, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, parts: int, rest: int, per_class: int) -> pd.DataFrame:
-    """At most ``per_class`` training rows of each label, those of the least hashes, with their texts."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, parts: int, rest: int, per_class: int) -> DataFrame:
+    """At most ``per_class`` training rows of each label, those of the least hashes: id, text, label."""
     usable = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col), parts, rest)).select(id_col, label)
     by_hash = [usable.filter(F.col(label) == y).orderBy(F.xxhash64(id_col), id_col).limit(per_class) for y in (0, 1)]
     picked = by_hash[0].unionByName(by_hash[1])
-    rows = docs.select(id_col, text_col).join(picked, id_col).toPandas()
-    return rows.sort_values([id_col, label], kind="stable").reset_index(drop=True)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(picked.select(F.col(id_col).alias("id"), F.col(label).alias("label")), "id")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> ToxicityModel:
-    rows = labelled_sample(docs, labels, "toxic", id_col, text_col, 3, 1, per_class)
-    return train(rows[text_col].tolist(), rows["toxic"].to_numpy())
+    def run(rows: pd.DataFrame) -> ToxicityModel:
+        rows = rows.sort_values(["id", "label"], kind="stable")
+        return train(rows["text"].tolist(), rows["label"].to_numpy())
+
+    return fitted_in_a_task(labelled_sample(docs, labels, "toxic", id_col, text_col, 3, 1, per_class), run)
 
 
 _seen: dict[int, dict] = {}
@@ -270,6 +276,3 @@ def scored(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out: s
         return pd.Series(model.score(values))
 
     return docs.withColumn(out, udf(F.col(text_col)))
-
-
-__all__ = ["BoundedCache", "ToxicityModel", "fit", "held_out", "labelled_sample", "scored", "train", "words_of"]
