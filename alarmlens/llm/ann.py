@@ -3,8 +3,8 @@
 Largest inner product becomes least distance by one more component, sqrt(M^2 - |x|^2), M the largest norm.  Vectors are
 rotated at random, so that any few leading dimensions tell about the whole, and dealt to lists by nearest centroid.  A
 query probes its nearest lists.  Within a list the rotated vectors are scanned in blocks of columns: after each block a
-hypothesis test compares the partial distance, scaled to all dimensions, with the query's current bound, and a candidate
-that fails is abandoned.  Survivors are scored exactly, in double precision, on the original vectors.
+hypothesis test compares the partial distance, scaled to all dimensions, with the query's current bound (at first from
+the sample's vectors), and a candidate that fails is abandoned.  Survivors are scored exactly, in double precision, on the original vectors.
 
 Rotation and centroids are fitted on a bounded sample (``SAMPLE`` vectors, those of least hash); every vector is indexed.
 A list's vectors and its queries are dealt in chunks of bounded size, so neither a list that holds a large part of all
@@ -62,6 +62,23 @@ class Index:
             np.add.at(sums, near, x)
             self.centroids = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], self.centroids)
 
+    def refer(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        """Keep some vectors whose distances bound those of a query's neighbours from above."""
+        self.reference_ids, self.reference = ids, self.rotated(vectors)
+
+    def bounds_of(self, q: np.ndarray, q_id: np.ndarray, k: int) -> np.ndarray:
+        """The k-th least distance of each query among the reference vectors; infinite if these are too few."""
+        out = np.full(len(q), np.inf)
+        if len(self.reference) < k:
+            return out
+        norms = (self.reference**2).sum(axis=1)
+        for a in range(0, len(q), 128):
+            part = q[a : a + 128]
+            d = (part**2).sum(axis=1)[:, None] + norms[None, :] - 2 * part @ self.reference.T
+            d[q_id[a : a + 128, None] == self.reference_ids[None, :]] = np.inf
+            out[a : a + 128] = np.partition(d, k - 1, axis=1)[:, k - 1]
+        return out
+
     def rotated(self, x: np.ndarray) -> np.ndarray:
         more = np.sqrt(np.maximum(self.norm**2 - (x**2).sum(axis=1), 0))
         return np.hstack([x, more[:, None]]) @ self.rotation
@@ -81,12 +98,14 @@ class Index:
         return np.argsort(self.distances(q), axis=1, kind="stable")[:, :count]
 
 
-def scan(x: np.ndarray, q: np.ndarray, x_id: np.ndarray, q_id: np.ndarray, k: int, epsilon: float = EPSILON, step: int = 256) -> tuple[np.ndarray, np.ndarray]:
+def scan(x: np.ndarray, q: np.ndarray, x_id: np.ndarray, q_id: np.ndarray, k: int, bound: np.ndarray | None = None, epsilon: float = EPSILON, step: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (query, candidate) of rotated vectors that no test abandons.
 
-    Columns come in blocks; the bound of a query is its k-th least distance so far."""
+    Columns come in blocks; the bound of a query is its k-th least distance so far, or the one known before."""
     d = x.shape[1]
-    bound = np.full(len(q), np.inf)
+    known = np.full(len(q), np.inf) if bound is None else bound
+    bound = known
+    slack = 1e-9 * (1 + (q**2).sum(axis=1))  # rounding; vectors equal to the query have distances about zero
     best = np.full((len(q), k), np.inf)
     found_q, found_x = [], []
     for a in range(0, len(x), step):
@@ -95,14 +114,14 @@ def scan(x: np.ndarray, q: np.ndarray, x_id: np.ndarray, q_id: np.ndarray, k: in
         hi = min(d, COLUMNS)
         qa, xa = q[:, :hi], part[:, :hi]
         block = (qa**2).sum(axis=1)[:, None] + (xa**2).sum(axis=1)[None, :] - 2 * qa @ xa.T
-        fine = (block * (d / hi) <= (bound * (1 + epsilon / np.sqrt(hi)) ** 2)[:, None]) & (q_id[:, None] != x_id[None, a : a + step])
+        fine = (block * (d / hi) <= (bound * (1 + epsilon / np.sqrt(hi)) ** 2 + slack)[:, None]) & (q_id[:, None] != x_id[None, a : a + step])
         alive_q, alive_x = np.nonzero(fine)
         partial = block[fine]
         for lo in range(COLUMNS, d, COLUMNS):
             hi = min(d, lo + COLUMNS)
             partial = partial + ((q[alive_q, lo:hi] - part[alive_x, lo:hi]) ** 2).sum(axis=1)
-            # the last block makes the distance whole; bounds are met with a margin for rounding
-            most = bound * (1 + epsilon / np.sqrt(hi)) ** 2 if hi < d else bound * (1 + 1e-9) + 1e-9
+            # the last block makes the distance whole
+            most = (bound * (1 + epsilon / np.sqrt(hi)) ** 2 if hi < d else bound) + slack
             keep = partial * (d / hi) <= most[alive_q]
             alive_q, alive_x, partial = alive_q[keep], alive_x[keep], partial[keep]
         found_q.append(alive_q)
@@ -113,7 +132,7 @@ def scan(x: np.ndarray, q: np.ndarray, x_id: np.ndarray, q_id: np.ndarray, k: in
         fresh = np.full((len(q), k), np.inf)
         fresh[alive_q[order][first], rank[first]] = partial[order][first]
         best = np.sort(np.hstack([best, fresh]), axis=1)[:, :k]
-        bound = best[:, -1]
+        bound = np.minimum(known, best[:, -1])
     return np.concatenate(found_q), np.concatenate(found_x)
 
 
@@ -129,7 +148,9 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     picked = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()
     lists = int(min(most_lists, max(1, round(count**0.5 / 2))))
     probes = max(8, int(np.ceil(lists * probe_share)))
-    index = Index(np.stack(picked["vector"].to_numpy()), float(np.sqrt(largest)), lists)
+    sample = np.stack(picked["vector"].to_numpy())
+    index = Index(sample, float(np.sqrt(largest)), lists)
+    index.refer(picked["id"].to_numpy(), sample)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -139,12 +160,12 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                near = index.probes_of(index.rotated_query(np.stack(pdf["vector"].to_numpy())), probes)
-                yield pdf.assign(lists=list(near.astype(np.int64)))
+                q = index.rotated_query(np.stack(pdf["vector"].to_numpy()))
+                yield pdf.assign(bound=index.bounds_of(q, pdf["id"].to_numpy(), k), lists=list(index.probes_of(q, probes).astype(np.int64)))
 
     placed = materialize(rows.mapInPandas(place, "id long, vector array<double>, list long"), "lists")
-    asked = rows.filter(F.col("id") % every == 0).mapInPandas(probe, "id long, vector array<double>, lists array<long>")
-    asked = materialize(asked.select("id", "vector", F.explode("lists").alias("list")), "probes")
+    asked = rows.filter(F.col("id") % every == 0).mapInPandas(probe, "id long, vector array<double>, bound double, lists array<long>")
+    asked = materialize(asked.select("id", "vector", "bound", F.explode("lists").alias("list")), "probes")
 
     # how many chunks each list's vectors and queries are dealt into: one row for each list, bounded by their number
     chunks = placed.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).alias("parts"))
@@ -155,7 +176,7 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     left = placed.join(F.broadcast(chunks), "list").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).withColumn("query_part", each("query_parts"))
     right = asked.join(F.broadcast(again), "list").withColumn("query_part", F.pmod(F.xxhash64("id"), F.col("all_query_parts"))).withColumn("part", each("all_parts"))
     keys = ["list", "part", "query_part"]
-    left, right = left.select(*keys, "id", "vector"), right.select(*keys, "id", "vector")
+    left, right = left.select(*keys, "id", "vector"), right.select(*keys, "id", "vector", "bound")
 
     def nearest(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(q):
@@ -163,7 +184,7 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
         x = x.sort_values("id", kind="stable")
         xs, qs = np.stack(x["vector"].to_numpy()), np.stack(q["vector"].to_numpy())
         x_id, q_id = x["id"].to_numpy(), q["id"].to_numpy()
-        at, to = scan(index.rotated(xs), index.rotated_query(qs), x_id, q_id, k)
+        at, to = scan(index.rotated(xs), index.rotated_query(qs), x_id, q_id, k, q["bound"].to_numpy())
         score = np.concatenate([(qs[at[a : a + 50_000]] * xs[to[a : a + 50_000]]).sum(axis=1) for a in range(0, max(len(at), 1), 50_000)])
         order = np.lexsort((x_id[to], -score, at))
         rank = np.arange(len(order)) - np.searchsorted(at[order], at[order])

@@ -186,6 +186,20 @@ def test_search_recall(spark):
     assert hits / (300 * 20) >= 0.9
 
 
+def test_many_equal_vectors(spark):
+    """The nearest of a vector in a large group of equal ones are those of the least ids."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[::3] = x[0]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(df).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    for q in range(0, 1500, 60):
+        assert got[q] == [k for k in range(0, 1500, 3) if k != q][:20]
+
+
 def test_scan_agrees_with_all_pairs():
     rng = np.random.default_rng(6)
     x, q = rng.normal(size=(3000, 65)), rng.normal(size=(40, 65))
