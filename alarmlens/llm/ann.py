@@ -65,9 +65,11 @@ class Index:
     def refer(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         """Keep some vectors whose distances bound those of a query's neighbours from above."""
         self.reference_ids, self.reference = ids, self.rotated(vectors)
+        self.reference_lists = self.lists_of(self.reference)
 
-    def bounds_of(self, q: np.ndarray, q_id: np.ndarray, k: int) -> np.ndarray:
-        """The k-th least distance of each query among the reference vectors; infinite if these are too few."""
+    def bounds_of(self, q: np.ndarray, q_id: np.ndarray, k: int, near: np.ndarray) -> np.ndarray:
+        """The k-th least distance of each query among the reference vectors of the lists it probes, so that k are found
+        within it; infinite if these are too few."""
         out = np.full(len(q), np.inf)
         if len(self.reference) < k:
             return out
@@ -76,6 +78,9 @@ class Index:
             part = q[a : a + 128]
             d = (part**2).sum(axis=1)[:, None] + norms[None, :] - 2 * part @ self.reference.T
             d[q_id[a : a + 128, None] == self.reference_ids[None, :]] = np.inf
+            probed = np.zeros((len(part), len(self.centroids)), bool)
+            np.put_along_axis(probed, near[a : a + 128], True, axis=1)
+            d[~probed[:, self.reference_lists]] = np.inf
             out[a : a + 128] = np.partition(d, k - 1, axis=1)[:, k - 1]
         return out
 
@@ -161,7 +166,8 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
         for pdf in batches:
             if len(pdf):
                 q = index.rotated_query(np.stack(pdf["vector"].to_numpy()))
-                yield pdf.assign(bound=index.bounds_of(q, pdf["id"].to_numpy(), k), lists=list(index.probes_of(q, probes).astype(np.int64)))
+                near = index.probes_of(q, probes).astype(np.int64)
+                yield pdf.assign(bound=index.bounds_of(q, pdf["id"].to_numpy(), k, near), lists=list(near))
 
     placed = materialize(rows.mapInPandas(place, "id long, vector array<double>, list long"), "lists")
     asked = rows.filter(F.col("id") % every == 0).mapInPandas(probe, "id long, vector array<double>, bound double, lists array<long>")
