@@ -8,9 +8,9 @@ import uuid
 from pyspark.sql import DataFrame
 
 
-def run_available(stream: DataFrame, mode: str = "append", timeout: int = 600) -> DataFrame:
-    """Process all data that is available now; returns the written result.  State and result are in the folder of
-    ``spark.checkpoint.dir`` (a temporary one where that is unset)."""
+def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Process all data that is available now, however long it takes; returns the written result.  State and result are
+    in the folder of ``spark.checkpoint.dir`` (a temporary one where that is unset)."""
     spark = stream.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-alarmlens-")
     place = f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
@@ -20,7 +20,7 @@ def run_available(stream: DataFrame, mode: str = "append", timeout: int = 600) -
         .foreachBatch(lambda df, epoch: df.write.mode(write).parquet(f"{place}/out")).start()
     )
     try:
-        query.awaitTermination(timeout)
+        query.awaitTermination()  # a stream stopped before its end has written a part of its result
     finally:
         query.stop()
     return spark.read.schema(stream.schema).parquet(f"{place}/out")

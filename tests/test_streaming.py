@@ -5,10 +5,12 @@ from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from alarmlens.operators import episodes
 from alarmlens.sources import journal
 from alarmlens.streaming import operators as so
+from alarmlens.streaming.run import run_available
 
 T0 = datetime(2024, 1, 1)
 
@@ -87,3 +89,11 @@ def test_batch_functions(spark):
     run_ = so.risk_scorer(lambda df: df.withColumn("score", F.lit(0.9)), lambda: open_risks, lambda: T0, 0.5, lambda df: out.extend(df.collect()))
     run_(spark.createDataFrame([("a", "m"), ("b", "m")], "object_id string, model string"), 0)
     assert [r.object_id for r in out] == ["b"]
+
+
+def test_run_available_outlasts_a_limit(spark, folder, monkeypatch):
+    """A stream longer than any limit gives all its rows; here a limit is over at once."""
+    wait = StreamingQuery.awaitTermination
+    monkeypatch.setattr(StreamingQuery, "awaitTermination", lambda self, timeout=None: wait(self, timeout and 0.001))
+    got = run_available(journal.stream_observations(spark, str(folder / "in"), files_per_trigger=1))
+    assert got.count() == spark.read.parquet(str(folder / "in")).count() == 402
