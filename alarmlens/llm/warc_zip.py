@@ -88,7 +88,7 @@ def parse_record(record: bytes) -> dict:
     lines = head.decode().split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise ValueError("not a WARC record")
-    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+    fields = {k.strip().lower(): v.strip(" \t") for k, _, v in (x.partition(":") for x in lines[1:])}
     block = rest[: int(fields["content-length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
     told = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
@@ -204,8 +204,9 @@ def records_of(read, size: int) -> Iterator[dict]:
             continue
         data = members[DATA]
         first = member_start(read, data)
-        for line in read(member_start(read, m), m.size).decode().splitlines():
-            place = json.loads(line[line.index("{") :])
+        # a key may hold braces and any line break but newline; it holds no spaces
+        for line in filter(None, read(member_start(read, m), m.size).decode().split("\n")):
+            place = json.loads(line.split(" ", 2)[2])
             yield parse_record(zlib.decompress(read(first + place["offset"], place["length"]), 31))
 
 

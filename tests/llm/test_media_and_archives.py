@@ -140,6 +140,14 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc_zip.round_trip(pages(spark, [], tmp_path)).count() == 0
 
 
+def test_warc_round_trip_of_any_url(spark, tmp_path):
+    """Braces and line breaks other than newline are part of a URL, at its ends too."""
+    urls = ["http://h/{id}", "{", "http://h/{\"offset\": 0}", "http://h/a\u0085b", "http://h/a\u2028b\u2029", "\u00a0http://h/\u3000", "http://h/c: d"]
+    got = warc_zip.round_trip(pages(spark, [(k, u, f"<p>{k}</p>") for k, u in enumerate(urls)], tmp_path)).collect()
+    assert {r.page_id: r.uri for r in got} == {k: u.replace(" ", "%20") for k, u in enumerate(urls)}
+    assert {r.page_id: r.payload_digest for r in got} == {k: hashlib.sha1(f"<p>{k}</p>".encode()).hexdigest() for k in range(len(urls))}
+
+
 def test_many_small_archives(spark, tmp_path):
     rng = random.Random(1)
     rows = [(k, f"http://h/{k}", "".join(rng.choice("abc <>\n") for _ in range(rng.randint(0, 5000)))) for k in range(300)]
