@@ -11,8 +11,8 @@ A list's vectors and its queries are dealt in chunks of bounded size, so neither
 vectors nor one that many queries probe is gathered in a task.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite components take no
-part, nor do rows without an id; rows with the query's own id are the query's own; equal scores rank the smaller id
-first; with fewer candidates than asked for, all are given; an empty table gives no rows.
+part, nor do rows without an id; rows with the query's own id are the query's own; rows that share an id are queries
+(and candidates) each by itself, so n of them give n answers under that id; equal scores rank the smaller id first; with fewer candidates than asked for, all are given; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, with_row_id
 
 SAMPLE = 20_000
 #: Vectors and queries that meet in one task, at most.
@@ -170,8 +170,9 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
                 yield pdf.assign(bound=index.bounds_of(q, pdf["id"].to_numpy(), k, near), lists=list(near))
 
     placed = materialize(rows.mapInPandas(place, "id long, vector array<double>, list long"), "lists")
-    asked = rows.filter(F.col("id") % every == 0).mapInPandas(probe, "id long, vector array<double>, bound double, lists array<long>")
-    asked = materialize(asked.select("id", "vector", "bound", F.explode("lists").alias("list")), "probes")
+    asked = with_row_id(rows.filter(F.col("id") % every == 0), "query")
+    asked = asked.mapInPandas(probe, "id long, vector array<double>, query long, bound double, lists array<long>")
+    asked = materialize(asked.select("query", "id", "vector", "bound", F.explode("lists").alias("list")), "probes")
 
     # how many chunks each list's vectors and queries are dealt into: one row for each list, bounded by their number
     chunks = placed.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).alias("parts"))
@@ -180,13 +181,13 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     again = chunks.select("list", F.col("parts").alias("all_parts"), F.col("query_parts").alias("all_query_parts"))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     left = placed.join(F.broadcast(chunks), "list").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).withColumn("query_part", each("query_parts"))
-    right = asked.join(F.broadcast(again), "list").withColumn("query_part", F.pmod(F.xxhash64("id"), F.col("all_query_parts"))).withColumn("part", each("all_parts"))
+    right = asked.join(F.broadcast(again), "list").withColumn("query_part", F.pmod(F.xxhash64("query"), F.col("all_query_parts"))).withColumn("part", each("all_parts"))
     keys = ["list", "part", "query_part"]
-    left, right = left.select(*keys, "id", "vector"), right.select(*keys, "id", "vector", "bound")
+    left, right = left.select(*keys, "id", "vector"), right.select(*keys, "query", "id", "vector", "bound")
 
     def nearest(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(q):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            return pd.DataFrame({"query": [], "query_id": [], "vec_id": [], "score": []})
         x = x.sort_values("id", kind="stable")
         xs, qs = np.stack(x["vector"].to_numpy()), np.stack(q["vector"].to_numpy())
         x_id, q_id = x["id"].to_numpy(), q["id"].to_numpy()
@@ -195,8 +196,8 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
         order = np.lexsort((x_id[to], -score, at))
         rank = np.arange(len(order)) - np.searchsorted(at[order], at[order])
         order = order[rank < k]
-        return pd.DataFrame({"query_id": q_id[at[order]], "vec_id": x_id[to[order]], "score": score[order]})
+        return pd.DataFrame({"query": q["query"].to_numpy()[at[order]], "query_id": q_id[at[order]], "vec_id": x_id[to[order]], "score": score[order]})
 
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(nearest, "query_id long, vec_id long, score double")
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(nearest, "query long, query_id long, vec_id long, score double")
+    order = W.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

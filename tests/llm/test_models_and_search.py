@@ -170,6 +170,20 @@ def test_search_few_vectors(spark):
     assert ann.search(df.limit(0)).count() == 0
 
 
+def test_repeated_query_rows(spark):
+    """Rows that share an id are asked each by itself, whether their vectors are equal or not."""
+    rng = np.random.default_rng(9)
+    rows = [(k, rng.normal(size=8).tolist()) for k in range(60)]
+    rows += [(20, rows[20][1])] * 2 + [(40, rng.normal(size=8).tolist()), (7, rows[7][1])]
+    want = []
+    for q, x in rows:
+        if q % 20 == 0:
+            found = sorted((-float(np.dot(x, y)), i) for i, y in rows if i != q)[:20]
+            want += [(q, n, i, round(-s, 9)) for n, (s, i) in enumerate(found, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted((r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in ann.search(df).collect()) == sorted(want)
+
+
 def test_search_recall(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(6000, 24))
