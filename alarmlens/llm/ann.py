@@ -5,6 +5,8 @@ rotated at random, so that any few leading dimensions tell about the whole, and
 query probes its nearest lists.  Within a list the rotated vectors are scanned in blocks of columns: after each block a
 hypothesis test compares the partial distance, scaled to all dimensions, with the query's current bound (at first from
 the sample's vectors), and a candidate that fails is abandoned.  Survivors are scored exactly, in double precision, on the original vectors.
+The first bound lets at least about twice as many candidates in as are asked for.  A query that still ends with too few
+is asked again in all lists, by a test that abandons nothing within the bound.
 
 Rotation and centroids are fitted on a bounded sample (``SAMPLE`` vectors, those of least hash); every vector is indexed.
 A list's vectors and its queries are dealt in chunks of bounded size, so neither a list that holds a large part of all
@@ -68,7 +70,7 @@ class Index:
         self.reference_lists = self.lists_of(self.reference)
 
     def bounds_of(self, q: np.ndarray, q_id: np.ndarray, k: int, near: np.ndarray) -> np.ndarray:
-        """The k-th least distance of each query among the reference vectors of the lists it probes, so that k are found
+        """The k-th least distance of each query among the reference vectors of the lists it probes, so that k lie
         within it; infinite if these are too few."""
         out = np.full(len(q), np.inf)
         if len(self.reference) < k:
@@ -156,6 +158,8 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     sample = np.stack(picked["vector"].to_numpy())
     index = Index(sample, float(np.sqrt(largest)), lists)
     index.refer(picked["id"].to_numpy(), sample)
+    # among all vectors this rank is 2 k or more: what a test abandons can be replaced by the next nearest
+    slack_rank = max(k, int(np.ceil(2 * k * len(sample) / count)))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -167,37 +171,50 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
             if len(pdf):
                 q = index.rotated_query(np.stack(pdf["vector"].to_numpy()))
                 near = index.probes_of(q, probes).astype(np.int64)
-                yield pdf.assign(bound=index.bounds_of(q, pdf["id"].to_numpy(), k, near), lists=list(near))
+                yield pdf.assign(bound=index.bounds_of(q, pdf["id"].to_numpy(), slack_rank, near), lists=list(near))
 
     placed = materialize(rows.mapInPandas(place, "id long, vector array<double>, list long"), "lists")
     asked = with_row_id(rows.filter(F.col("id") % every == 0), "query")
     asked = asked.mapInPandas(probe, "id long, vector array<double>, query long, bound double, lists array<long>")
     asked = materialize(asked.select("query", "id", "vector", "bound", F.explode("lists").alias("list")), "probes")
 
-    # how many chunks each list's vectors and queries are dealt into: one row for each list, bounded by their number
-    chunks = placed.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).alias("parts"))
-    chunks = chunks.join(asked.groupBy("list").agg(F.ceil(F.count("*") / QUERY_CHUNK).alias("query_parts")), "list")
-    chunks = materialize(chunks, "chunks")
-    again = chunks.select("list", F.col("parts").alias("all_parts"), F.col("query_parts").alias("all_query_parts"))
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = placed.join(F.broadcast(chunks), "list").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).withColumn("query_part", each("query_parts"))
-    right = asked.join(F.broadcast(again), "list").withColumn("query_part", F.pmod(F.xxhash64("query"), F.col("all_query_parts"))).withColumn("part", each("all_parts"))
-    keys = ["list", "part", "query_part"]
-    left, right = left.select(*keys, "id", "vector"), right.select(*keys, "query", "id", "vector", "bound")
-
-    def nearest(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(q):
-            return pd.DataFrame({"query": [], "query_id": [], "vec_id": [], "score": []})
-        x = x.sort_values("id", kind="stable")
-        xs, qs = np.stack(x["vector"].to_numpy()), np.stack(q["vector"].to_numpy())
-        x_id, q_id = x["id"].to_numpy(), q["id"].to_numpy()
-        at, to = scan(index.rotated(xs), index.rotated_query(qs), x_id, q_id, k, q["bound"].to_numpy())
-        score = np.concatenate([(qs[at[a : a + 50_000]] * xs[to[a : a + 50_000]]).sum(axis=1) for a in range(0, max(len(at), 1), 50_000)])
-        order = np.lexsort((x_id[to], -score, at))
-        rank = np.arange(len(order)) - np.searchsorted(at[order], at[order])
-        order = order[rank < k]
-        return pd.DataFrame({"query": q["query"].to_numpy()[at[order]], "query_id": q_id[at[order]], "vec_id": x_id[to[order]], "score": score[order]})
-
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(nearest, "query long, query_id long, vec_id long, score double")
-    order = W.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    def answers(asked: DataFrame, epsilon: float) -> DataFrame:
+        """The best ``k`` of each query in the lists that ``asked`` names, a written table."""
+        # how many chunks each list's vectors and queries are dealt into: one row for each list, bounded by their number
+        chunks = placed.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).alias("parts"))
+        chunks = chunks.join(asked.groupBy("list").agg(F.ceil(F.count("*") / QUERY_CHUNK).alias("query_parts")), "list")
+        chunks = materialize(chunks, "chunks")
+        again = chunks.select("list", F.col("parts").alias("all_parts"), F.col("query_parts").alias("all_query_parts"))
+        each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        left = placed.join(F.broadcast(chunks), "list").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).withColumn("query_part", each("query_parts"))
+        right = asked.join(F.broadcast(again), "list").withColumn("query_part", F.pmod(F.xxhash64("query"), F.col("all_query_parts"))).withColumn("part", each("all_parts"))
+        keys = ["list", "part", "query_part"]
+        left, right = left.select(*keys, "id", "vector"), right.select(*keys, "query", "id", "vector", "bound")
+
+        def nearest(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+            if not len(x) or not len(q):
+                return pd.DataFrame({"query": [], "query_id": [], "vec_id": [], "score": []})
+            x = x.sort_values("id", kind="stable")
+            xs, qs = np.stack(x["vector"].to_numpy()), np.stack(q["vector"].to_numpy())
+            x_id, q_id = x["id"].to_numpy(), q["id"].to_numpy()
+            at, to = scan(index.rotated(xs), index.rotated_query(qs), x_id, q_id, k, q["bound"].to_numpy(), epsilon)
+            score = np.concatenate([(qs[at[a : a + 50_000]] * xs[to[a : a + 50_000]]).sum(axis=1) for a in range(0, max(len(at), 1), 50_000)])
+            order = np.lexsort((x_id[to], -score, at))
+            rank = np.arange(len(order)) - np.searchsorted(at[order], at[order])
+            order = order[rank < k]
+            return pd.DataFrame({"query": q["query"].to_numpy()[at[order]], "query_id": q_id[at[order]], "vec_id": x_id[to[order]], "score": score[order]})
+
+        found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(nearest, "query long, query_id long, vec_id long, score double")
+        order = W.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+        return materialize(found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k), "found")
+
+    found = answers(asked, EPSILON)
+    full = found.filter(F.col("rank") == k).select("query")
+    short = materialize(asked.select("query").distinct().join(full, "query", "left_anti"), "short")
+    if not short.isEmpty():
+        every_list = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(len(index.centroids) - 1).cast("long")))
+        again = asked.join(short, "query").dropDuplicates(["query"]).withColumn("bound", F.lit(float("inf"))).withColumn("list", every_list)
+        # with this epsilon no partial distance rules out what the whole distance would not
+        more = answers(materialize(again, "again"), float(np.sqrt(sample.shape[1] + 1)))
+        found = found.join(short, "query", "left_anti").unionByName(more)
+    return found.select("query_id", F.col("rank").cast("int"), "vec_id", "score")

@@ -201,6 +201,28 @@ def test_search_recall(spark):
     assert {len(v) for v in got.values()} == {20}  # a query whose neighbours lie elsewhere still gets its number
 
 
+@pytest.mark.parametrize("epsilon", [ann.EPSILON, -3.0])
+def test_every_query_gets_its_number(spark, monkeypatch, epsilon):
+    """Where the sample is the whole table too, and even if the test abandons nearly all."""
+    monkeypatch.setattr(ann, "EPSILON", epsilon)
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(1500, 256))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(df).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    assert {q: len(v) for q, v in got.items()} == dict.fromkeys(range(0, 1500, 20), 20)
+    hits = 0
+    for q, v in got.items():
+        s = x @ x[q]
+        s[q] = -9
+        best = np.argsort(-s)[:20].tolist()
+        hits += len(set(best) & {i for _, i in v})
+        assert epsilon > 0 or [i for _, i in sorted(v)] == best  # asked again, in all lists
+    assert hits / (75 * 20) > 0.6
+
+
 def test_many_equal_vectors(spark):
     """The nearest of a vector in a large group of equal ones are those of the least ids."""
     rng = np.random.default_rng(8)
