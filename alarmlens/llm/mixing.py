@@ -6,7 +6,8 @@ probability of one more copy.  Documents are ranked by the odds of a random numb
 and those of the lowest ranks are taken until the source's remaining words are reached: an unequal-probability sample
 whose size is fixed, in words.  The place where a source's ranking is cut is found in two steps, a histogram of the rank
 variable by source and then the one bucket that holds the cut, so no source is ever ordered as a whole.  What is missing
-at the cut (less than one document) is filled with the longest document left that fits, a few times over.
+at the cut (less than one document) is filled by going on down the ranking, over those documents that are not larger than
+what is missing and by the same two steps, until none fits.
 
 Defined results: null text has size 0 and is never taken twice on account of it; a null source is a source, sorted last;
 repeated rows are sampled one by one; an empty table gives no rows.  The random numbers are hashes of the id and the
@@ -56,7 +57,7 @@ def _key(rank: Column) -> Column:
     return F.least(F.floor(rank * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
 
 
-def sample_copies(sized: DataFrame, targets: DataFrame, id_col: str, seed: int = 17, most_copies: float = 2.0, propensity: str | None = None, fill_rounds: int = 6) -> DataFrame:
+def sample_copies(sized: DataFrame, targets: DataFrame, id_col: str, seed: int = 17, most_copies: float = 2.0, propensity: str | None = None) -> DataFrame:
     """``sized`` (_row, id, source, size[, propensity]) with ``source_size``, ``target`` and ``copies``."""
     share = F.col("target") / F.col("source_size")
     if propensity:  # relative to its mean over the source's words
@@ -93,23 +94,37 @@ def sample_copies(sized: DataFrame, targets: DataFrame, id_col: str, seed: int =
     gap = cut.join(chosen.groupBy("source").agg(F.max("filled").alias("got")), F.col("s").eqNullSafe(F.col("source")), "left").select("s", "cut_bucket", (F.col("room") - F.coalesce("got", F.lit(0))).alias("gap"))
     beyond = rows.drop("cut_bucket", "room").join(gap, F.col("source").eqNullSafe(F.col("s")))
     beyond = beyond.filter((F.col("bucket") >= F.col("cut_bucket")) & (F.col("size") <= F.col("gap")) & (F.col("size") > 0))
-    beyond = materialize(beyond.join(chosen.select("r"), F.col("_row") == F.col("r"), "left_anti").select("source", "_row", "size", "rank", "gap"), "beyond")
-    fills = []
-    for _ in range(fill_rounds):
-        best = beyond.groupBy("source").agg(F.max_by(F.struct(F.col("_row").alias("r"), F.col("size").alias("took")), F.struct("size", -F.col("rank"), "_row")).alias("b"))
-        best = materialize(best.select(F.col("source").alias("s"), "b.r", "b.took"), "fill")
-        fills.append(best.select("r"))
-        beyond = beyond.join(best, F.col("source").eqNullSafe(F.col("s"))).filter(F.col("_row") != F.col("r")).withColumn("gap", F.col("gap") - F.col("took"))
-        beyond = beyond.filter("size <= gap").select("source", "_row", "size", "rank", "gap")
+    beyond = materialize(beyond.join(chosen.select("r"), F.col("_row") == F.col("r"), "left_anti").select("source", id_col, "_row", "size", "rank", "bucket", "gap"), "beyond")
     extra = chosen.select("r")
-    for best in fills:
-        extra = extra.union(best)
+    while not beyond.isEmpty():
+        taken, beyond = _next_in_gap(beyond, id_col)
+        extra = extra.union(taken)
     extra = materialize(extra, "at-the-cut")
     rows = rows.join(extra.withColumn("in_cut", F.lit(True)), F.col("_row") == F.col("r"), "left")
     more = F.when(F.col("part") <= 0, 0).when(F.col("in_cut"), 1).when(F.col("cut_bucket").isNull() | (F.col("bucket") < F.col("cut_bucket")), 1).otherwise(0)
     return rows.select(*sized.columns, "source_size", "target", (F.col("sure") + more).cast("int").alias("copies"))
 
 
+def _next_in_gap(beyond: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """Numbers of the first documents by rank that fit into their source's gap together, and the documents behind them
+    that fit into what is then left.  At least the one at the cut, or all of a source, leaves in each call."""
+    histogram = beyond.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("gap").alias("gap"))
+    histogram = histogram.withColumn("upto", F.sum("words").over(W.partitionBy("source").orderBy("bucket")))
+    cut = histogram.filter((F.col("upto") > F.col("gap")) & (F.col("upto") - F.col("words") <= F.col("gap")))
+    cut = materialize(cut.select(F.col("source").alias("s"), F.col("bucket").alias("cut_bucket"), (F.col("upto") - F.col("words")).alias("below"), F.col("gap").alias("room")), "fill-cuts")
+    rows = beyond.join(cut, F.col("source").eqNullSafe(F.col("s")), "left")
+    inside = rows.filter(F.col("bucket") == F.col("cut_bucket"))
+    inside = inside.withColumn("filled", F.col("below") + F.sum("size").over(W.partitionBy("source").orderBy("rank", id_col, "_row").rowsBetween(W.unboundedPreceding, 0)))
+    inside = materialize(inside, "fill-inside")
+    fits = inside.filter(F.col("filled") <= F.col("room"))
+    got = fits.groupBy("source").agg(F.max("filled").alias("got"))
+    gaps = cut.join(got, F.col("s").eqNullSafe(F.col("source")), "left").select(F.col("s").alias("of"), (F.col("room") - F.coalesce("got", "below")).alias("left"))
+    taken = rows.filter(F.col("cut_bucket").isNull() | (F.col("bucket") < F.col("cut_bucket"))).select(F.col("_row").alias("r")).union(fits.select(F.col("_row").alias("r")))
+    behind = rows.filter(F.col("bucket") > F.col("cut_bucket")).select(*beyond.columns).union(inside.filter(F.col("filled") > F.col("room")).select(*beyond.columns))
+    behind = behind.join(gaps, F.col("source").eqNullSafe(F.col("of"))).filter(F.col("size") <= F.col("left")).withColumn("gap", F.col("left"))
+    return taken, materialize(behind.select(*beyond.columns), "beyond")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most_copies: float = 2.0, seed: int = 17) -> DataFrame:
     """One row per document: _row, id, source, size, source_size, target, copies."""
     sized = with_row_id(docs.select(F.col(id_col), F.col(source_col).alias("source"), F.col(text_col).alias("_text")))

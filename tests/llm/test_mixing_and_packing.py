@@ -69,6 +69,21 @@ def test_mix_of_nothing(spark, tmp_path):
     assert [(r.size, r.copies) for r in mixing.mix(docs).collect()] == [(0, 0), (0, 0)]
 
 
+def test_a_long_document_at_the_cut(spark):
+    """Its place is filled with as many short ones as fit, in each source."""
+    rng = random.Random(3)
+    rows = [(k, k, s, rng.randint(1, 9)) for k, s in enumerate(["a", None] * 1500)] + [(9000 + k, k, s, 3000) for k, s in enumerate(["a", None] * 8)]
+    sized = spark.createDataFrame(rows, "_row long, doc_id long, source string, size long")
+    total = {s: sum(r[3] for r in rows if r[2] == s) for s in ("a", None)}
+    goal = spark.createDataFrame([(s, t, 0.5 * t) for s, t in total.items()], "source string, source_size long, target double")
+    for seed in range(3):
+        got = mixing.sample_copies(sized, goal, "doc_id", seed=seed).collect()
+        for s, t in total.items():
+            own = [r for r in got if r.source == s]
+            gap = 0.5 * t - sum(r.copies * r["size"] for r in own)
+            assert 0 <= gap < min(r["size"] for r in own if not r.copies)
+
+
 def test_unequal_propensity(spark):
     rows = [(k, k, "a", 10, float(1 + (k % 2))) for k in range(2000)]
     sized = spark.createDataFrame(rows, "_row long, doc_id long, source string, size long, p double")
