@@ -6,7 +6,7 @@ and do not end it.  Strings are scaled by their length.  Runs of one-character w
 letters set apart are seen.  Landmarks span the feature space (Nyström); a linear machine with squared hinge loss is
 trained on it.
 
-Training has only documents' labels, so it works on sentences: those of documents labelled 0 are clean; of each document
+Training has only documents' labels and works on single words: those of documents labelled 0 are clean; of each document
 labelled 1 the witness, its worst word, counts, and witnesses are chosen anew after each round.  A document's value is
 that of its worst words; a logistic curve fitted on the training rows makes it a score from 0 to 1.
 
