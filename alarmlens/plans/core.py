@@ -11,7 +11,7 @@ from ..operators import episodes as ep
 from ..operators import ingest, objects as ob, serving as sv, snapshots as sn
 from ..sources import journal
 from .base import (
-    DAILY, DENSE, DIR, DOWN, EPS, FUTURE, GAP, GAP_HOURS, GAP_ROWS, HOURS, LONG, OBJECTS, OBS, SEEN, SHORT, STARTS, TEST, TRAIL, V1, V2, VALIDATION,
+    DAILY, DENSE, DIR, DOWN, EPS, FUTURE, GAP, GAP_HOURS, GAP_ROWS, GRID, HOURS, LONG, OBJECTS, OBS, SEEN, SHORT, TEST, TRAIL, V1, V2, VALIDATION,
     directory, episodes_sql, gaps, objects, observations, table,
 )
 
@@ -254,7 +254,7 @@ def snapshot_daily(spark, d):
     return sn.snapshot_daily(observations(spark, d))
 
 
-@query("SELECT channel_id, as_of, kf AS known_future, uf AS unknown_future FROM future", (OBS, EPS, FUTURE))
+@query("SELECT * FROM future", (OBS, EPS, FUTURE))
 def known_unknown_future(spark, d):
     return sn.future_starts(eps_of(spark, d))
 
@@ -268,24 +268,24 @@ def snapshots_v1(spark, d):
     return v1_of(spark, d)
 
 
-@query("SELECT * FROM grid", (OBS, EPS, DAILY, STARTS, DENSE))
+@query("SELECT * FROM grid", (OBS, DAILY, GRID))
 def activity_islands(spark, d):
     return sn.activity_grid(sn.snapshot_daily(observations(spark, d)), LONG)
 
 
-@query("SELECT channel_id, as_of, n AS event_count, a AS alarm_count, s AS episode_starts, last_event, last_alarm FROM dense", (OBS, EPS, DAILY, STARTS, DENSE))
+@query("SELECT * FROM dense", (OBS, EPS, DAILY, GRID, DENSE))
 def grid_densify_join(spark, d):
     daily = sn.snapshot_daily(observations(spark, d))
     return sn.densify(sn.activity_grid(daily, LONG), daily, eps_of(spark, d))
 
 
-@query("SELECT * FROM trail", (OBS, EPS, DAILY, STARTS, DENSE, TRAIL))
+@query("SELECT * FROM trail", (OBS, EPS, DAILY, GRID, TRAIL))
 def trailing_windows(spark, d):
     daily = sn.snapshot_daily(observations(spark, d))
     return sn.trailing(sn.densify(sn.activity_grid(daily, LONG), daily, eps_of(spark, d)), SHORT, LONG)
 
 
-@query("SELECT * FROM gap_hours", (OBS, EPS, DAILY, STARTS, DENSE, GAP_ROWS, GAP_HOURS))
+@query("SELECT * FROM gap_hours", (OBS, DAILY, GRID, GAP_ROWS, GAP_HOURS))
 def gap_overlap_hours(spark, d):
     return sn.gap_hours(sn.activity_grid(sn.snapshot_daily(observations(spark, d)), LONG), gaps(spark), LONG, f"log_gap_hours_{LONG}d")
 
@@ -611,7 +611,7 @@ def parity_compare(spark, d):
     return sv.compare_tables(a, b, ["channel_id", "as_of"])
 
 
-@query("SELECT (SELECT count(*) FROM (SELECT channel_id, as_of FROM grid EXCEPT SELECT channel_id, as_of FROM daily)) AS missing, (SELECT count(*) FROM (SELECT channel_id, as_of FROM daily EXCEPT SELECT channel_id, as_of FROM grid)) AS extra, (SELECT count(*) FROM (SELECT channel_id, as_of FROM daily INTERSECT SELECT channel_id, as_of FROM grid)) AS common", (OBS, EPS, DAILY, STARTS, DENSE))
+@query("SELECT (SELECT count(*) FROM (SELECT channel_id, as_of FROM grid EXCEPT SELECT channel_id, as_of FROM daily)) AS missing, (SELECT count(*) FROM (SELECT channel_id, as_of FROM daily EXCEPT SELECT channel_id, as_of FROM grid)) AS extra, (SELECT count(*) FROM (SELECT channel_id, as_of FROM daily INTERSECT SELECT channel_id, as_of FROM grid)) AS common", (OBS, DAILY, GRID))
 def grid_diff(spark, d):
     daily = sn.snapshot_daily(observations(spark, d))
     return sv.grid_diff(sn.activity_grid(daily, LONG).select("channel_id", "as_of"), daily.select("channel_id", "as_of"))

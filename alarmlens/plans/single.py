@@ -65,13 +65,13 @@ def exclusion_reason(spark, d):
     return v1_of(spark, d).groupBy("exclusion_reason").agg(F.count("*").alias("row_count"))
 
 
-@query("SELECT channel_id, as_of, event_count, first_observation, gf AS global_first, gl AS global_last FROM daily JOIN seen USING (channel_id) CROSS JOIN bounds", (OBS, DAILY, SEEN))
+@query("SELECT channel_id, as_of, event_count, first_observation, global_first, global_last FROM daily JOIN seen USING (channel_id) CROSS JOIN bounds", (OBS, DAILY, SEEN))
 def join_channel_first_bounds(spark, d):
     o = observations(spark, d)
     return sn.with_bounds(sn.snapshot_daily(o), o).select("channel_id", "as_of", "event_count", "first_observation", "global_first", "global_last")
 
 
-@query("SELECT channel_id, as_of, coalesce(kf, 0) AS known_future, coalesce(uf, 0) AS unknown_future FROM daily LEFT JOIN future USING (channel_id, as_of)", (OBS, EPS, DAILY, FUTURE))
+@query("SELECT channel_id, as_of, coalesce(known_future, 0) AS known_future, coalesce(unknown_future, 0) AS unknown_future FROM daily LEFT JOIN future USING (channel_id, as_of)", (OBS, EPS, DAILY, FUTURE))
 def join_future_labels(spark, d):
     return sn.join_future(sn.snapshot_daily(observations(spark, d)).select("channel_id", "as_of"), eps_of(spark, d))
 
