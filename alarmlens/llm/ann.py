@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, with_row_id
+from .common import materialize, numbered
 
 SAMPLE = 20_000
 #: Vectors and queries that meet in one task, at most.

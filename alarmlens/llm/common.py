@@ -22,9 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a temporary one where it is unset."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.  Where it is unset, a session in one
+    process gets a temporary one of its own; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-alarmlens-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -54,16 +58,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def with_row_id(df: DataFrame, col: str = "_row") -> DataFrame:
-    """A number for each row, null or repeated ids included.  The input must be a stored table: every scan of it
-    numbers the rows alike."""
-    return df.withColumn(col, F.monotonically_increasing_id())
+def numbered(df: DataFrame, name: str, col: str = "_row") -> DataFrame:
+    """``df`` with a number for each row, null or repeated ids included, as a written table.
+
+    The number of a row depends on how a scan is split, so it is drawn once and stored with the row: all that is found
+    for a number must be joined with this table, never with another scan of ``df``."""
+    return materialize(df.withColumn(col, F.monotonically_increasing_id()), name)
 
 
 def boxed(df: DataFrame) -> DataFrame:
-    """(_doc, _row): each row as one struct, so that no name of its columns meets a name of ours; ``select("_doc.*")``
-    gives it back.  Numbers as of ``with_row_id``."""
-    return with_row_id(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_doc")))
+    """(_doc): each row as one struct, so that no name of its columns meets a name of ours; ``select("_doc.*")`` gives
+    it back."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_doc"))
 
 
 def as_bytes(text: object) -> bytes:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, boxed, materialize, with_row_id
+from .common import WORD, boxed, materialize, numbered
 
 BUCKETS = 4096
 #: Weights of sources in code point order, repeating.
@@ -127,8 +127,7 @@ def _next_in_gap(beyond: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most_copies: float = 2.0, seed: int = 17) -> DataFrame:
     """One row per document: _row, id, source, size, source_size, target, copies."""
-    sized = with_row_id(docs.select(F.col(id_col), F.col(source_col).alias("source"), F.col(text_col).alias("_text")))
-    sized = materialize(sized.select("_row", id_col, "source", word_count(F.col("_text")).alias("size")), "sizes")
+    sized = numbered(docs.select(F.col(id_col), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "sizes")
     targets = materialize(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most_copies), "targets")
     return sample_copies(sized, targets, id_col, seed, most_copies)
 

@@ -1,15 +1,22 @@
 """Removal of word passages that occur more than once, by level-wise doubling.
 
-Level 1 looks at windows of half the length (18 words for 35).  It need not ship them all: each full window is
-represented by the half-length window with the least hash inside it (the last such, if equal), its anchor, which is the
-same wherever the full window occurs; so a full window can only repeat if its anchor does.  Anchors repeated at this
-length alone are extended to twice it: level 2 looks at the full windows of the repeated anchors.  Most of these need no
-row of their own: the whole stretch of text whose windows share an anchor (its segment) is compared first, and where all
-segments of an anchor are equal, all its windows repeat.  Only windows of anchors with differing segments are counted
-one by one.  Doubling ends at the wanted length, the last candidates being the repeated windows themselves.
+Level 1 looks at windows of a quarter of the length (9 words for 35), level 2 at windows of twice as many words (18), the
+last at the whole length, which cuts the last doubling short.  Windows repeated at one length alone are extended to twice
+that length, until no candidates survive or the whole length is reached.
+
+A level need not ship every short window: each whole window is represented by the short window with the least hash
+inside it (the last such, if equal), its anchor, which is the same wherever the whole window occurs; so a whole window can
+only repeat if its anchor does.  The stretch of text whose whole windows share an anchor (its segment) is one row.  Anchors
+that occur once end there.  Where all segments of an anchor are equal, all its windows repeat, and this is settled at that
+level.  The windows of anchors with differing segments go on to the next level, and at the whole length they are counted one
+by one.
 
 Hashes: a window is identified by its anchor's and its own 64-bit hash together, or a segment's.  All steps are grouped
-counts (combined before the shuffle) and joins on hashes, which Spark may split where a passage is very common.
+counts (combined before the shuffle) and joins on hashes; counts are stored before they are joined, so that Spark may
+split the other side where a passage is very common.
+
+Row numbers are stored with the texts once, and everything is joined on that stored copy, so results do not depend on how
+a scan is split.
 
 Defined results: null text has no words; texts shorter than the window keep everything; repeated rows are documents of
 their own, so their windows repeat; an empty table gives no rows.
@@ -19,16 +26,16 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain
 
 import numpy as np
 import pandas as pd
 import xxhash
-from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, as_bytes, boxed, materialize, text_chunks, with_row_id
+from .common import BoundedCache, as_bytes, boxed, materialize, numbered, text_chunks
 
 WINDOW = 35
 BASE = 0x9E3779B97F4A7C15
@@ -62,53 +69,71 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def level_lengths(window: int, least: int = 9) -> list[int]:
+    """Lengths of the levels below the whole window, each twice the one before."""
+    lengths = [max(1, min(least, window // 2))]
+    while 2 * lengths[-1] < window:
+        lengths.append(2 * lengths[-1])
+    return lengths
+
+
+def _places(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... (count of them) for each, end to end."""
+    return np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+
+
 class Texts:
     """The words of some texts, end to end, with what the levels need of them."""
 
+    PLACE_BITS = 28
+
     def __init__(self, texts: pd.Series, window: int):
-        self.window, self.half = window, (window + 1) // 2
+        self.window = window
         split = [as_bytes(x).split() for x in texts]
-        self.split = split
         self.lengths = np.array([len(w) for w in split], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)])
         total = int(self.starts[-1])
         self.words = np.fromiter(map(_words.__getitem__, chain.from_iterable(split)), np.uint64, total)
-        doc = np.repeat(np.arange(len(split)), self.lengths)
-        #: places where a whole window starts
-        at = np.arange(total)
-        self.whole = at[at + window <= self.starts[1:][doc]]
-        self.doc = doc
-
-    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        """For each whole window, its anchor's place; and the half-length hashes by place."""
-        half = gram_hashes(self.words, self.half)
-        mixed = _mix(half)
-        if not len(self.whole):
-            return self.whole, mixed
-        span = self.window - self.half + 1
-        views = sliding_window_view(mixed[::-1], span)  # backwards, so that of equal ones the last is taken
-        n = len(mixed)
-        lead = n - span - self.whole
-        return self.whole + span - 1 - views[lead].argmin(axis=1), mixed
-
-    def segments(self) -> pd.DataFrame:
-        """One row for each stretch of windows with one anchor: text, first and last window, anchor, hash of anchor
-        and of the whole stretch."""
-        anchor, mixed = self.anchors()
-        if not len(anchor):
-            return pd.DataFrame({"text": [], "first": [], "last": [], "place": [], "anchor": [], "segment": []}).astype("int64")
-        doc = self.doc[self.whole]
+        self.doc = np.repeat(np.arange(len(split)), self.lengths)
+
+    def all_windows(self) -> np.ndarray:
+        """Places where a whole window starts."""
+        at = np.arange(len(self.doc))
+        return at[at + self.window <= self.starts[1:][self.doc]]
+
+    def windows_of(self, spans: pd.Series) -> np.ndarray:
+        """Places of the whole windows in the spans (packed) of each text."""
+        packed = [np.sort(np.asarray(x, np.int64)) for x in spans]
+        span = np.concatenate(packed) if packed else np.zeros(0, np.int64)
+        begin = np.repeat(self.starts[:-1], [len(x) for x in packed])
+        return _places(begin + (span >> 32), (span & 0xFFFFFFFF) + 1)
+
+    def segments(self, windows: np.ndarray, n: int) -> pd.DataFrame:
+        """One row for each stretch of ``windows`` with one anchor of ``n`` words: text, span (first window and number of
+        further ones, packed), anchor, hash of the whole stretch."""
+        if not len(windows):
+            return pd.DataFrame({"text": [], "span": [], "anchor": [], "segment": []}).astype("int64")
+        mixed = _mix(gram_hashes(self.words, n))
+        # least hash, then last place, over the places of a window's short windows, by doubling
+        last_place = np.uint64((1 << self.PLACE_BITS) - 1)
+        low = (mixed & ~last_place) | (last_place - np.arange(len(mixed), dtype=np.uint64))
+        have, span = 1, self.window - n + 1
+        while have < span:
+            step = min(have, span - have)
+            low = np.minimum(low[: len(low) - step], low[step:])
+            have += step
+        anchor = (last_place - (low[windows] & last_place)).astype(np.int64)
+        doc = self.doc[windows]
         new = np.ones(len(anchor), bool)
-        new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
+        new[1:] = (anchor[1:] != anchor[:-1]) | (windows[1:] != windows[:-1] + 1) | (doc[1:] != doc[:-1])
         lo = np.flatnonzero(new)
         hi = np.append(lo[1:], len(anchor)) - 1
         full = _mix(gram_hashes(self.words, self.window))
         # equal first and last windows, equal distances to the anchor: equal stretches
-        first, last, place = self.whole[lo], self.whole[hi], anchor[lo]
+        first, last, place = windows[lo], windows[hi], anchor[lo]
         segment = _mix(full[first] * _power(1) + full[last] * _power(2) + ((place - first) * 1009 + (last - first)).astype(np.uint64) * _power(3))
-        begin = self.starts[doc[lo]]
         return pd.DataFrame({
-            "text": doc[lo], "first": first - begin, "last": last - begin, "place": place - begin,
+            "text": doc[lo], "span": ((first - self.starts[doc[lo]]) << 32) | (last - first),
             "anchor": mixed[place].view(np.int64), "segment": segment.view(np.int64),
         })
 
@@ -116,46 +141,51 @@ class Texts:
         return _mix(gram_hashes(self.words, self.window) ^ np.uint64(BASE))
 
 
-def repeated_windows(keyed: DataFrame, text_col: str, window: int = WINDOW) -> DataFrame:
-    """``keyed`` (_row, text): (_row, runs) of the documents with repeated windows; runs: array of the first and last
-    window start (word places) of stretches of repeated windows."""
-    text = keyed.select("_row", F.col(text_col).alias("text"))
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for pdf in text_chunks(batch, "text"):
-                s = Texts(pdf["text"], window).segments()
-                packed = (s["first"].to_numpy() << 32) | (s["last"].to_numpy() - s["first"].to_numpy())
-                yield pd.DataFrame({"_row": pdf["_row"].to_numpy()[s["text"].to_numpy()], "span": packed, "anchor": s["anchor"], "segment": s["segment"]})
-
-    # level 1: anchors, and by the way whether their segments are equal
-    level1 = materialize(text.mapInPandas(scan, "_row long, span long, anchor long, segment long"), "anchors")
-    repeated = level1.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("segment") == F.max("segment")).alias("alike")).filter("n > 1").select("anchor", "alike")
-    candidates = materialize(level1.join(repeated, "anchor").select("_row", "span", "anchor", "alike"), "candidates")
-
-    # level 2: the full windows of repeated anchors whose segments differ
-    wanted = candidates.filter("not alike").groupBy("_row").agg(F.collect_list(F.struct("span", "anchor")).alias("spans"))
-
-    def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for pdf in text_chunks(batch, "text"):
-                texts = Texts(pdf["text"], window)
-                hashes = texts.window_hashes()
-                out: list[tuple] = []
-                for row, start, spans in zip(pdf["_row"].to_numpy(), texts.starts, pdf["spans"], strict=False):
-                    span = np.array([x["span"] for x in spans], np.int64)
-                    anchor = np.array([x["anchor"] for x in spans], np.int64)
-                    n = (span & 0xFFFFFFFF) + 1
-                    place = np.repeat(span >> 32, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    out.append((np.full(len(place), row), np.repeat(anchor, n), hashes[start + place].view(np.int64), place))
-                if out:
+def repeated_windows(keyed: DataFrame, text: Column, window: int = WINDOW) -> DataFrame:
+    """``keyed`` (with ``_row``, a written table): (_row, runs) of the documents with repeated windows; runs: array of the
+    first and last window start (word places) of stretches of repeated windows."""
+    texts = keyed.select("_row", text.alias("text"))
+    shape = "_row long, span long, anchor long, segment long"
+    settled: list[DataFrame] = []
+    survivors = None
+    for n in level_lengths(window):
+        rows = texts if survivors is None else texts.join(survivors.groupBy("_row").agg(F.collect_list("span").alias("spans")), "_row")
+
+        def scan(batches: Iterator[pd.DataFrame], n: int = n) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for pdf in text_chunks(batch, "text"):
+                    t = Texts(pdf["text"], window)
+                    found = t.segments(t.windows_of(pdf["spans"]) if "spans" in pdf else t.all_windows(), n)
+                    yield pd.DataFrame({"_row": pdf["_row"].to_numpy()[found["text"].to_numpy()], **{c: found[c] for c in ("span", "anchor", "segment")}})
+
+        level = materialize(rows.mapInPandas(scan, shape), f"level-{n}")
+        counted = level.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("segment") == F.max("segment")).alias("alike"))
+        counted = materialize(counted.filter("n > 1").select("anchor", "alike"), f"repeated-{n}")
+        level = materialize(level.join(counted, "anchor").select("_row", "span", "anchor", "alike"), f"candidates-{n}")
+        settled.append(level.filter("alike").select("_row", F.shiftright("span", 32).alias("first"), (F.shiftright("span", 32) + F.col("span").bitwiseAND(0xFFFFFFFF)).alias("last")))
+        survivors = level.filter("not alike").select("_row", "span", "anchor")
+        if survivors.isEmpty():
+            break
+    else:
+        # the whole length: the windows of repeated anchors whose segments differ, one by one
+        def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for pdf in text_chunks(batch, "text"):
+                    t = Texts(pdf["text"], window)
+                    hashes = t.window_hashes()
+                    out = []
+                    for row, start, spans in zip(pdf["_row"].to_numpy(), t.starts, pdf["spans"], strict=False):
+                        span = np.array([x["span"] for x in spans], np.int64)
+                        count = (span & 0xFFFFFFFF) + 1
+                        place = _places(span >> 32, count)
+                        out.append((np.full(len(place), row), np.repeat(np.array([x["anchor"] for x in spans], np.int64), count), hashes[start + place].view(np.int64), place))
                     yield pd.DataFrame(dict(zip(("_row", "anchor", "hash", "place"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
-    level2 = materialize(text.join(wanted, "_row").mapInPandas(extend, "_row long, anchor long, hash long, place long"), "windows")
-    twice = level2.groupBy("anchor", "hash").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", "hash")
-    single = level2.join(twice, ["anchor", "hash"], "left_semi").select("_row", F.col("place").alias("first"), F.col("place").alias("last"))
-    stretches = candidates.filter("alike").select("_row", F.shiftright("span", 32).alias("first"), (F.shiftright("span", 32) + F.col("span").bitwiseAND(0xFFFFFFFF)).alias("last"))
-    found = stretches.unionByName(single).groupBy("_row").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+        wanted = survivors.groupBy("_row").agg(F.collect_list(F.struct("span", "anchor")).alias("spans"))
+        whole = materialize(texts.join(wanted, "_row").mapInPandas(extend, "_row long, anchor long, hash long, place long"), "windows")
+        twice = materialize(whole.groupBy("anchor", "hash").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", "hash"), "repeated-windows")
+        settled.append(whole.join(twice, ["anchor", "hash"], "left_semi").select("_row", F.col("place").alias("first"), F.col("place").alias("last")))
+    found = reduce(DataFrame.unionByName, settled).groupBy("_row").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     return materialize(found, "runs")
 
 
@@ -175,8 +205,8 @@ def _kept(texts: pd.Series, runs: pd.Series, window: int) -> Iterator[tuple[list
 
 def dedup_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """Per document: id, n_words, n_removed, kept_sha256."""
-    keyed = with_row_id(docs.select(F.col(id_col), F.col(text_col)))
-    runs = repeated_windows(keyed, text_col, window)
+    keyed = numbered(docs.select(F.col(id_col), F.col(text_col)), "texts")
+    runs = repeated_windows(keyed, F.col(text_col), window)
 
     @F.pandas_udf("n_words long, n_removed long, kept_sha256 string")
     def digest(texts: pd.Series, found: pd.Series) -> pd.DataFrame:
@@ -189,9 +219,9 @@ def dedup_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def without_repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """``docs`` with repeated passages removed from the text (kept words joined by one space; a text that loses nothing
     stays as it is, null too).  ``n_chars``, if there, follows the new text."""
-    keyed = boxed(docs)
+    keyed = numbered(boxed(docs), "texts")
     text = F.col(f"_doc.`{text_col}`")
-    runs = repeated_windows(keyed.select("_row", text.alias("text")), "text", window)
+    runs = repeated_windows(keyed, text, window)
 
     @F.pandas_udf("string")
     def cleaned(texts: pd.Series, found: pd.Series) -> pd.Series:

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialize, scratch_path, with_row_id
+from .common import as_bytes, materialize, scratch_path
 
 REVISIT_BYTES = 1000
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"

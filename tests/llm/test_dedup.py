@@ -125,7 +125,8 @@ def test_trie_walk_finds_all_links():
     seeds = rng.integers(0, 2**63, 40, dtype=np.uint64)
     x = np.unique(np.concatenate([s ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (60, 2)).astype(np.uint64), axis=1) for s in seeds]))
     one = lambda v: np.array([v])
-    root = simhash.trie_links(x, [one(0), one(len(x)), one(0), one(len(x)), one(0)], 0, leaf=4, wide=50)
+    root, walked = simhash.trie_links(x, [one(0), one(len(x)), one(0), one(len(x)), one(0)], one(0), wide=50)
+    assert 2 * len(x) < walked < len(x) ** 2 / 4  # the walk prunes
     near = np.bitwise_count(x[:, None] ^ x[None, :]) <= 3
     want = np.arange(len(x))
     while True:
@@ -142,11 +143,64 @@ def test_crowded_blocks_are_split_without_loss(spark):
     values = sorted({base | rng.getrandbits(10) | (rng.getrandbits(6) << 42) for _ in range(600)})
     df = spark.createDataFrame([(v,) for v in values], "fingerprint long")
 
-    def classes(split_over):
-        rows = simhash.components(simhash.link_edges(df, split_over=split_over)).collect()
+    def classes(split_over, step=6):
+        rows = simhash.components(simhash.link_edges(df, split_over=split_over, step=step)).collect()
         return {r.node: r.root for r in rows}
 
-    assert classes(10) == classes(10**6)
+    whole = classes(10**6)
+    assert classes(10) == whole
+    assert classes(3, 4) == whole
+
+
+def test_no_pair_of_nodes_is_crowded(spark):
+    rng = random.Random(8)
+    base = rng.getrandbits(64)
+    values = {base ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(900)}
+    df = spark.createDataFrame([(0, v - 2**64 if v >> 63 else v) for v in values], "block long, rotated long")
+    sizes = simhash.node_pairs(df, 40, 6).groupBy(*simhash.PAIR).count().toPandas()
+    assert len(sizes) > 20 and sizes["depth"].max() > 22 and sizes["count"].max() <= 40
+
+
+def test_all_links_of_the_tables_come_from_walks(spark):
+    """On the given table every subtree with two fingerprints or more is walked, node by node, and each link is found."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    x = np.unique(simhash.fingerprints(docs, "text").select("fingerprint").toPandas()["fingerprint"].to_numpy().view(np.uint64))
+    one = lambda v: np.array([v])
+    root, walked = simhash.trie_links(x, [one(0), one(len(x)), one(0), one(len(x)), one(0)], one(0))
+    assert walked > len(x)
+    linked = {tuple(sorted((int(a), int(b)))) for a, b in zip(x[root != np.arange(len(x))], x[root[root != np.arange(len(x))]])}
+    edges = simhash.link_edges(spark.createDataFrame([(v,) for v in x.view(np.int64).tolist()], "fingerprint long")).collect()
+    found = simhash.components(spark.createDataFrame([(r.u, r.v) for r in edges], "u long, v long")).collect()
+    least = {}
+    for r in found:
+        least.setdefault(r.root, set()).add(r.node % 2**64)
+    assert {min(g) for g in least.values()} == {a for a, _ in linked} and sum(len(g) - 1 for g in least.values()) == len(linked)
+
+
+def test_results_do_not_depend_on_how_a_scan_is_split(spark, tmp_path):
+    """A table of many row groups is split by the parallelism of the moment; it changes between two steps here."""
+    rows = corpus(6, 400)
+    frame(spark, rows).repartition(1).write.option("parquet.block.size", 1024).parquet(str(tmp_path / "many"))
+    docs = spark.read.parquet(str(tmp_path / "many"))
+    real, calls = substring_dedup.materialize, []
+
+    def moving(df, name):
+        calls.append(name)
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", str(1 + 15 * (len(calls) % 2)))
+        return real(df, name)
+
+    want = sorted(tuple(r) for r in substring_dedup.dedup_digest(docs).collect())
+    kept = sorted(r.doc_id for r in simhash.keep_one_of_each(docs).collect())
+    try:
+        for module in (substring_dedup, simhash):
+            module.materialize = moving
+        assert sorted(tuple(r) for r in substring_dedup.dedup_digest(docs).collect()) == want
+        assert sorted(r.doc_id for r in simhash.keep_one_of_each(docs).collect()) == kept
+        assert len(calls) > 6
+    finally:
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+        for module in (substring_dedup, simhash):
+            module.materialize = real
 
 
 def test_keep_one(spark, tmp_path):
