@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialize, scratch_path
+from .common import as_bytes, boxed, materialize, scratch_path
 
 REVISIT_BYTES = 1000
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
@@ -43,15 +43,16 @@ _FULL16, _FULL32 = 0xFFFF, 0xFFFFFFFF
 
 
 def record_kinds(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", least: int = REVISIT_BYTES) -> DataFrame:
-    """``pages`` (a stored table) with ``refers_to``: the id of the response that a record revisits, or null.
+    """``pages`` with ``refers_to``: the id of the response that a record revisits, or null.
 
-    Copies are found on digests alone: one grouped count and a join that Spark may split at a frequent digest."""
-    keyed = with_row_id(pages)
-    payload = F.coalesce(F.encode(F.col(html_col), "UTF-8"), F.lit(b""))
-    marks = keyed.select("_row", F.col(id_col).alias("_id"), F.sha1(payload).alias("digest"), F.octet_length(payload).alias("n")).filter(F.col("n") >= least)
-    groups = marks.groupBy("digest", "n").agg(F.max("_id").alias("largest"), F.count("*").alias("copies")).filter("copies > 1 and largest is not null")
-    again = marks.join(groups.select("digest", "n", "largest"), ["digest", "n"]).filter(~F.col("_id").eqNullSafe(F.col("largest")))
-    return keyed.join(again.select("_row", F.col("largest").alias("refers_to")), "_row", "left").drop("_row")
+    Copies are found on digests alone, by one grouped count that is stored; a page meets it by its own digest, so no row
+    needs a number, and Spark may split a frequent digest's pages."""
+    payload = F.coalesce(F.encode(F.col(f"_doc.`{html_col}`"), "UTF-8"), F.lit(b""))
+    keyed = boxed(pages).select("_doc", F.sha1(payload).alias("digest"), F.octet_length(payload).alias("n"))
+    marks = keyed.filter(F.col("n") >= least).groupBy("digest", "n").agg(F.max(F.col(f"_doc.`{id_col}`")).alias("largest"), F.count("*").alias("copies"))
+    groups = materialize(marks.filter("copies > 1 and largest is not null").select("digest", "n", "largest"), "payloads")
+    again = F.when(~F.col(f"_doc.`{id_col}`").eqNullSafe(F.col("largest")), F.col("largest"))
+    return keyed.join(groups, ["digest", "n"], "left").select("_doc.*", again.alias("refers_to"))
 
 
 def _urn(page_id: object) -> str:
@@ -196,8 +197,9 @@ def member_start(read, member: Member) -> int:
     return member.header + 30 + sum(struct.unpack("<2H", head[26:30]))
 
 
-def records_of(read, size: int) -> Iterator[dict]:
-    """All records of a package, by its indexes and ranges."""
+def records_of(read, size: int, block: int = 8 << 20) -> Iterator[dict]:
+    """All records of a package, by its indexes and ranges.  Records that lie together are read in one request of up to
+    ``block`` bytes (a larger record in one of its own)."""
     members = {m.name: m for m in central_directory(read, size)}
     for name, m in members.items():
         if not name.startswith("indexes/"):
@@ -205,9 +207,17 @@ def records_of(read, size: int) -> Iterator[dict]:
         data = members[DATA]
         first = member_start(read, data)
         # a key may hold braces and any line break but newline; it holds no spaces
-        for line in filter(None, read(member_start(read, m), m.size).decode().split("\n")):
-            place = json.loads(line.split(" ", 2)[2])
-            yield parse_record(zlib.decompress(read(first + place["offset"], place["length"]), 31))
+        lines = filter(None, read(member_start(read, m), m.size).decode().split("\n"))
+        places = sorted((x["offset"], x["length"]) for x in (json.loads(line.split(" ", 2)[2]) for line in lines))
+        at = 0
+        while at < len(places):
+            begin, until = places[at][0], at + 1
+            while until < len(places) and sum(places[until]) - begin <= block:
+                until += 1
+            held = read(first + begin, sum(places[until - 1]) - begin)
+            for offset, length in places[at:until]:
+                yield parse_record(zlib.decompress(held[offset - begin : offset - begin + length], 31))
+            at = until
 
 
 def read_archives(archives: DataFrame, tasks: int | None = None) -> DataFrame:
