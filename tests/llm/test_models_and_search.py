@@ -201,6 +201,23 @@ def test_search_recall(spark):
     assert {len(v) for v in got.values()} == {20}  # a query whose neighbours lie elsewhere still gets its number
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_recall_on_the_given_tables(spark, sf):
+    df = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    rows = df.select("vec_id", "embedding").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], np.float64)
+    got = {}
+    for r in ann.search(df).collect():
+        got.setdefault(r.query_id, []).append(r.score)
+    asked = ids[ids % 20 == 0]
+    assert set(got) == set(asked.tolist()) and {len(v) for v in got.values()} == {20}
+    hits = 0
+    for q in asked:
+        score = np.sort((x @ x[ids == q][0])[ids != q])[::-1]
+        hits += sum(s >= score[19] - 1e-12 for s in got[q])
+    assert hits / (20 * len(asked)) >= 0.92
+
+
 @pytest.mark.parametrize("epsilon", [ann.EPSILON, -3.0])
 def test_every_query_gets_its_number(spark, monkeypatch, epsilon):
     """Where the sample is the whole table too, and even if the test abandons nearly all."""
