@@ -44,18 +44,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again: cuts lineage, survives lost executors.  The
-    shuffle files of the writing job are given back when it ends."""
+    """Write ``df`` as Parquet in the shared folder and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    append(df, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def append(df: DataFrame, path: str) -> None:
+    """Add rows to the Parquet table at ``path``.  The shuffle files of the job are given back when it ends."""
+    spark = df.sparkSession
     clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     was = spark.conf.get(clean, "false")
     spark.conf.set(clean, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.mode("append").option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(clean, was)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def numbered(df: DataFrame, name: str, col: str = "_row") -> DataFrame:

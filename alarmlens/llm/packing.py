@@ -6,7 +6,15 @@ level down, and a gap takes the piece whose level it closes.  Levels are ranks:
 first level, and a row's rank within its class the rest, so the sweep is grouped counts and one window over each level
 (at most two rows of a size meet in a level, so no window exceeds twice the capacity).  Gaps shrink by what they took
 and the next round starts, until nothing fits; then sequences are opened for the longest pieces left and it goes on.
-Every round is a written table in the shared folder.
+What a round places is added to one table in the shared folder, and what it leaves is a table of its own.
+
+Three parameters set the pace and drop nothing: a sweep that places less than the share ``few`` of the waiting pieces is
+the last before sequences are opened; these are opened for pieces longer than ``share`` of the longest; and for all that
+are left once these hold no more than the share ``rest`` of all tokens.
+
+Ids: every token lies within a run without white space, so runs are looked up by themselves (a bounded cache).  Runs that
+are new are split by the file's own pattern and looked up piece by piece in the library's model, if all their characters
+are ones that the library was seen to treat one by one; all others go through the library's ``encode`` as they are.
 
 Defined results: null text counts as empty and is one token (the separator); repeated rows are packed once each; an
 empty table gives no rows.
@@ -14,8 +22,8 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 import re
-import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, as_bytes, materialize
+from .common import BoundedCache, append, as_bytes, materialize, numbered, scratch_path
 
 CAPACITY = 2048
 SEPARATOR = 0
@@ -39,42 +47,45 @@ def default_tokenizer() -> str:
 
 
 class WordTokenizer:
-    """Ids of a text, word by word: every token of this kind of file lies within a run without white space, so a
-    bounded cache of such runs gives the ids that the tokenizer gives for the whole text.
+    """Ids as ``Tokenizer.from_file(path).encode(text, add_special_tokens=False)`` gives them; strings of special tokens
+    in a text are special tokens."""
 
-    Runs of characters below U+0250 go through the file's own pre-token pattern and the library's model; any other run
-    goes through the library as a whole.  Strings of special tokens are ordinary text.
-    """
-
-    #: Characters below this are unchanged by NFC; U+0130 lower-cases to two characters.
+    #: Characters below this are looked at one by one; there are no combining ones among them.
     SIMPLE = 0x250
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
-        kind = {k: "".join(chr(c) for c in range(self.SIMPLE) if unicodedata.category(chr(c))[0] == k) for k in "LN"}
-        letters, numbers, spaces = kind["L"], kind["N"], "\t-\r \x85\xa0"
-        self.pattern = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{spaces}{letters}{numbers}]+")
-        self.unusual = re.compile(f"[^\x00-{chr(self.SIMPLE - 1)}]|İ|<\\|")
-        printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-        others = [b for b in range(256) if b not in set(printable)]
-        self.as_char = {b: b for b in printable} | {b: 256 + k for k, b in enumerate(others)}
-        self.pre_tokens = BoundedCache(self._pre_token, 300_000)
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        self.split = regex.compile(next(x["pattern"]["Regex"] for x in told["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")).findall
+        # what the library makes of each simple character: its normal form, its kind, its bytes' names
+        normal, level = self.tokenizer.normalizer.normalize_str, self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.normal: dict[int, str] = {}
+        self.level: dict[int, str] = {}
+        for code in range(self.SIMPLE):
+            c = normal(chr(code))
+            pieces = [x for x, _ in level(c)]
+            alike = len(c) == 1 and all([len(level(t)) == len(self.split(t)) for t in (c, c + c, c + "a", "a" + c, c + "1", c + ".")])
+            if alike and len(pieces) < 2:
+                self.normal[code] = c
+                self.level[ord(c)] = "".join(pieces)
+        simple = "".join(map(re.escape, map(chr, self.normal)))
+        self.unusual = re.compile("|".join([f"[^{simple}]", *(re.escape(x["content"]) for x in told["added_tokens"])])).search
+        self.pieces = BoundedCache(self._piece, 300_000)
         self.runs = BoundedCache(self._run, 400_000)
 
-    def _pre_token(self, s: str) -> bytes:
-        if not s.isascii() or not s.isprintable():
-            s = s.encode().decode("latin-1").translate(self.as_char)
-        return np.array([t.id for t in self.model.tokenize(s)], "<u4").tobytes()
+    def _piece(self, s: str) -> bytes:
+        return np.array([t.id for t in self.model.tokenize(s.translate(self.level))], "<u4").tobytes()
 
     def _run(self, run: bytes) -> bytes:
         s = run.decode("utf-8", "replace")
-        if self.unusual.search(s):
+        if self.unusual(s):
             return np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join([self.pre_tokens[x] for x in self.pattern.findall(s.lower())])
+        return b"".join([self.pieces[x] for x in self.split(s.translate(self.normal))])
 
     def ids(self, data: bytes) -> bytes:
         """Little-endian unsigned 32-bit ids of UTF-8 ``data``."""
@@ -87,7 +98,7 @@ def _tokenizer(path: str) -> WordTokenizer:
 
 
 def tokenized_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
-    """One row per piece: id, piece, start, length, ids_crc32.  Each document ends with the separator id; only longer
+    """One row per piece: ``id``, piece, start, length, ids_crc32.  Each document ends with the separator id; only longer
     documents than ``capacity`` are cut."""
     path = tokenizer or default_tokenizer()
     end = np.array([SEPARATOR], "<u4").tobytes()
@@ -96,18 +107,19 @@ def tokenized_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         tok = _tokenizer(path)
         for pdf in batches:
             rows, crcs = [], []
-            for at, text in enumerate(pdf[text_col]):
+            for at, text in enumerate(pdf["text"]):
                 ids = tok.ids(as_bytes(text)) + end
                 for k in range(0, len(ids), 4 * capacity):
                     part = ids[k : k + 4 * capacity]
                     rows.append((at, k // (4 * capacity), k // 4, len(part) // 4))
                     crcs.append(zlib.crc32(part))
             at, piece, start, length = np.array(rows, np.int64).reshape(-1, 4).T
-            yield pd.DataFrame({"id": pdf[id_col].take(at).array, "piece": piece.astype(np.int32), "start": start, "length": length, "ids_crc32": crcs})
+            yield pd.DataFrame({"id": pdf["id"].take(at).array, "piece": piece.astype(np.int32), "start": start, "length": length, "ids_crc32": crcs})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    found = docs.select(id_col, text_col).mapInPandas(cut, f"id {kind}, piece int, start long, length long, ids_crc32 long")
-    return found.withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    found = rows.mapInPandas(cut, f"id {kind}, piece int, start long, length long, ids_crc32 long")
+    return found
 
 
 def _sweep(rows: DataFrame, capacity: int, buckets: int) -> DataFrame:
@@ -152,30 +164,26 @@ def _open(pieces: DataFrame, capacity: int, buckets: int) -> DataFrame:
     return laid.select("id", "size", F.when(fits, F.col("number")).alias("mate"), F.when(fits, F.col("at") - lead).alias("at"))
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, rows_per_bucket: int = 2_000_000, most_rounds: int = 400, few: float = 0.1, share: float = 0.3, rest: float = 0.005) -> DataFrame:
-    """Place ``pieces`` (id long, unique; size long from 1 to ``capacity``): one row each (id, sequence_id, offset).
-
-    A sweep that places less than ``few`` of what is left is the last before sequences are opened for pieces longer
-    than ``share`` of the longest, or for all once they make up no more than ``rest`` of all tokens."""
+def pack(pieces: DataFrame, capacity: int = CAPACITY, rows_per_bucket: int = 500_000, few: float = 0.1, share: float = 0.3, rest: float = 0.005) -> DataFrame:
+    """Place ``pieces`` (id long, unique; size long from 1 to ``capacity``): one row each (id, sequence_id, offset)."""
+    spark, path = pieces.sparkSession, scratch_path(pieces.sparkSession, "placed")
     total, tokens = pieces.agg(F.count("*"), F.sum("size")).first()
     if not total:
         return pieces.select("id", F.lit(None).cast("long").alias("sequence_id"), F.lit(None).cast("long").alias("offset"))
-    buckets = max(4, total // rows_per_bucket)
+    buckets = max(16, total // rows_per_bucket)
     large = pieces.filter(F.col("size") * 2 > capacity)
-    placed = [large.select("id", F.col("id").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
+    append(large.select("id", F.col("id").alias("sequence_id"), F.lit(0).cast("long").alias("offset")), path)
     gaps = large.select("id", (F.lit(capacity) - F.col("size")).alias("size")).filter("size > 0")
     left = pieces.filter(F.col("size") * 2 <= capacity)
     opened = 0
     waiting, least, most, weight = left.agg(F.count("*"), F.min("size"), F.max("size"), F.sum("size")).first()
-    for _ in range(most_rounds):
-        if most is None:
-            break
+    while most is not None:  # each time round places a piece or opens a sequence
         fit = gaps.filter(F.col("size") >= least)
         swept = materialize(_sweep(left.withColumn("is_gap", F.lit(False)).unionByName(fit.withColumn("is_gap", F.lit(True))), capacity, buckets), "sweep")
         got = swept.filter("not is_gap and mate is not null")
         unplaced = F.when(~F.col("is_gap") & F.col("mate").isNull(), F.col("size"))
         found, least, most, weight = swept.agg(F.count(F.when(~F.col("is_gap"), F.col("mate"))), F.min(unplaced), F.max(unplaced), F.sum(unplaced)).first()
-        placed.append(got.select("id", F.col("mate").alias("sequence_id"), (F.lit(capacity) - F.col("mate_size")).alias("offset")))
+        append(got.select("id", F.col("mate").alias("sequence_id"), (F.lit(capacity) - F.col("mate_size")).cast("long").alias("offset")), path)
         left = swept.filter("not is_gap and mate is null").select("id", "size")
         gaps = swept.filter("is_gap").select("id", (F.col("size") - F.coalesce("mate_size", F.lit(0))).alias("size")).filter("size > 0")
         enough, waiting = found >= max(1, few * waiting), waiting - found
@@ -184,23 +192,17 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rows_per_bucket: int = 2_0
         limit = 0 if weight <= rest * tokens else int(share * most)
         laid = materialize(_open(left.filter(F.col("size") > limit), capacity, buckets), "opened")
         new = F.lit(-1 - opened) - F.col("mate")
-        placed.append(laid.filter("mate is not null").select("id", new.alias("sequence_id"), F.col("at").alias("offset")))
+        append(laid.filter("mate is not null").select("id", new.alias("sequence_id"), F.col("at").cast("long").alias("offset")), path)
         fresh = laid.filter("mate is not null").groupBy(new.alias("id")).agg((F.lit(capacity) - F.sum("size")).alias("size")).filter("size > 0")
         opened += laid.agg(F.max("mate")).first()[0] + 1
         gaps = gaps.unionByName(fresh)
         left = left.filter(F.col("size") <= limit).unionByName(laid.filter("mate is null").select("id", "size"))
         waiting, least, most, weight = left.agg(F.count("*"), F.min("size"), F.max("size"), F.sum("size")).first()
-    else:
-        raise RuntimeError(f"packing did not end in {most_rounds} rounds")
-    out = placed[0]
-    for part in placed[1:]:
-        out = out.unionByName(part)
-    return out
+    return spark.read.schema("id long, sequence_id long, offset long").parquet(path)
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
     """Tokenise and pack: id, piece, start, length, ids_crc32, sequence_id, offset."""
-    cut = tokenized_pieces(docs, id_col, text_col, capacity, tokenizer).withColumn("_piece", F.monotonically_increasing_id())
-    pieces = materialize(cut, "pieces")
-    places = pack(pieces.select(F.col("_piece").alias("id"), F.col("length").alias("size")), capacity)
-    return pieces.join(places, pieces["_piece"] == places["id"]).select(id_col, "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    pieces = numbered(tokenized_pieces(docs, id_col, text_col, capacity, tokenizer), "pieces", "_piece")
+    places = pack(pieces.select(F.col("_piece").alias("id"), F.col("length").alias("size")), capacity).withColumnRenamed("id", "_piece")
+    return pieces.join(places, "_piece").select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
