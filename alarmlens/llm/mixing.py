@@ -1,17 +1,21 @@
 """Mixing sources to target weights by Pareto order sampling, in DataFrame operations only.
 
-Every source has a target in words.  A document's expected copies are its source's target over the source's size (times
-its own propensity, where one is given), at most ``most_copies``.  The whole part is certain; the rest is the inclusion
-probability of one more copy.  Documents are ranked by the odds of a random number over the odds of that probability,
-and those of the lowest ranks are taken until the source's remaining words are reached: an unequal-probability sample
-whose size is fixed, in words.  The place where a source's ranking is cut is found in two steps, a histogram of the rank
-variable by source and then the one bucket that holds the cut, so no source is ever ordered as a whole.  What is missing
-at the cut (less than one document) is filled by going on down the ranking, over those documents that are not larger than
-what is missing and by the same two steps, until none fits.
+Every source has a target in words.  A document's expected copies grow with its propensity (by default the number of bits
+of its size, so that of two documents the longer one is the likelier), scaled so that they make up its source's target and
+cut at ``most_copies``.  The whole part is certain; the rest is the inclusion probability of one more copy.  Documents are
+ranked by the odds of a random number over the odds of that probability, and those of the lowest ranks are taken until the
+source's remaining words are reached: an unequal-probability sample whose size is fixed, in words.
+
+The place where a source's ranking is cut is found by histograms: of the ranks' leading bits, then of the next bits within
+the one bucket that holds the cut, and so on until that bucket is small; only its rows are ordered.  So no source is ever
+ordered as a whole, however large it is.  What is missing at the cut (less than one document) is filled by going on down
+the same ranking, over those documents that are not larger than what is missing and by the same steps, until none fits.
+
+Row numbers are stored with the sizes (or documents) once, and everything is joined on that stored copy.
 
 Defined results: null text has size 0 and is never taken twice on account of it; a null source is a source, sorted last;
-repeated rows are sampled one by one; an empty table gives no rows.  The random numbers are hashes of the id and the
-seed, so that reruns agree.
+repeated rows are sampled one by one; an empty table gives no rows.  The random numbers are hashes of id, text and the seed,
+so that reruns agree; the stored row numbers only tell rows apart that are equal in both.
 """
 
 from __future__ import annotations
@@ -22,7 +26,11 @@ from pyspark.sql import functions as F
 
 from .common import WORD, boxed, materialize, numbered
 
-BUCKETS = 4096
+#: Bits of a rank and of what tells equal ranks apart; bits that one histogram looks at.
+RANK_BITS, TIE_BITS, STEP = 36, 12, 12
+KEY_BITS = RANK_BITS + TIE_BITS
+#: Rows of a bucket that are ordered.
+BUCKET_ROWS = 50_000
 #: Weights of sources in code point order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
 
@@ -53,87 +61,112 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     return rows.select("source", "source_size", target.alias("target"))
 
 
-def _key(rank: Column) -> Column:
-    return F.least(F.floor(rank * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
-
-
-def sample_copies(sized: DataFrame, targets: DataFrame, id_col: str, seed: int = 17, most_copies: float = 2.0, propensity: str | None = None) -> DataFrame:
-    """``sized`` (_row, id, source, size[, propensity]) with ``source_size``, ``target`` and ``copies``."""
-    share = F.col("target") / F.col("source_size")
-    if propensity:  # relative to its mean over the source's words
-        mean = sized.groupBy("source").agg((F.sum(F.col(propensity) * F.col("size")) / F.sum("size")).alias("_mean"), F.first("source").alias("_s"))
-        targets = targets.join(mean.select("_s", "_mean"), targets.source.eqNullSafe(F.col("_s")), "left").drop("_s")
-        share = share * F.col(propensity) / F.col("_mean")
-    expected = F.least(share, F.lit(float(most_copies)))
-    rows = sized.join(targets, sized.source.eqNullSafe(targets.source)).drop(targets.source)
-    rows = rows.withColumn("expected", F.when(F.col("source_size") > 0, expected).otherwise(F.lit(0.0)))
-    rows = rows.withColumn("sure", F.floor("expected")).withColumn("part", F.col("expected") - F.col("sure"))
+def bits_of(size: Column) -> Column:
+    """Number of binary digits: a propensity of few values."""
+    return F.length(F.bin(size)).cast("double")
+
+
+def _scales(sized: DataFrame, targets: DataFrame, propensity: str, most_copies: float) -> DataFrame:
+    """(s, scale) of each source: the expected copies are scale times propensity, at most ``most_copies``, and make up the
+    target.  Null where every document has the most copies.  Windows run over a source's distinct propensities."""
+    classes = sized.groupBy("source", F.col(propensity).alias("p")).agg(F.sum("size").alias("words"))
+    classes = materialize(classes.join(targets, classes.source.eqNullSafe(targets.source)).select(targets.source.alias("s"), "target", "p", "words"), "propensities")
+    falling = W.partitionBy("s").orderBy(F.desc("p"))
+    full = F.coalesce(F.sum("words").over(falling.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) * F.lit(float(most_copies))
+    open_ = F.sum(F.col("p") * F.col("words")).over(falling.rowsBetween(W.currentRow, W.unboundedFollowing))
+    scale = F.try_divide(F.col("target") - full, open_)
+    tried = classes.withColumn("scale", scale).filter(F.col("scale") * F.col("p") < most_copies)
+    return tried.groupBy("s").agg(F.max_by("scale", "p").alias("scale"))
+
+
+def _cuts(rows: DataFrame, room: DataFrame) -> DataFrame:
+    """Where the rankings of ``rows`` (source, key, size) exceed the ``room`` (s, room) of their sources: (s, shift,
+    prefix, room): keys with lesser leading bits fit, those with these bits have ``room`` among them.  Sources that fit
+    as a whole have no row."""
+    cuts = room.select("s", F.lit(KEY_BITS).alias("shift"), F.lit(0).cast("long").alias("prefix"), F.greatest(F.col("room").cast("double"), F.lit(0.0)).alias("room"))
+    for shift in range(KEY_BITS - STEP, -1, -STEP):
+        inside = rows.join(cuts, F.col("source").eqNullSafe(F.col("s")) & F.expr("shiftright(key, shift) = prefix"))
+        # stored before the window, so that what a source sends there is one row a bucket
+        buckets = materialize(inside.groupBy("s", "room", F.shiftright("key", shift).alias("bucket")).agg(F.sum("size").alias("words"), F.count("*").alias("n")), "buckets")
+        upto = F.sum("words").over(W.partitionBy("s").orderBy("bucket"))
+        cut = buckets.withColumn("upto", upto).filter((F.col("upto") > F.col("room")) & (F.col("upto") - F.col("words") <= F.col("room")))
+        cut = materialize(cut.select("s", F.lit(shift).alias("shift"), F.col("bucket").alias("prefix"), (F.col("room") - F.col("upto") + F.col("words")).alias("room"), "n"), "cuts")
+        cuts = cut.drop("n")
+        if (cut.agg(F.max("n")).first()[0] or 0) <= BUCKET_ROWS:
+            break
+    return cuts
+
+
+def _fill(rows: DataFrame, room: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """One pass down the ranking of ``rows`` (source, id, _row, key, size): the cuts; the numbers of the rows in cut
+    buckets that fit; and the rows behind the cut that fit into what is then left, with it as ``room`` (s, room)."""
+    cuts = _cuts(rows, room)
+    placed = rows.join(cuts, F.col("source").eqNullSafe(F.col("s")))
+    at = F.expr("shiftright(key, shift)")
+    inside = placed.filter(at == F.col("prefix"))
+    inside = materialize(inside.withColumn("filled", F.sum("size").over(W.partitionBy("source").orderBy("key", id_col, "_row").rowsBetween(W.unboundedPreceding, 0))), "inside")
+    fits = inside.filter(F.col("filled") <= F.col("room"))
+    got = fits.groupBy("source").agg(F.max("filled").alias("got"))
+    left = cuts.join(got, F.col("s").eqNullSafe(F.col("source")), "left").select("s", (F.col("room") - F.coalesce("got", F.lit(0))).alias("room"))
+    left = materialize(left, "left")
+    behind = placed.filter(at > F.col("prefix")).select(*rows.columns).union(inside.filter(F.col("filled") > F.col("room")).select(*rows.columns))
+    behind = behind.join(left, F.col("source").eqNullSafe(F.col("s"))).filter((F.col("size") <= F.col("room")) & (F.col("size") > 0))
+    return cuts, fits.select("_row"), materialize(behind.select(*rows.columns), "behind"), left
+
+
+def sample_copies(sized: DataFrame, targets: DataFrame, id_col: str, seed: int = 17, most_copies: float = 2.0, propensity: str | None = None, draw: str | None = None) -> DataFrame:
+    """``sized`` (_row, id, source, size[, propensity, draw]), a written table, with ``source_size``, ``target`` and
+    ``copies``.  A propensity takes few values; ``draw`` is what the random numbers are drawn by, else the id."""
+    base = sized.withColumn("_p", F.col(propensity) if propensity else F.lit(1.0))
+    scales = materialize(_scales(base, targets, "_p", most_copies), "scales")
+    rows = base.join(targets.withColumnRenamed("source", "_of"), F.col("source").eqNullSafe(F.col("_of"))).join(scales, F.col("source").eqNullSafe(F.col("s")), "left").drop("_of", "s")
+    expected = F.when(F.col("source_size") > 0, F.least(F.coalesce(F.col("scale") * F.col("_p"), F.lit(float(most_copies))), F.lit(float(most_copies)))).otherwise(F.lit(0.0))
+    rows = rows.withColumn("expected", expected).withColumn("sure", F.floor("expected")).withColumn("part", F.col("expected") - F.col("sure"))
     # 52 bits of a hash as a number in (0, 1)
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), F.col("_row")), 12).cast("double") + 0.5) / float(1 << 52)
-    odds = (u / (1 - u)) / (F.col("part") / (1 - F.col("part")))
-    # a rank in (0, 1), growing with the ratio of the odds; 2 for those that have no further copy
-    rows = rows.withColumn("rank", F.when(F.col("part") > 0, odds / (1 + odds)).otherwise(F.lit(2.0)))
-    open_ = F.col("part") > 0
-    rows = rows.withColumn("bucket", F.when(open_, _key(F.col("rank"))).otherwise(F.lit(-1)))
-    histogram = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.sum(F.col("sure") * F.col("size")).alias("sure_words"), F.first("target").alias("target"))
-    of_source = W.partitionBy("source")
-    histogram = histogram.withColumn("rest", F.col("target") - F.sum("sure_words").over(of_source))
-    below = F.coalesce(F.sum(F.when(F.col("bucket") >= 0, F.col("words")).otherwise(0)).over(of_source.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    histogram = histogram.withColumn("below", below).filter("bucket >= 0")
-    # the cut lies in the first bucket that reaches the rest
-    cut = histogram.filter((F.col("below") + F.col("words") >= F.col("rest")) & (F.col("below") < F.col("rest"))).select(
-        F.col("source").alias("s"), F.col("bucket").alias("cut_bucket"), (F.col("rest") - F.col("below")).alias("room")
-    )
-    none = histogram.filter("rest <= 0").select(F.col("source").alias("s"), F.lit(-1).alias("cut_bucket"), F.lit(0.0).alias("room")).distinct()
-    cut = materialize(cut.unionByName(none), "cuts")
-    rows = rows.join(cut, rows.source.eqNullSafe(cut.s), "left").drop("s")
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(draw or id_col)), 12).cast("double") + 0.5) / float(1 << 52)
+    # odds over odds, as a number in (0, 1) that grows with it
+    rank = F.when(F.col("part") > 0, u * (1 - F.col("part")) / (u * (1 - F.col("part")) + (1 - u) * F.col("part"))).otherwise(F.lit(1.0))
+    high = F.least(F.floor(rank * float(1 << RANK_BITS)), F.lit((1 << RANK_BITS) - 1)).cast("long")
+    rows = rows.withColumn("key", F.shiftleft(high, TIE_BITS).bitwiseOR(F.xxhash64("_row").bitwiseAND((1 << TIE_BITS) - 1)))
+    rows = materialize(rows.select(*sized.columns, "source_size", "target", "sure", "part", "key"), "ranked")
+    room = rows.groupBy(F.col("source").alias("s")).agg((F.first("target") - F.sum(F.col("sure") * F.col("size"))).alias("room"))
+    open_ = rows.filter("part > 0").select("source", id_col, "_row", "key", "size")
+    cuts, extra, behind, left = _fill(open_, materialize(room, "room"), id_col)
+    while not behind.isEmpty():
+        more, fits, behind_next, left = _fill(behind, left, id_col)
+        whole = behind.join(more, F.col("source").eqNullSafe(F.col("s")), "left").filter(F.col("prefix").isNull() | F.expr("shiftright(key, shift) < prefix"))
+        extra, behind = extra.union(fits).union(whole.select("_row")), behind_next
+    extra = materialize(extra.select(F.col("_row").alias("r"), F.lit(True).alias("filled_in")), "at-the-cut")
+    rows = rows.join(cuts, F.col("source").eqNullSafe(F.col("s")), "left").join(extra, F.col("_row") == F.col("r"), "left")
     # a source without a cut takes every further copy there is
-    at_cut = F.col("bucket") == F.col("cut_bucket")
-    inside = rows.filter(at_cut).withColumn("filled", F.sum("size").over(W.partitionBy("source").orderBy("rank", id_col, "_row")))
-    chosen = inside.filter(F.col("filled") <= F.col("room")).select(F.col("_row").alias("r"), "source", "filled", "room")
-    gap = cut.join(chosen.groupBy("source").agg(F.max("filled").alias("got")), F.col("s").eqNullSafe(F.col("source")), "left").select("s", "cut_bucket", (F.col("room") - F.coalesce("got", F.lit(0))).alias("gap"))
-    beyond = rows.drop("cut_bucket", "room").join(gap, F.col("source").eqNullSafe(F.col("s")))
-    beyond = beyond.filter((F.col("bucket") >= F.col("cut_bucket")) & (F.col("size") <= F.col("gap")) & (F.col("size") > 0))
-    beyond = materialize(beyond.join(chosen.select("r"), F.col("_row") == F.col("r"), "left_anti").select("source", id_col, "_row", "size", "rank", "bucket", "gap"), "beyond")
-    extra = chosen.select("r")
-    while not beyond.isEmpty():
-        taken, beyond = _next_in_gap(beyond, id_col)
-        extra = extra.union(taken)
-    extra = materialize(extra, "at-the-cut")
-    rows = rows.join(extra.withColumn("in_cut", F.lit(True)), F.col("_row") == F.col("r"), "left")
-    more = F.when(F.col("part") <= 0, 0).when(F.col("in_cut"), 1).when(F.col("cut_bucket").isNull() | (F.col("bucket") < F.col("cut_bucket")), 1).otherwise(0)
+    below = F.col("prefix").isNull() | F.expr("shiftright(key, shift) < prefix")
+    more = F.when((F.col("part") > 0) & (below | F.col("filled_in")), 1).otherwise(0)
     return rows.select(*sized.columns, "source_size", "target", (F.col("sure") + more).cast("int").alias("copies"))
 
 
-def _next_in_gap(beyond: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
-    """Numbers of the first documents by rank that fit into their source's gap together, and the documents behind them
-    that fit into what is then left.  At least the one at the cut, or all of a source, leaves in each call."""
-    histogram = beyond.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("gap").alias("gap"))
-    histogram = histogram.withColumn("upto", F.sum("words").over(W.partitionBy("source").orderBy("bucket")))
-    cut = histogram.filter((F.col("upto") > F.col("gap")) & (F.col("upto") - F.col("words") <= F.col("gap")))
-    cut = materialize(cut.select(F.col("source").alias("s"), F.col("bucket").alias("cut_bucket"), (F.col("upto") - F.col("words")).alias("below"), F.col("gap").alias("room")), "fill-cuts")
-    rows = beyond.join(cut, F.col("source").eqNullSafe(F.col("s")), "left")
-    inside = rows.filter(F.col("bucket") == F.col("cut_bucket"))
-    inside = inside.withColumn("filled", F.col("below") + F.sum("size").over(W.partitionBy("source").orderBy("rank", id_col, "_row").rowsBetween(W.unboundedPreceding, 0)))
-    inside = materialize(inside, "fill-inside")
-    fits = inside.filter(F.col("filled") <= F.col("room"))
-    got = fits.groupBy("source").agg(F.max("filled").alias("got"))
-    gaps = cut.join(got, F.col("s").eqNullSafe(F.col("source")), "left").select(F.col("s").alias("of"), (F.col("room") - F.coalesce("got", "below")).alias("left"))
-    taken = rows.filter(F.col("cut_bucket").isNull() | (F.col("bucket") < F.col("cut_bucket"))).select(F.col("_row").alias("r")).union(fits.select(F.col("_row").alias("r")))
-    behind = rows.filter(F.col("bucket") > F.col("cut_bucket")).select(*beyond.columns).union(inside.filter(F.col("filled") > F.col("room")).select(*beyond.columns))
-    behind = behind.join(gaps, F.col("source").eqNullSafe(F.col("of"))).filter(F.col("size") <= F.col("left")).withColumn("gap", F.col("left"))
-    return taken, materialize(behind.select(*beyond.columns), "beyond")
+def _mixed_sizes(sized: DataFrame, weights: tuple[float, ...], share: float, most_copies: float, seed: int) -> DataFrame:
+    """``sized``: (_row, id, source, size, draw), a written table."""
+    sizes = materialize(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "source-sizes")
+    targets = materialize(source_targets(sizes, weights, share, most_copies), "targets")
+    rows = sized.withColumn("propensity", bits_of(F.col("size")))
+    return sample_copies(rows, targets, "id", seed, most_copies, "propensity", "draw").drop("propensity", "draw")
+
+
+def _sized(prefix: str, id_col: str, text_col: str, source_col: str) -> list[Column]:
+    i, text, source = (F.col(f"{prefix}`{c}`") for c in (id_col, text_col, source_col))
+    return [i.alias("id"), source.alias("source"), word_count(text).alias("size"), F.xxhash64(i, text).alias("draw")]
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most_copies: float = 2.0, seed: int = 17) -> DataFrame:
     """One row per document: _row, id, source, size, source_size, target, copies."""
-    sized = numbered(docs.select(F.col(id_col), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "sizes")
-    targets = materialize(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most_copies), "targets")
-    return sample_copies(sized, targets, id_col, seed, most_copies)
+    sized = numbered(docs.select(*_sized("", id_col, text_col, source_col)), "sizes")
+    return _mixed_sizes(sized, weights, share, most_copies, seed).withColumnRenamed("id", id_col)
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most_copies: float = 2.0, seed: int = 17) -> DataFrame:
     """The documents of the mix: each as often as it is taken."""
-    copies = mix(docs, id_col, text_col, source_col, **how).filter("copies > 0").select("_row", F.col("copies").alias("_copies"))
-    rows = boxed(docs).join(copies, "_row")
+    keyed = numbered(boxed(docs), "documents")
+    sized = materialize(keyed.select(*_sized("_doc.", id_col, text_col, source_col), "_row"), "sizes")
+    copies = _mixed_sizes(sized, weights, share, most_copies, seed).filter("copies > 0").select("_row", F.col("copies").alias("_copies"))
+    rows = keyed.join(copies, "_row")
     return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_doc.*")
