@@ -1,25 +1,32 @@
 """Toxicity by a support vector machine on a subsequence string kernel with Nyström landmarks.
 
-Kernel: two strings share the subsequences of three bytes (of the lower-cased UTF-8 word between two edge marks) that
-span at most ``SPAN`` bytes; each counts ``DECAY`` to the power of its span, so that inserted characters weaken a match
-and do not end it.  Strings are scaled by their length.  Runs of one-character words are read as one word too, so that
-letters set apart are seen.  Landmarks span the feature space (Nyström); a linear machine with squared hinge loss is
-trained on it.
+Kernel: two strings share the subsequences of three characters that span at most ``SPAN`` characters; each counts
+``DECAY`` to the power of its span, so that gaps and inserted characters weaken a match and do not end it.  Strings are
+scaled by their length.
 
-Training has only documents' labels and works on single words: those of documents labelled 0 are clean; of each document
-labelled 1 the witness, its worst word, counts, and witnesses are chosen anew after each round.  A document's value is
-that of its worst words; a logistic curve fitted on the training rows makes it a score from 0 to 1.
+Sentences: a text's sentences are cut into units: each run without white space, each two and each three neighbours that
+follow each other in the sentence, and each run of single letters.  A unit is the string of its letters and digits alone,
+between two edge marks: stars, dots, hyphens and, in the units of several runs, spaces are gaps that count nothing.  A
+sentence is worth what its worst unit is, a text what its worst sentence is; a logistic curve fitted on the training rows
+makes it a score from 0 to 1.  Runs of more than ``LONGEST`` letters are read in windows of their letters, without marks.
 
-Because the machine is linear in kernel values, its landmarks fold into one table of weights by subsequence, and a word
-costs as many look-ups as it has subsequences.  Words are scored once per worker (bounded cache).
+Training has only documents' labels: all sentences of documents labelled 0 are clean; of a document labelled 1 the sentence
+with the worst unit is toxic, and its worst run is the witness.  Witnesses are chosen anew after each round, and the units of
+clean sentences that look worst join the clean side.  Witnesses that several documents have are also learnt with characters
+inserted, left out, doubled and replaced, so that the margin leaves room for these.
+
+Because the machine is linear in kernel values, its landmarks fold into one table of weights by subsequence.  A text is then
+scored without any string being made: weights of all subsequences are summed along the text, and a unit's value is a
+difference of these sums, less what reaches beyond its end.
 
 Defined results: null and empty texts have the score of a text without any bad word; whole texts are read, whatever
-their length; repeated rows get equal scores; without labelled rows of both kinds every score is 0.5.
+their length; repeated rows get equal scores; an id that repeats among training rows counts once, with its least text;
+without labelled rows of both kinds every score is 0.5.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,113 +35,185 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fitted_in_a_task
+from .common import boxed, fitted_in_a_task, text_chunks
 
-ORDER, SPAN, DECAY, CODES, PIECE = 3, 6, 0.7, 64, 24
+SPAN, DECAY, CODES = 6, 0.8, 64
+SHORTEST, LONGEST, WINDOW = 3, 24, 12
+#: Edge marks of a run, and those of several runs read as one.
+START, END = 60, 61
+JOINED_START, JOINED_END = 62, 63
 #: Labelled rows of each class that the machine is fitted on, at most.
 PER_CLASS = 2500
-_STRIP = b".,;:!?\"'()[]{}<>-_*#%$&@|/\\~`^+="
-_APART = re.compile(rb"(?:(?<=\s)|^)(?:[^\s\x80-\xff]\s+){2,}[^\s\x80-\xff](?=\s|$)")
+#: Units of clean sentences that a round of training holds, at most: a quarter those of least hash, the others those that
+#: looked worst in this round or an earlier one.
+CLEAN_UNITS = 12_000
+#: Share of the toxic texts that have a witness which is also learnt disturbed.
+OFTEN = 0.03
+#: Weight of all disturbed witnesses against one a text.
+DISTURBED = 4.0
+#: Value of a text without any unit, and the least of any.
+FLOOR = -3.0
+_KNOWN = 0x3000
+_MARKED = [b"%b", bytes([START]) + b"%b" + bytes([END]), *[bytes([JOINED_START]) + b"%b" + bytes([JOINED_END])] * 2]
 
 
 def _codes() -> np.ndarray:
-    table = np.arange(256) % 29 + 35  # folded: whatever is not a letter
+    """1 to 26 letters a to z, 27 digits, 28 to 59 other letters by their number, 0 what is not read."""
+    table = np.array([28 + c % 32 if chr(c).isalpha() else 27 if chr(c).isdigit() else 0 for c in range(_KNOWN)], np.int32)
     table[ord("a") : ord("z") + 1] = np.arange(1, 27)
-    table[ord("0") : ord("9") + 1] = 27
-    table[0xC3] = 28
-    return table.astype(np.int32)
+    return table
 
 
 _TABLE = _codes()
-_patterns: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_SPACE = np.array([chr(c).isspace() for c in range(_KNOWN)])
+_patterns: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _subsequences(length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and scaled weights of the subsequences of a string of ``length`` codes."""
-    if length not in _patterns:
-        at = [(i, j, k) for i in range(length) for j in range(i + 1, length) for k in range(j + 1, min(length, i + SPAN))]
-        places = np.array(at, np.int64).reshape(-1, 3)
-        weight = DECAY ** (places[:, 2] - places[:, 0] + 1.0)
-        _patterns[length] = places, (weight / np.sqrt((weight**2).sum())).astype(np.float32)
-    return _patterns[length]
-
-
-def _features(words: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """By length of word: indices in ``words``, matrix of subsequence ids, their weights.  Long words come in pieces."""
-    whole: dict[int, tuple[list[int], list[bytes]]] = {}
-    for n, w in enumerate(words):
-        for piece in [w] if len(w) <= PIECE else [w[a : a + PIECE] for a in range(0, len(w) - PIECE // 2, PIECE // 2)]:
-            at, held = whole.setdefault(len(piece), ([], []))
-            at.append(n)
-            held.append(piece)
-    out = []
-    for length, (at, held) in whole.items():
-        raw = np.frombuffer(b"".join(held), np.uint8).reshape(len(held), length)
-        codes = np.zeros((len(held), length + 2), np.int32)
-        codes[:, 1:-1] = _TABLE[raw]
-        codes[:, -1] = 34
-        places, weight = _subsequences(length + 2)
-        ids = (codes[:, places[:, 0]] * CODES + codes[:, places[:, 1]]) * CODES + codes[:, places[:, 2]]
-        out.append((np.array(at), ids, weight))
-    return out
+def _norm(letters: int) -> float:
+    """Length of the vector of a string of so many letters between marks, each subsequence counted for itself."""
+    return float(np.sqrt((_subsequences(letters + 2, True)[1] ** 2).sum()))
 
 
-def words_of(data: bytes) -> set[bytes]:
-    """Distinct words without outer punctuation, and runs of single characters read as one word."""
-    words = {w.strip(_STRIP) for w in set(data.split())}
-    words.update(b"".join(m.group().split()) for m in _APART.finditer(data))
-    words.discard(b"")
-    return words
+def _subsequences(length: int, marks: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places and weights of the subsequences of a string of ``length`` codes; none holds both marks."""
+    if (length, marks) not in _patterns:
+        at = [(i, j, k) for i in range(length) for j in range(i + 1, length) for k in range(j + 1, min(length, i + SPAN)) if not (marks and i == 0 and k == length - 1)]
+        places = np.array(at, np.int64).reshape(-1, 3)
+        _patterns[length, marks] = places, DECAY ** (places[:, 2] - places[:, 0] + 1.0)
+    return _patterns[length, marks]
+
+
+def _features(units: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By length: indices in ``units`` (bytes of codes, with their marks), ids of their subsequences, scaled weights."""
+    by: dict[tuple[int, bool], list[int]] = {}
+    for n, u in enumerate(units):
+        by.setdefault((len(u), u[0] >= START), []).append(n)
+    for (length, marks), at in by.items():
+        codes = np.frombuffer(b"".join([units[n] for n in at]), np.uint8).reshape(len(at), length).astype(np.int32)
+        places, weight = _subsequences(length, marks)
+        ids = (codes[:, places[:, 0]] * CODES + codes[:, places[:, 1]]) * CODES + codes[:, places[:, 2]]
+        yield np.array(at), ids, weight / _norm(length - 2 if marks else length)
 
 
-def _kernel(words: list[bytes], landmarks: list[bytes]) -> np.ndarray:
-    """Kernel values, words by landmarks (largest over pieces of long words)."""
-    marks = _features(landmarks)
+def _kernel(units: list[bytes], landmarks: list[bytes]) -> np.ndarray:
+    """Kernel values, units by landmarks."""
+    marks = list(_features(landmarks))
     known = np.unique(np.concatenate([ids.ravel() for _, ids, _ in marks]))
-    row = np.full(CODES**ORDER, len(known), np.int32)  # the last row is that of all other subsequences
+    row = np.full(CODES**3, len(known), np.int32)  # the last row is that of all other subsequences
     row[known] = np.arange(len(known))
     dense = np.zeros((len(known) + 1, len(landmarks)), np.float32)
     for at, ids, weight in marks:
         np.add.at(dense, (row[ids], np.broadcast_to(at[:, None], ids.shape)), np.broadcast_to(weight, ids.shape))
-    out = np.zeros((len(words), len(landmarks)), np.float32)
-    for at, ids, weight in _features(words):
+    out = np.zeros((len(units), len(landmarks)), np.float32)
+    for at, ids, weight in _features(units):
         for lo in range(0, len(at), 100):
-            part = np.einsum("ncl,c->nl", dense[row[ids[lo : lo + 100]]], weight)
-            np.maximum.at(out, at[lo : lo + 100], part)
+            out[at[lo : lo + 100]] = np.einsum("ncl,c->nl", dense[row[ids[lo : lo + 100]]], weight)
     return out
 
 
+class Sentences:
+    """The letters of some texts, end to end, and the units of their sentences."""
+
+    def __init__(self, texts: list[object]):
+        low = [t.lower() if isinstance(t, str) else "" for t in texts]
+        sizes = np.array([len(t) + 1 for t in low], np.int64)
+        cp = np.frombuffer("\n".join([*low, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        simple = np.minimum(cp, _KNOWN - 1)
+        codes = np.where(cp < _KNOWN, _TABLE[simple], 28 + (cp % 32).astype(np.int32)).astype(np.int32)
+        space = _SPACE[simple] & (cp < _KNOWN)
+        ends = (cp == 10) | (((cp == 46) | (cp == 33) | (cp == 63)) & np.append(space[1:], True))
+        at = np.flatnonzero(codes)
+        self.codes = codes[at]
+        self.letters = self.codes.astype(np.uint8).tobytes()
+        run, sentence = np.cumsum(space)[at], np.cumsum(ends)[at]
+        new = np.ones(len(at), bool)
+        new[1:] = run[1:] != run[:-1]
+        start = np.flatnonzero(new)
+        length = np.diff(np.append(start, len(at)))
+        of = sentence[start]
+        # neighbours of one letter each are read as one run
+        joined = np.zeros(len(start), bool)
+        joined[1:] = (length[1:] == 1) & (length[:-1] == 1) & (of[1:] == of[:-1])
+        start, of = start[~joined], of[~joined]
+        length = np.diff(np.append(start, len(at)))
+        doc = np.searchsorted(np.cumsum(sizes), at[start], "right") if len(start) else start
+        units = []
+        for m in (1, 2, 3):
+            n = len(start) - m + 1
+            if n <= 0:
+                break
+            whole = length[:n].copy()
+            for k in range(1, m):
+                whole += length[k : n + k]
+            ok = (whole >= SHORTEST) & (whole <= LONGEST) & (of[:n] == of[m - 1 :])
+            units.append((doc[:n][ok], start[:n][ok], whole[ok], np.full(ok.sum(), m, np.int8)))
+        long = np.flatnonzero(length > LONGEST)
+        count = (length[long] - WINDOW) // (WINDOW // 2) + 1
+        first = np.repeat(start[long], count) + (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)) * (WINDOW // 2)
+        # the last window ends where the run ends
+        last = start[long] + length[long] - WINDOW
+        first, owner = np.concatenate([first, last]), np.concatenate([np.repeat(doc[long], count), doc[long]])
+        units.append((owner, first, np.full(len(first), WINDOW), np.zeros(len(first), np.int8)))
+        #: text, place of the first letter, letters, runs (0: a window without marks)
+        self.doc, self.first, self.size, self.runs = (np.concatenate(x) for x in zip(*units, strict=True))
+
+    def unit(self, k: int) -> bytes:
+        letters = self.letters[self.first[k] : self.first[k] + self.size[k]]
+        return _MARKED[self.runs[k]] % letters
+
+    def values(self, weights: np.ndarray) -> np.ndarray:
+        """Sum of the weights of each unit's subsequences, scaled."""
+        n = len(self.codes)
+        c = np.zeros(n + SPAN, np.int32)
+        c[:n] = self.codes
+        high, mid = c * (CODES * CODES), c * CODES
+        decay = [np.float32(DECAY ** (q + 1)) for q in range(SPAN)]
+        by_span = {}
+        for q in range(2, SPAN):  # subsequences from each letter to the q-th after it
+            total = np.zeros(n, np.float32)
+            for p in range(1, q):
+                total += weights.take(high[:n] + mid[p : n + p] + c[q : n + q])
+            by_span[q] = total * decay[q]
+        sums = np.zeros(n + 1)
+        np.cumsum(sum(by_span.values()), out=sums[1:], dtype=np.float64)
+        last = self.first + self.size - 1
+        out = sums[last + 1] - sums[self.first]
+        for j in range(SPAN - 1):  # less those that reach beyond the last letter
+            inside = self.size > j
+            reach = sum(by_span[q] for q in by_span if q > j)
+            out[inside] -= reach[last[inside] - j]
+        marked = self.runs > 0
+        a, b, size = self.first[marked], last[marked], self.size[marked]
+        start = np.where(self.runs[marked] > 1, JOINED_START, START).astype(np.int32) * (CODES * CODES)
+        end = np.where(self.runs[marked] > 1, JOINED_END, END).astype(np.int32)
+        edge = np.zeros(len(a), np.float32)
+        for q in range(2, SPAN):
+            for p in range(1, q):
+                front = weights.take(start + mid[a + p - 1] + c[np.minimum(a + q - 1, n)])
+                back = weights.take(high[np.maximum(b - q + 1, 0)] + mid[b - p + 1] + end)
+                edge += np.where(size >= q, (front + back) * decay[q], np.float32(0))
+        out[marked] += edge
+        norms = np.array([_norm(k) for k in range(SHORTEST, LONGEST + 1)])
+        return out / norms[self.size - SHORTEST]
+
+
 @dataclass
 class ToxicityModel:
     weights: np.ndarray  # by subsequence id
-    bias: float
+    bias: float = 0.0
     curve: tuple[float, float] = (0.0, 0.0)
     landmarks: list[bytes] = field(default_factory=list)
 
-    def word_values(self, words: list[bytes]) -> np.ndarray:
-        out = np.full(len(words), -np.inf, np.float32)
-        for at, ids, weight in _features(words):
-            for lo in range(0, len(at), 20_000):
-                np.maximum.at(out, at[lo : lo + 20_000], self.weights[ids[lo : lo + 20_000]] @ weight)
-        return out + np.float32(self.bias)
-
-    def text_value(self, text: object, cache: dict[bytes, float]) -> float:
-        words = words_of(text.lower().encode("utf-8", "surrogatepass")) if isinstance(text, str) else set()
-        if not words:
-            return -2.0
-        new = [w for w in words if w not in cache]
-        known = {}
-        if new:
-            known = dict(zip(new, self.word_values(new).tolist(), strict=True))
-            if len(cache) + len(known) > 500_000:
-                cache.clear()
-            cache.update(known)
-        worst = max((cache[w] if w in cache else known[w]) for w in words) if known else max(map(cache.__getitem__, words))
-        return max(worst, -2.0)
+    def text_values(self, texts: list[object]) -> np.ndarray:
+        out = np.full(len(texts), FLOOR)
+        s = Sentences(texts)
+        if len(s.doc):
+            np.maximum.at(out, s.doc, s.values(self.weights) + self.bias)
+        return out
 
     def score(self, value: np.ndarray) -> np.ndarray:
         a, b = self.curve
-        return 1 / (1 + np.exp(-(a * np.clip(value, -4, 4) + b)))
+        return 1 / (1 + np.exp(-(a * np.clip(value, FLOOR, -FLOOR) + b)))
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, rounds: int = 30) -> np.ndarray:
@@ -155,90 +234,139 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3,
 
 
 def _logistic(v: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept, by Newton steps with a small ridge; targets drawn in a little, as Platt does."""
+    """Slope and intercept, by Newton steps with a small ridge; both labels weigh the same, and targets are drawn in a
+    little, as Platt does."""
     n1, n0 = y.sum(), len(y) - y.sum()
     target = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    x, w = np.stack([np.clip(v, -4, 4), np.ones(len(v))], 1), np.zeros(2)
+    share = np.where(y > 0, 0.5 / n1, 0.5 / n0) * len(y)
+    x, w = np.stack([np.clip(v, FLOOR, -FLOOR), np.ones(len(v))], 1), np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-x @ w))
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.eye(2) * 1e-3
-        step = np.linalg.solve(h, x.T @ (p - target) + 1e-3 * w)
+        h = (x * (share * p * (1 - p))[:, None]).T @ x + np.eye(2) * 1e-3
+        step = np.linalg.solve(h, x.T @ (share * (p - target)) + 1e-3 * w)
         w = w - np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
     return float(w[0]), float(w[1])
 
 
-def train(texts: list[str], toxic: np.ndarray, landmarks: int = 300, rounds: int = 5) -> ToxicityModel:
+def _joined(unit: bytes) -> bytes:
+    return _MARKED[2] % unit[1:-1]
+
+
+def _disturbed(unit: bytes, rng: np.random.Generator) -> list[bytes]:
+    """A unit with one or two characters inserted, one left out (if four remain), doubled or replaced."""
+    letters = list(unit[1:-1])
+    n = len(letters)
+    other = lambda: int(rng.integers(1, 27))
+    out = [letters[:i] + [other()] + letters[i:] for i in range(1, n)]
+    out += [letters[:i] + [letters[i]] + letters[i:] for i in range(n)]
+    if n > 4:
+        out += [letters[:i] + [int(rng.integers(28, 60))] + letters[i + 1 :] for i in range(n)]
+        out += [letters[:i] + letters[i + 1 :] for i in range(n)]
+    for i in range(1, n):
+        lo, hi = sorted((i, int(rng.integers(1, n))))
+        out.append(letters[:lo] + [other()] + letters[lo:hi] + [other()] + letters[hi:])
+        out.append(letters[:i] + [other(), other()] + letters[i:])
+    return [bytes([START, *x, END]) for x in out if SHORTEST <= len(x) <= LONGEST]
+
+
+def _solved(units: list[bytes], y: np.ndarray, weight: np.ndarray, marks: list[bytes]) -> tuple[np.ndarray, float]:
+    """Coefficients of the landmarks and the bias, from the machine in the space that these span."""
+    near = _kernel(marks, marks).astype(np.float64)
+    root = np.linalg.cholesky((near + near.T) / 2 + 1e-3 * np.eye(len(marks)))
+    x = np.linalg.solve(root, _kernel(units, marks).T.astype(np.float64)).T
+    w = _svm(x, y, weight * (len(y) / weight.sum()), 1e-5)
+    return np.linalg.solve(root.T, w[:-1]), float(w[-1])
+
+
+def _linear(units: list[bytes], weights: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(units))
+    for at, ids, weight in _features(units):
+        out[at] = weights[ids] @ weight
+    return out
+
+
+def train(texts: list[str], toxic: np.ndarray, landmarks: int = 1200, rounds: int = 8, seed: int = 3) -> ToxicityModel:
     """Fit on texts with their labels (0, 1)."""
     toxic = np.asarray(toxic, np.int64)
+    nothing = ToxicityModel(np.zeros(CODES**3, np.float32))
     if not len(toxic) or toxic.min() == toxic.max():
-        return ToxicityModel(np.zeros(CODES**ORDER, np.float32), 0.0)
-    bags = [sorted(words_of(t.lower().encode("utf-8", "surrogatepass"))) if isinstance(t, str) else [] for t in texts]
+        return nothing
+    rng = np.random.default_rng(seed)
+    s = Sentences(texts)
+    label = toxic[s.doc]
+    # distinct single runs and how many texts of each label have them
+    single = np.flatnonzero(s.runs == 1)
     index: dict[bytes, int] = {}
-    for bag in bags:
-        for w in bag:
-            index.setdefault(w, len(index))
+    name = np.array([index.setdefault(s.unit(k), len(index)) for k in single.tolist()], np.int64)
     names = list(index)
+    pairs = np.unique(s.doc[single] * len(names) + name)
     counts = np.zeros((2, len(names)))
-    flat = [np.array([index[w] for w in bag], np.int64) for bag in bags]
-    for y, f in zip(toxic, flat, strict=True):
-        counts[y, f] += 1
+    np.add.at(counts, (toxic[pairs // max(1, len(names))], pairs % max(1, len(names))), 1)
     n = np.bincount(toxic, minlength=2)
     odds = np.log((counts[1] + 0.5) / (n[1] + 1)) - np.log((counts[0] + 0.5) / (n[0] + 1))
-    clean_words = np.flatnonzero(counts[0] > 0)
-    order = np.array([hash_of(names[i]) for i in clean_words])
-    clean_words = clean_words[np.argsort(order)][:12_000]
-    value = odds.copy()
-    model = ToxicityModel(np.zeros(CODES**ORDER, np.float32), 0.0)
-    bad = [f for y, f in zip(toxic, flat, strict=True) if y and len(f)]
-    for _ in range(rounds):
-        best = np.array([f[np.argmax(value[f])] for f in bad])
-        # a word that clean documents have is no witness
-        words, times = np.unique(best[counts[0][best] <= 0.02 * counts[1][best] * n[0] / n[1]], return_counts=True)
-        extra = np.flatnonzero((counts[1] >= 3) & (odds > np.log(8.0)) & (counts[0] == 0))
-        if model.landmarks:
-            extra = extra[value[extra] > 0]
-        words = np.union1d(words, extra)
+    # a run that clean texts have is no witness
+    fit_for = counts[0] <= 0.02 * counts[1] * n[0] / n[1]
+    usual = np.flatnonzero((counts[1] >= OFTEN * n[1]) & (odds > np.log(8.0)) & fit_for)
+    bad = single[label[single] == 1]
+    bad_name = name[label[single] == 1]
+    clean = np.flatnonzero(label == 0)
+    by_hash = clean[np.argsort((clean * np.int64(2654435761)) % np.int64(1 << 32), kind="stable")]
+    easy = list(dict.fromkeys(s.unit(k) for k in by_hash[: CLEAN_UNITS // 4].tolist()))
+    hard: list[bytes] = []
+    disturbed = {k: _disturbed(names[k], rng) for k in usual.tolist()}
+    marks: list[bytes] = []
+    folded, bias = np.zeros(CODES**3), 0.0
+    value = np.zeros(len(s.doc))
+    for turn in range(rounds):
+        worth = odds[bad_name] if not turn else value[bad]
+        order = np.lexsort((worth, s.doc[bad]))
+        final = np.append(s.doc[bad][order][1:] != s.doc[bad][order][:-1], True) if len(order) else np.zeros(0, bool)
+        found, times = np.unique(bad_name[order[final]], return_counts=True)
+        found, times = found[fit_for[found]], times[fit_for[found]].astype(float)
+        # and runs that several toxic texts have and no clean one
+        extra = np.flatnonzero((counts[1] >= 4) & (odds > np.log(8.0)) & (counts[0] == 0))
+        words = np.union1d(np.union1d(found, usual), extra)
         if not len(words):
-            return ToxicityModel(np.zeros(CODES**ORDER, np.float32), 0.0)
-        weight = counts[1][words] + 1.0
-        worst_clean = clean_words[np.argsort(-value[clean_words], kind="stable")] if model.landmarks else clean_words
-        top = words[np.argsort(-weight, kind="stable")][: landmarks // 2]
-        marks = [names[i] for i in dict.fromkeys([*top, *worst_clean[: landmarks // 3], *clean_words[: landmarks - len(top) - landmarks // 3]])]
-        near = _kernel(marks, marks).astype(np.float64)
-        near = (near + near.T) / 2
-        s, u = np.linalg.eigh(near)
-        good = s > 1e-6 * s.max()
-        root = u[:, good] / np.sqrt(s[good])
-        hard = np.unique(np.concatenate([clean_words[:6000], worst_clean[:3000]]))
-        rows = np.concatenate([words, hard])
-        x = _kernel([names[i] for i in rows], marks).astype(np.float64) @ root
-        y = np.concatenate([np.ones(len(words)), -np.ones(len(hard))])
-        clean_weight = np.where(value[hard] > -1, 1.0 + counts[0][hard], 0.3)
-        share = np.concatenate([weight / weight.sum(), 2 * clean_weight / clean_weight.sum()])
-        w = _svm(x, y, share * len(rows), 1e-4)
-        alpha = root @ w[:-1]
-        folded = np.zeros(CODES**ORDER)
+            return nothing
+        weight = np.ones(len(words))
+        weight[np.searchsorted(words, found)] += times
+        # runs split in two or three are learnt as they are
+        units, weight = [names[k] for k in words] + [_joined(names[k]) for k in usual], weight.tolist() + (counts[1][usual] / 2).tolist()
+        for more in disturbed.values():
+            units += more
+            weight += [DISTURBED * n[1] / len(disturbed) / len(more)] * len(more)
+        known = set(units)
+        against = [u for u in dict.fromkeys([*hard, *easy]) if u not in known]
+        top = [names[k] for k in words[np.argsort(-counts[1][words], kind="stable")][: landmarks // 3]]
+        marks = list(dict.fromkeys([*top, *units[len(words) :: max(1, (len(units) - len(words)) // (landmarks // 3))], *against]))[:landmarks]
+        share = np.concatenate([np.array(weight) / sum(weight), np.full(len(against), 2 / max(1, len(against)))])
+        y = np.concatenate([np.ones(len(units)), -np.ones(len(against))])
+        alpha, bias = _solved([*units, *against], y, share, marks)
+        folded = np.zeros(CODES**3)
         for at, ids, weights in _features(marks):
             np.add.at(folded, ids, alpha[at][:, None] * weights[None, :])
-        model = ToxicityModel(folded.astype(np.float32), float(w[-1]), landmarks=marks)
-        value = model.word_values(names).astype(np.float64)
-        # clean words that look bad join the clean side of the next round
-        missed = np.flatnonzero((counts[0] > 0) & (value > -0.5))
-        clean_words = np.unique(np.concatenate([clean_words, missed]))
-        clean_words = clean_words[np.argsort([hash_of(names[i]) for i in clean_words])]
-    values = np.array([max(value[f].max(), -2.0) if len(f) else -2.0 for f in flat])
-    model.curve = _logistic(values, toxic)
+        value = s.values(folded.astype(np.float32)) + bias
+        # clean units within the margin stay or join, the worst first
+        worst = clean[value[clean] > -1]
+        worst = worst[np.argsort(-value[worst], kind="stable")]
+        hard = list(dict.fromkeys([*[s.unit(k) for k in worst[: CLEAN_UNITS // 4].tolist()], *hard]))[: CLEAN_UNITS * 3 // 4]
+
+    model = ToxicityModel(folded.astype(np.float32), bias, landmarks=marks)
+    values = np.full(len(toxic), FLOOR)
+    np.maximum.at(values, s.doc, value)
+    # as many texts again whose witness is disturbed
+    more = [u for v in disturbed.values() for u in v]
+    if more:
+        weights = np.repeat([1 / len(v) for v in disturbed.values()], [len(v) for v in disturbed.values()])
+        drawn = rng.choice(len(more), int(n[1]), p=weights / weights.sum())
+        own = _linear([more[k] for k in drawn], model.weights) + bias
+        values, toxic = np.concatenate([values, own]), np.concatenate([toxic, np.ones(len(drawn), np.int64)])
+    model.curve = _logistic(values, toxic.astype(float))
     return model
 
 
-def hash_of(word: bytes) -> int:
-    import zlib
-
-    return zlib.crc32(word)
-
-
 def held_out(doc_id: Column, parts: int, rest: int) -> Column:
     """Rows kept from training: crc32 of the id as text, modulo ``parts``."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == rest, F.lit(False))
@@ -249,7 +377,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str,
     usable = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col), parts, rest)).select(id_col, label)
     by_hash = [usable.filter(F.col(label) == y).orderBy(F.xxhash64(id_col), id_col).limit(per_class) for y in (0, 1)]
     picked = by_hash[0].unionByName(by_hash[1])
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(picked.select(F.col(id_col).alias("id"), F.col(label).alias("label")), "id")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(picked.select(F.col(id_col).alias("id"), F.col(label).alias("label")), "id")
+    # an id that repeats counts once, so the sample is bounded whatever the table holds
+    return rows.groupBy("id", "label").agg(F.min("text").alias("text")).select("id", "text", "label")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> ToxicityModel:
@@ -260,19 +390,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return fitted_in_a_task(labelled_sample(docs, labels, "toxic", id_col, text_col, 3, 1, per_class), run)
 
 
-_seen: dict[int, dict] = {}
-
-
 def scored(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out: str = "score") -> DataFrame:
-    """``docs`` with a score from 0 to 1."""
+    """``docs`` with a score from 0 to 1 (in the place of a column of that name, if there)."""
 
     @F.pandas_udf(T.DoubleType())
     def udf(texts: pd.Series) -> pd.Series:
-        # words scored by one fit are of no use to another
-        cache = _seen.setdefault(hash((model.weights.tobytes(), model.bias)), {})
-        while len(_seen) > 1:
-            _seen.pop(next(k for k, v in _seen.items() if v is not cache))
-        values = np.array([model.text_value(x, cache) for x in texts], np.float64)
-        return pd.Series(model.score(values))
-
-    return docs.withColumn(out, udf(F.col(text_col)))
+        parts = [model.score(model.text_values(pdf["text"].tolist())) for pdf in text_chunks(texts.to_frame("text"), "text", 1 << 20)]
+        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+
+    rows = boxed(docs).withColumn("_score", udf(F.col(f"_doc.`{text_col}`")))
+    return rows.select(*[F.col(f"_doc.`{c}`").alias(c) for c in docs.columns if c != out], F.col("_score").alias(out))

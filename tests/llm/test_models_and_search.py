@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from alarmlens.llm import ann, quality, token_counts, toxicity
 
@@ -26,14 +27,62 @@ def joined(spark, scored, label):
     return rows["score"].to_numpy(), rows[label].to_numpy()
 
 
-def test_toxicity_held_out(spark):
-    from alarmlens.llm.queries import op7_toxicity
+@pytest.fixture(scope="module")
+def toxicity_model(spark):
+    """The registered query's model."""
+    return toxicity.fit(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
 
-    score, label = joined(spark, op7_toxicity(spark, SF), "toxic")
+
+def test_toxicity_held_out(spark, toxicity_model):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = toxicity.scored(docs.select("doc_id", "text"), toxicity_model).withColumn("held_out", toxicity.held_out(F.col("doc_id"), 3, 1))
+    score, label = joined(spark, rows, "toxic")
     assert auc(score, label) > 0.9
+    assert ((score >= 0.7) & (label == 1)).sum() >= 0.85 * (label == 1).sum()
     assert ((score >= 0.7) & (label == 0)).sum() <= 0.03 * (label == 0).sum()
 
 
+INSULTS = "idiot moron loser clown worthless stupid pathetic trash scum disgusting".split()
+DISTURBED = {
+    "plain": (1.0, lambda w, i, r: w), "capitals": (1.0, lambda w, i, r: w.upper()), "letters apart": (0.9, lambda w, i, r: " ".join(w)),
+    "doubled": (0.9, lambda w, i, r: w[:i] + w[i - 1] + w[i:]), "one inserted": (0.9, lambda w, i, r: w[:i] + r() + w[i:]),
+    "two inserted": (0.6, lambda w, i, r: w[:i] + r() + r() + w[i:]), "star inserted": (0.9, lambda w, i, r: f"{w[:i]}*{w[i:]}"),
+    "star instead": (0.9, lambda w, i, r: f"{w[:i]}*{w[i + 1 :]}"), "dots": (0.9, lambda w, i, r: ".".join(w)), "hyphen": (0.9, lambda w, i, r: f"{w[:i]}-{w[i:]}"),
+    "split": (0.9, lambda w, i, r: f"{w[:i]} {w[i:]}"), "one left out": (0.9, lambda w, i, r: w[:i] + w[i + 1 :]),
+}
+
+
+@pytest.mark.parametrize("kind", DISTURBED)
+def test_disturbed_insults(spark, toxicity_model, kind):
+    """Insults that the registered query's model learnt from the labels, in clean sentences, as its ``predicted`` sees them."""
+    rng = random.Random(5)
+    clean = spark.read.parquet(f"{SF}/labels.parquet").filter("toxic = 0").join(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id")
+    clean = [r.text for r in clean.filter("length(text) between 60 and 900").orderBy("doc_id").limit(40).collect()]
+    score = lambda texts: toxicity_model.score(toxicity_model.text_values(texts))
+    clean = [t for t, s in zip(clean, score(clean)) if s < 0.3][:20]
+    least, change = DISTURBED[kind]
+    texts = []
+    for word in INSULTS:
+        for t in clean:
+            words = t.split(" ")
+            k = rng.randrange(len(words))
+            words[k:k] = [change(word, rng.randrange(1, len(word)), lambda: rng.choice("abcdefghijklmnopqrstuvwxyz"))]
+            texts.append(" ".join(words))
+    assert (score(texts) >= 0.7).mean() >= least
+
+
+def test_values_along_the_text_are_kernel_values():
+    """A unit's value as a difference of sums is that of its own subsequences."""
+    rng = np.random.default_rng(1)
+    weights = rng.normal(size=toxicity.CODES**3).astype(np.float32)
+    texts = ["Zo.rg bl a t! é ÀB cd\nend", "", None, "x" * 60 + " abc", "the i d i o t said. No", "a bb ccc dddd eeeee ffffff"]
+    s = toxicity.Sentences(texts)
+    units = [s.unit(k) for k in range(len(s.doc))]
+    assert s.values(weights) == pytest.approx(toxicity._linear(units, weights), abs=1e-3)
+    assert {u[1:-1] for u in units} >= {bytes(map(" abcdefghijklmnopqrstuvwxyz".index, w)) for w in ("zorg", "zorgblat", "idiot", "theidiot", "ccc")}
+    assert not any(u[1:-1] == bytes(map(" abcdefghijklmnopqrstuvwxyz".index, "saidno")) for u in units)  # of two sentences
+
+
 def test_quality_held_out(spark):
     from alarmlens.llm.queries import op8_quality_trees
 
@@ -41,31 +90,14 @@ def test_quality_held_out(spark):
     assert auc(score, label) > 0.9
 
 
-def test_insults_with_gaps_are_seen():
-    rng = random.Random(1)
-    clean = [f"{a}{b}{c}" for a in "bcdfghlmn" for b in "aeiou" for c in ("rt", "ne", "lly", "st", "pp")]
-    insults = ["zorgblat", "snivelkrax"]
-    texts, labels = [], []
-    for k in range(300):
-        words = [rng.choice(clean) for _ in range(30)]
-        if k % 3 == 0:
-            words[rng.randrange(30)] = rng.choice(insults)
-        texts.append(" ".join(words))
-        labels.append(int(k % 3 == 0))
-    model = toxicity.train(texts, np.array(labels))
-    value = lambda t: model.text_value(t, {})
-    calm = value("bart cane dally")
-    for bad in ("zorgblat", "Zorg-blat!", "zo_rgb*lat", "zorgxblat", "z o r g b l a t", "snivelkkrax"):
-        assert value(f"bart {bad} cane") > calm + 0.3, bad
-    assert value("bart zorgblat " + "cane " * 50_000) == pytest.approx(value("zorgblat bart"))
-
-
 def test_texts_without_words(spark):
     model = toxicity.train(["bad zorg", "fine day"] * 20, np.array([1, 0] * 20))
     df = spark.createDataFrame([(1, None), (2, ""), (3, "\n \t"), (None, "zorg"), (5, "!!!")], "doc_id long, text string")
     got = {r.doc_id: r.score for r in toxicity.scored(df, model).collect()}
     assert got[1] == got[2] == got[3] == got[5] and 0 <= got[None] <= 1
     assert got[None] > got[1]
+    clash = df.withColumn("score", F.lit("mine")).withColumn("_score", F.lit(1))
+    assert {r.doc_id: r.score for r in toxicity.scored(clash, model).collect()} == got
     nothing = toxicity.train([], np.array([]))
     assert {r.score for r in toxicity.scored(df, nothing).collect()} == {0.5}
     assert toxicity.scored(df.limit(0), model).count() == 0
@@ -263,3 +295,11 @@ def test_scan_agrees_with_all_pairs():
     true = [(a, b) for a in range(40) for b in np.argsort(d[a])[:20]]
     assert sum(p in kept for p in true) / len(true) > 0.97
     assert len(kept) < 0.5 * d.size
+
+
+def test_a_repeated_id_counts_once(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, None), (2, "c"), (3, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(8)] + [(1, 1), (None, 0), (2, None)], "doc_id long, toxic int")
+    got = toxicity.labelled_sample(docs, labels, "toxic", "doc_id", "text", 3, 1, 100).collect()
+    kept = [k for k in (1, 2, 3) if zlib.crc32(str(k).encode()) % 3 != 1]
+    assert sorted(tuple(r) for r in got) == [(k, {1: "a", 2: "c", 3: "d"}[k], k % 2) for k in kept]
