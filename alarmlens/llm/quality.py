@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, fitted_in_a_task
+from .common import as_bytes, boxed, fitted_in_a_task
 from .toxicity import labelled_sample
 
 #: Labelled rows of each class that the trees are fitted on, at most.
@@ -137,11 +137,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def scored(docs: DataFrame, trees: Trees, text_col: str = "text", out: str = "score") -> DataFrame:
-    """``docs`` with a score from 0 to 1."""
+    """``docs`` with a score from 0 to 1 (in the place of a column of that name, if there)."""
 
     @F.pandas_udf(T.DoubleType())
     def udf(texts: pd.Series) -> pd.Series:
         x = np.array([statistics(t) for t in texts], np.float64).reshape(-1, len(STATISTICS))
         return pd.Series(trees.predict(x))
 
-    return docs.withColumn(out, udf(F.col(text_col)))
+    rows = boxed(docs).withColumn("_score", udf(F.col(f"_doc.`{text_col}`")))
+    return rows.select(*[F.col(f"_doc.`{c}`").alias(c) for c in docs.columns if c != out], F.col("_score").alias(out))
