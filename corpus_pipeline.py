@@ -7,6 +7,7 @@ stage's docs.  All but the last return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from alarmlens.llm import mixing, packing, simhash, substring_dedup, toxicity
 from alarmlens.llm.common import boxed, materialize, table
@@ -15,7 +16,7 @@ from alarmlens.llm.common import boxed, materialize, table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model scores below 0.7."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(boxed(docs), model, "_doc.text").filter("score < 0.7").select("_doc.*")
+    return toxicity.scored(boxed(docs).withColumn("text", F.col("_doc.text")), model).filter("score < 0.7").select("_doc.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
