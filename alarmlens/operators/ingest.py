@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.steps import once
 from ..functions.text import finite_double, parse_bool_token
 from ..functions.time import local_to_utc, micros_between, midnight
 
@@ -24,9 +25,13 @@ def local_moment(date: Column, time: Column) -> Column:
 
 def _parsed(raw: DataFrame, zone: str, ambiguous: str) -> DataFrame:
     blank = lambda c: F.col(c).isNull() | (F.trim(c) == "")
-    rows = raw.withColumn("occurred_at", local_to_utc(local_moment(F.col("date"), F.col("time")), zone, ambiguous)).withColumn("is_alarm", parse_bool_token(F.col("alarm")))
+    # each step's value is used several times by the next
+    rows = once(raw, _text=F.concat_ws(" ", F.trim("date"), F.trim("time")))
+    rows = once(rows, _read=F.try_to_timestamp("_text", F.lit(f"{DATE} {TIME}")))
+    rows = once(rows, _local=F.when(F.date_format("_read", f"{DATE} {TIME}") == F.col("_text"), F.col("_read")).cast("timestamp_ntz"))
+    rows = once(rows, occurred_at=local_to_utc(F.col("_local"), zone, ambiguous), is_alarm=parse_bool_token(F.col("alarm")))
     reason = F.when(blank("event_id") | blank("channel_id"), F.lit("missing_id")).when(F.col("occurred_at").isNull(), F.lit("timestamp")).when(F.col("is_alarm").isNull(), F.lit("alarm"))
-    return rows.withColumn("reason", reason)
+    return rows.drop("_text", "_read", "_local").withColumn("reason", reason)
 
 
 def _observation(rows: DataFrame) -> DataFrame:

@@ -162,12 +162,31 @@ def incident_report(incidents: DataFrame, object_days: DataFrame, threshold: flo
 
 
 def unit_report(scored: DataFrame, threshold: float) -> DataFrame:
-    """Confusion, alerts per day, recall at precision 0.7, and the same of the rule."""
-    curve = threshold_curve(scored)
-    days = scored.agg(F.countDistinct(midnight(F.col("as_of"))).alias("days"))
-    rule = scored.agg(*confusion(F.col("rule") >= 1, F.col("label"))).select(F.col("precision").alias("rule_precision"), F.col("recall").alias("rule_recall"), F.col("f1").alias("rule_f1"))
-    rows = confusion_at(scored, threshold).crossJoin(days).crossJoin(recall_at_precision(curve, 0.7).withColumnRenamed("recall", "recall_at_70")).crossJoin(rule)
-    return rows.withColumn("alerts_per_day", _zero_safe(F.col("tp") + F.col("fp"), F.col("days")))
+    """Confusion, alerts per day, recall at precision 0.7, and the same of the rule.
+
+    One pass: every row counts under its score and under its day, and all that is asked for follows from these counts."""
+    pos, neg, rule = F.col("label") == 1, F.col("label") == 0, F.coalesce(F.col("rule") >= 1, F.lit(False))
+    keys = F.array(F.struct(F.col("score").alias("threshold"), F.lit(None).cast("timestamp_ntz").alias("day")), F.struct(F.lit(None).cast("double").alias("threshold"), midnight(F.col("as_of")).alias("day")))
+    rows = scored.select(pos.alias("_p"), neg.alias("_n"), rule.alias("_r"), F.posexplode(keys).alias("_kind", "_key"))
+    counts = rows.groupBy("_kind", "_key").agg(F.count_if("_p").alias("p"), F.count_if("_n").alias("n"), F.count_if(F.col("_r") & F.col("_p")).alias("rp"), F.count_if(F.col("_r") & F.col("_n")).alias("rn"), F.count("*").alias("rows"))
+    down = W.partitionBy("_kind").orderBy(F.desc("_key.threshold"), F.desc("_key.day"))
+    whole = W.partitionBy("_kind")
+    curve = counts.withColumns({"tp": F.sum("p").over(down), "fp": F.sum("n").over(down), "positives": F.sum("p").over(whole)})
+    scores = F.col("_kind") == 0
+    yes = scores & F.coalesce(F.col("_key.threshold") >= threshold, F.lit(False))
+    no = scores & ~F.coalesce(F.col("_key.threshold") >= threshold, F.lit(False))
+    total = lambda keep, c: F.coalesce(F.sum(F.when(keep, F.col(c))), F.lit(0))
+    found = curve.agg(
+        total(yes, "p").alias("tp"), total(yes, "n").alias("fp"), total(no, "p").alias("fn"), total(no, "n").alias("tn"), total(scores, "rows").alias("_rows"), F.count_if((F.col("_kind") == 1) & F.col("_key.day").isNotNull()).alias("days"),
+        F.coalesce(F.max(F.when(scores & (_precision() >= 0.7), _recall())), F.lit(0.0)).alias("recall_at_70"), total(scores, "rp").alias("_rp"), total(scores, "rn").alias("_rn"), total(scores, "p").alias("_pos"),
+    )
+    of = lambda tp, fp, positives: (_zero_safe(tp, tp + fp), _zero_safe(tp, positives), _zero_safe(2 * tp, tp + fp + positives))
+    own, ruled = of(F.col("tp"), F.col("fp"), F.col("tp") + F.col("fn")), of(F.col("_rp"), F.col("_rn"), F.col("_pos"))
+    alerts = F.col("tp") + F.col("fp")
+    return found.select(
+        "tp", "fp", "fn", "tn", *[c.alias(n) for c, n in zip(own, ("precision", "recall", "f1"), strict=True)], _zero_safe(1000 * alerts, F.col("_rows")).alias("alerts_per_1000"), "days", "recall_at_70",
+        *[c.alias(f"rule_{n}") for c, n in zip(ruled, ("precision", "recall", "f1"), strict=True)], _zero_safe(alerts, F.col("days")).alias("alerts_per_day"),
+    )
 
 
 def holdout_eval(selection: DataFrame, held_out: DataFrame) -> DataFrame:

@@ -21,14 +21,19 @@ def ntz(moment: str | datetime) -> Column:
     return F.lit(str(moment)).cast("timestamp_ntz")
 
 
-def snapshot_daily(obs: DataFrame) -> DataFrame:
-    """Per channel and snapshot midnight: event_count, alarm_count, last_event, last_alarm of the day before."""
+def channel_days(obs: DataFrame) -> DataFrame:
+    """``snapshot_daily`` with ``first_event``, from which the bounds of channels and of the journal follow too."""
     alarm_at = F.when(F.col("is_alarm"), F.col("occurred_at"))
     return obs.groupBy("channel_id", snapshot_bucket(F.col("occurred_at")).alias("as_of")).agg(
-        F.count("*").alias("event_count"), F.count_if("is_alarm").alias("alarm_count"), F.max("occurred_at").alias("last_event"), F.max(alarm_at).alias("last_alarm")
+        F.count("*").alias("event_count"), F.count_if("is_alarm").alias("alarm_count"), F.max("occurred_at").alias("last_event"), F.max(alarm_at).alias("last_alarm"), F.min("occurred_at").alias("first_event")
     )
 
 
+def snapshot_daily(obs: DataFrame) -> DataFrame:
+    """Per channel and snapshot midnight: event_count, alarm_count, last_event, last_alarm of the day before."""
+    return channel_days(obs).drop("first_event")
+
+
 def future_starts(episodes: DataFrame) -> DataFrame:
     """Known and unknown episode starts in the day after each midnight."""
     return episodes.groupBy("channel_id", label_bucket(F.col("first_alarm_at")).alias("as_of")).agg(
@@ -42,11 +47,13 @@ def join_future(examples: DataFrame, episodes: DataFrame) -> DataFrame:
     return found.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("known_future", "unknown_future")})
 
 
-def with_bounds(daily: DataFrame, obs: DataFrame) -> DataFrame:
-    """Add the first observation of the channel and the first and last of the journal (one row, so broadcast)."""
-    first = obs.groupBy("channel_id").agg(F.min("occurred_at").alias("first_observation"))
-    bounds = obs.agg(F.min("occurred_at").alias("global_first"), F.max("occurred_at").alias("global_last"))
-    return daily.join(first, "channel_id").crossJoin(F.broadcast(bounds))
+def with_bounds(rows: DataFrame, source: DataFrame) -> DataFrame:
+    """Add the first observation of the channel and the first and last of the journal (one row, so broadcast).
+    ``source``: observations, or their ``channel_days``, which spares another scan."""
+    low, high = ("first_event", "last_event") if "first_event" in source.columns else ("occurred_at", "occurred_at")
+    first = source.groupBy("channel_id").agg(F.min(low).alias("first_observation"))
+    bounds = source.agg(F.min(low).alias("global_first"), F.max(high).alias("global_last"))
+    return rows.join(first, "channel_id").crossJoin(F.broadcast(bounds))
 
 
 def assign_split(as_of: Column, validation: str, test: str) -> Column:
@@ -90,16 +97,17 @@ def label_column() -> Column:
     return F.when(F.col("exclusion_reason").isNull(), (F.col("known_future") > 0).cast("int"))
 
 
-def _diagnosed(rows: DataFrame, obs: DataFrame, episodes: DataFrame, gaps: DataFrame, history: Column, gap_seconds: float, validation: str, test: str) -> DataFrame:
-    rows = join_future(with_bounds(rows, obs), episodes).withColumn("split", assign_split(F.col("as_of"), validation, test))
+def _diagnosed(rows: DataFrame, source: DataFrame, episodes: DataFrame, gaps: DataFrame, history: Column, gap_seconds: float, validation: str, test: str) -> DataFrame:
+    rows = join_future(with_bounds(rows, source), episodes).withColumn("split", assign_split(F.col("as_of"), validation, test))
     rows = overlaps_gap(rows, gaps, hours(24), hours(24))
     return rows.withColumn("exclusion_reason", exclusion_reason(history, gap_seconds, validation, test)).withColumn("label", label_column()).withColumn("label_scope", F.lit(SCOPE))
 
 
 def build_examples(obs: DataFrame, episodes: DataFrame, gaps: DataFrame, validation: str, test: str, gap_seconds: float = 900) -> DataFrame:
     """Snapshots of days with records."""
-    daily = snapshot_daily(obs).withColumnsRenamed({"event_count": "event_count_24h", "alarm_count": "alarm_count_24h"})
-    rows = _diagnosed(daily, obs, episodes, gaps, hours(24), gap_seconds, validation, test)
+    daily = channel_days(obs)
+    rows = daily.drop("first_event").withColumnsRenamed({"event_count": "event_count_24h", "alarm_count": "alarm_count_24h"})
+    rows = _diagnosed(rows, daily, episodes, gaps, hours(24), gap_seconds, validation, test)
     t = F.col("as_of")
     return rows.select(
         "channel_id", "as_of", "event_count_24h", "alarm_count_24h", age_hours(F.col("last_event"), t).alias("last_event_age_hours"),
@@ -139,12 +147,18 @@ def trailing(dense: DataFrame, short: int = 7, long: int = 30) -> DataFrame:
     )
 
 
+def _midnights(daily: DataFrame, keep: int) -> DataFrame:
+    """Every midnight that a grid over ``daily`` can hold: a row a day of the journal."""
+    span = daily.agg(F.min("as_of").alias("a"), (F.max("as_of") + days(keep - 1)).alias("b")).filter("a IS NOT NULL")
+    return span.select(F.explode(F.sequence("a", "b", F.expr("INTERVAL 1 DAY"))).alias("as_of"))
+
+
 def build_examples_v2(obs: DataFrame, episodes: DataFrame, gaps: DataFrame, validation: str, test: str, gap_seconds: float = 900, short: int = 7, long: int = 30) -> DataFrame:
     """Snapshots of every day of an active channel, with windows of one, ``short`` and ``long`` days."""
-    daily = snapshot_daily(obs)
-    grid = activity_grid(daily, long)
-    rows = trailing(densify(grid, daily, episodes), short, long).join(gap_hours(grid, gaps, long, f"log_gap_hours_{long}d"), "as_of")
-    rows = _diagnosed(rows, obs, episodes, gaps, days(long), gap_seconds, validation, test)
+    daily = channel_days(obs)
+    rows = trailing(densify(activity_grid(daily, long), daily.drop("first_event"), episodes), short, long)
+    rows = rows.join(gap_hours(_midnights(daily, long), gaps, long, f"log_gap_hours_{long}d"), "as_of")
+    rows = _diagnosed(rows, daily, episodes, gaps, days(long), gap_seconds, validation, test)
     t = F.col("as_of")
     names = [f"{c}_{w}" for w in ("24h", f"{short}d", f"{long}d") for c in ("event_count", "alarm_count")]
     return rows.select(
