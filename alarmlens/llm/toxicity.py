@@ -95,19 +95,21 @@ def _features(units: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
         yield np.array(at), ids, weight / _norm(length - 2 if marks else length)
 
 
-def _kernel(units: list[bytes], landmarks: list[bytes]) -> np.ndarray:
-    """Kernel values, units by landmarks."""
-    marks = list(_features(landmarks))
-    known = np.unique(np.concatenate([ids.ravel() for _, ids, _ in marks]))
-    row = np.full(CODES**3, len(known), np.int32)  # the last row is that of all other subsequences
-    row[known] = np.arange(len(known))
-    dense = np.zeros((len(known) + 1, len(landmarks)), np.float32)
-    for at, ids, weight in marks:
-        np.add.at(dense, (row[ids], np.broadcast_to(at[:, None], ids.shape)), np.broadcast_to(weight, ids.shape))
+def _kernel(units: list[bytes], landmarks: list[bytes], strip: int = 256) -> np.ndarray:
+    """Kernel values, units by landmarks; a strip of landmarks at a time, to bound memory."""
     out = np.zeros((len(units), len(landmarks)), np.float32)
-    for at, ids, weight in _features(units):
-        for lo in range(0, len(at), 100):
-            out[at[lo : lo + 100]] = np.einsum("ncl,c->nl", dense[row[ids[lo : lo + 100]]], weight)
+    features = list(_features(units))
+    for left in range(0, len(landmarks), strip):
+        marks = list(_features(landmarks[left : left + strip]))
+        known = np.unique(np.concatenate([ids.ravel() for _, ids, _ in marks]))
+        row = np.full(CODES**3, len(known), np.int32)  # the last row is that of all other subsequences
+        row[known] = np.arange(len(known))
+        dense = np.zeros((len(known) + 1, min(strip, len(landmarks) - left)), np.float32)
+        for at, ids, weight in marks:
+            np.add.at(dense, (row[ids], np.broadcast_to(at[:, None], ids.shape)), np.broadcast_to(weight, ids.shape))
+        for at, ids, weight in features:
+            for lo in range(0, len(at), 100):
+                out[at[lo : lo + 100], left : left + strip] = np.einsum("ncl,c->nl", dense[row[ids[lo : lo + 100]]], weight)
     return out
 
 
@@ -123,8 +125,7 @@ class Sentences:
         space = _SPACE[simple] & (cp < _KNOWN)
         ends = (cp == 10) | (((cp == 46) | (cp == 33) | (cp == 63)) & np.append(space[1:], True))
         at = np.flatnonzero(codes)
-        self.codes = codes[at]
-        self.letters = self.codes.astype(np.uint8).tobytes()
+        self.letters = codes[at].astype(np.uint8).tobytes()
         run, sentence = np.cumsum(space)[at], np.cumsum(ends)[at]
         new = np.ones(len(at), bool)
         new[1:] = run[1:] != run[:-1]
@@ -155,7 +156,7 @@ class Sentences:
         first, owner = np.concatenate([first, last]), np.concatenate([np.repeat(doc[long], count), doc[long]])
         units.append((owner, first, np.full(len(first), WINDOW), np.zeros(len(first), np.int8)))
         #: text, place of the first letter, letters, runs (0: a window without marks)
-        self.doc, self.first, self.size, self.runs = (np.concatenate(x) for x in zip(*units, strict=True))
+        self.doc, self.first, self.size, self.runs = (np.concatenate(x).astype(kind) for x, kind in zip(zip(*units, strict=True), (np.int32, np.int32, np.int8, np.int8), strict=True))
 
     def unit(self, k: int) -> bytes:
         letters = self.letters[self.first[k] : self.first[k] + self.size[k]]
@@ -163,9 +164,9 @@ class Sentences:
 
     def values(self, weights: np.ndarray) -> np.ndarray:
         """Sum of the weights of each unit's subsequences, scaled."""
-        n = len(self.codes)
+        n = len(self.letters)
         c = np.zeros(n + SPAN, np.int32)
-        c[:n] = self.codes
+        c[:n] = np.frombuffer(self.letters, np.uint8)
         high, mid = c * (CODES * CODES), c * CODES
         decay = [np.float32(DECAY ** (q + 1)) for q in range(SPAN)]
         by_span = {}
@@ -176,7 +177,7 @@ class Sentences:
             by_span[q] = total * decay[q]
         sums = np.zeros(n + 1)
         np.cumsum(sum(by_span.values()), out=sums[1:], dtype=np.float64)
-        last = self.first + self.size - 1
+        last = self.first + self.size.astype(np.int32) - 1
         out = sums[last + 1] - sums[self.first]
         for j in range(SPAN - 1):  # less those that reach beyond the last letter
             inside = self.size > j
@@ -194,7 +195,41 @@ class Sentences:
                 edge += np.where(size >= q, (front + back) * decay[q], np.float32(0))
         out[marked] += edge
         norms = np.array([_norm(k) for k in range(SHORTEST, LONGEST + 1)])
-        return out / norms[self.size - SHORTEST]
+        return (out / norms[self.size - SHORTEST]).astype(np.float32)
+
+
+class Corpus:
+    """The sentences of many texts, in parts of bounded size."""
+
+    def __init__(self, texts: list[object], most: int = 1 << 19):
+        cuts = np.cumsum([len(t) if isinstance(t, str) else 0 for t in texts]) // most
+        starts = np.flatnonzero(np.diff(cuts, prepend=-1)).tolist()
+        self.parts = [Sentences(texts[a:b]) for a, b in zip(starts, [*starts[1:], len(texts)], strict=True)]
+        self.doc = np.concatenate([p.doc + np.int32(a) for p, a in zip(self.parts, starts, strict=True)])
+        self.runs = np.concatenate([p.runs for p in self.parts])
+        self.ends = np.cumsum([len(p.doc) for p in self.parts])
+
+    def unit(self, k: int) -> bytes:
+        part = int(np.searchsorted(self.ends, k, "right"))
+        return self.parts[part].unit(k - (int(self.ends[part - 1]) if part else 0))
+
+    def units(self, at: np.ndarray) -> list[bytes]:
+        """Distinct units at these places, in order."""
+        return list(dict.fromkeys(map(self.unit, at.tolist())))
+
+    def names(self) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Places of single runs, the number of each one's name, and the names."""
+        index: dict[bytes, int] = {}
+        at, name, before = [], [], 0
+        for p in self.parts:
+            own = np.flatnonzero(p.runs == 1)
+            name.append(np.array([index.setdefault(p.unit(k), len(index)) for k in own.tolist()], np.int32))
+            at.append(own + before)
+            before += len(p.doc)
+        return np.concatenate(at), np.concatenate(name), list(index)
+
+    def values(self, weights: np.ndarray) -> np.ndarray:
+        return np.concatenate([p.values(weights) for p in self.parts])
 
 
 @dataclass
@@ -216,18 +251,24 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-(a * np.clip(value, FLOOR, -FLOOR) + b)))
 
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, rounds: int = 30) -> np.ndarray:
-    """Squared hinge loss with an unpenalised last column, by Newton steps."""
-    x = np.hstack([x, np.ones((len(x), 1))]).astype(np.float64)
-    w = np.zeros(x.shape[1])
-    keep = np.eye(x.shape[1]) * ridge
+def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, rounds: int = 30, block: int = 1000) -> np.ndarray:
+    """Squared hinge loss with an unpenalised bias (last), by Newton steps; rows are taken a block at a time."""
+    width = x.shape[1] + 1
+    w = np.zeros(width)
+    keep = np.eye(width) * ridge
     keep[-1, -1] = 1e-9
     total = weight.sum()
     for _ in range(rounds):
-        live = y * (x @ w) < 1
-        a = x[live] * (weight[live] / total)[:, None]
-        new = np.linalg.solve(a.T @ x[live] + keep, a.T @ y[live])
-        if np.abs(new - w).max() < 1e-6:
+        live = np.flatnonzero(y * (x @ w[:-1].astype(np.float32) + w[-1]) < 1)
+        left, right = keep.copy(), np.zeros(width)
+        for lo in range(0, len(live), block):
+            at = live[lo : lo + block]
+            part = np.hstack([x[at], np.ones((len(at), 1), np.float32)]).astype(np.float64)
+            scaled = part * (weight[at] / total)[:, None]
+            left += scaled.T @ part
+            right += scaled.T @ y[at]
+        new = np.linalg.solve(left, right)
+        if np.abs(new - w).max() < 1e-4 * max(1.0, np.abs(new).max()):
             break
         w = new
     return w
@@ -275,7 +316,9 @@ def _solved(units: list[bytes], y: np.ndarray, weight: np.ndarray, marks: list[b
     """Coefficients of the landmarks and the bias, from the machine in the space that these span."""
     near = _kernel(marks, marks).astype(np.float64)
     root = np.linalg.cholesky((near + near.T) / 2 + 1e-3 * np.eye(len(marks)))
-    x = np.linalg.solve(root, _kernel(units, marks).T.astype(np.float64)).T
+    x, back = _kernel(units, marks), np.linalg.inv(root).T
+    for lo in range(0, len(x), 1000):
+        x[lo : lo + 1000] = x[lo : lo + 1000] @ back
     w = _svm(x, y, weight * (len(y) / weight.sum()), 1e-5)
     return np.linalg.solve(root.T, w[:-1]), float(w[-1])
 
@@ -287,21 +330,18 @@ def _linear(units: list[bytes], weights: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(texts: list[str], toxic: np.ndarray, landmarks: int = 1200, rounds: int = 8, seed: int = 3) -> ToxicityModel:
+def train(texts: list[str], toxic: np.ndarray, landmarks: int = 1000, rounds: int = 8, seed: int = 3) -> ToxicityModel:
     """Fit on texts with their labels (0, 1)."""
     toxic = np.asarray(toxic, np.int64)
     nothing = ToxicityModel(np.zeros(CODES**3, np.float32))
     if not len(toxic) or toxic.min() == toxic.max():
         return nothing
     rng = np.random.default_rng(seed)
-    s = Sentences(texts)
+    s = Corpus(texts)
     label = toxic[s.doc]
     # distinct single runs and how many texts of each label have them
-    single = np.flatnonzero(s.runs == 1)
-    index: dict[bytes, int] = {}
-    name = np.array([index.setdefault(s.unit(k), len(index)) for k in single.tolist()], np.int64)
-    names = list(index)
-    pairs = np.unique(s.doc[single] * len(names) + name)
+    single, name, names = s.names()
+    pairs = np.unique(s.doc[single].astype(np.int64) * len(names) + name)
     counts = np.zeros((2, len(names)))
     np.add.at(counts, (toxic[pairs // max(1, len(names))], pairs % max(1, len(names))), 1)
     n = np.bincount(toxic, minlength=2)
@@ -312,13 +352,13 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = 1200, rounds: in
     bad = single[label[single] == 1]
     bad_name = name[label[single] == 1]
     clean = np.flatnonzero(label == 0)
-    by_hash = clean[np.argsort((clean * np.int64(2654435761)) % np.int64(1 << 32), kind="stable")]
-    easy = list(dict.fromkeys(s.unit(k) for k in by_hash[: CLEAN_UNITS // 4].tolist()))
+    by_hash = np.argsort((clean * np.int64(2654435761)) % np.int64(1 << 32), kind="stable")[: CLEAN_UNITS // 4]
+    easy = s.units(clean[by_hash])
     hard: list[bytes] = []
     disturbed = {k: _disturbed(names[k], rng) for k in usual.tolist()}
     marks: list[bytes] = []
     folded, bias = np.zeros(CODES**3), 0.0
-    value = np.zeros(len(s.doc))
+    value = np.zeros(len(s.doc), np.float32)
     for turn in range(rounds):
         worth = odds[bad_name] if not turn else value[bad]
         order = np.lexsort((worth, s.doc[bad]))
@@ -347,11 +387,11 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = 1200, rounds: in
         folded = np.zeros(CODES**3)
         for at, ids, weights in _features(marks):
             np.add.at(folded, ids, alpha[at][:, None] * weights[None, :])
-        value = s.values(folded.astype(np.float32)) + bias
+        value = s.values(folded.astype(np.float32)) + np.float32(bias)
         # clean units within the margin stay or join, the worst first
         worst = clean[value[clean] > -1]
         worst = worst[np.argsort(-value[worst], kind="stable")]
-        hard = list(dict.fromkeys([*[s.unit(k) for k in worst[: CLEAN_UNITS // 4].tolist()], *hard]))[: CLEAN_UNITS * 3 // 4]
+        hard = list(dict.fromkeys([*s.units(worst[: CLEAN_UNITS // 4]), *hard]))[: CLEAN_UNITS * 3 // 4]
 
     model = ToxicityModel(folded.astype(np.float32), bias, landmarks=marks)
     values = np.full(len(toxic), FLOOR)
@@ -395,7 +435,7 @@ def scored(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out: s
 
     @F.pandas_udf(T.DoubleType())
     def udf(texts: pd.Series) -> pd.Series:
-        parts = [model.score(model.text_values(pdf["text"].tolist())) for pdf in text_chunks(texts.to_frame("text"), "text", 1 << 20)]
+        parts = [model.score(model.text_values(pdf["text"].tolist())) for pdf in text_chunks(texts.to_frame("text"), "text", 1 << 19)]
         return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
     rows = boxed(docs).withColumn("_score", udf(F.col(f"_doc.`{text_col}`")))
