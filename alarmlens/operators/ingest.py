@@ -186,10 +186,12 @@ def order_checks(obs: DataFrame, position: str = "source_row") -> DataFrame:
 def sample_channels(df: DataFrame, n: int, seed: int = 2) -> DataFrame:
     """A stable sample of channels: those of the least hashes of id and seed."""
     ids = df.select("channel_id").distinct()
-    return ids.orderBy(F.xxhash64(F.concat("channel_id", F.lit(f"|{seed}"))), "channel_id").limit(n)
+    return ids.orderBy(F.md5(F.concat("channel_id", F.lit(f"|{seed}"))), "channel_id").limit(n)
 
 
-def stratified_sample(df: DataFrame, strata: dict[str, Column], per_stratum: int, seed: int = 3, key: str = "channel_id") -> DataFrame:
-    """``per_stratum`` rows of each named predicate, those of the least hashes; a top-n of each, not a window."""
-    parts = [df.filter(p).withColumn("stratum", F.lit(n)).orderBy(F.xxhash64(F.lit(seed), *[F.col(c) for c in df.columns]), key).limit(per_stratum) for n, p in strata.items()]
+def stratified_sample(df: DataFrame, strata: dict[str, Column], per_stratum: int, seed: int = 3, by: list[Column] | None = None) -> DataFrame:
+    """``per_stratum`` rows of each named predicate, those of the least hashes of the texts ``by`` (the whole row as JSON,
+    if not given); a top-n of each, not a window."""
+    text = F.concat_ws("|", F.lit(str(seed)), *(by or [F.to_json(F.struct(*[F.col(c) for c in df.columns]))]))
+    parts = [df.filter(p).withColumn("stratum", F.lit(n)).orderBy(F.md5(text), text).limit(per_stratum) for n, p in strata.items()]
     return reduce(DataFrame.unionByName, parts)

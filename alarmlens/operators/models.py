@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
-from pyspark.ml.feature import StandardScaler, VectorAssembler, VectorIndexer
+from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler, VectorIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
@@ -63,6 +63,28 @@ def fit_gbt(df: DataFrame, features: list[str], categorical: int | None = None,
     return _fit(df, features, lambda names: [*index, gbt], {"fill": -1.0, "flags": True}, label)
 
 
+class CategoricalFitted:
+    """Boosted trees over numbers and categories (texts); a category that training has not seen is one of its own."""
+
+    def __init__(self, df: DataFrame, numbers: list[str], categories: list[str], trees: int = 40, rate: float = 0.1, depth: int = 5, least: int = 20, label: str = "label", seed: int = 1):
+        self.numbers, self.categories = numbers, categories
+        rows, names = self._rows(df)
+        rows = rows.withColumn("_label", F.col(label).cast("double"))
+        index = StringIndexer(inputCols=[f"_t{k}" for k in range(len(categories))], outputCols=[f"_c{k}" for k in range(len(categories))], handleInvalid="keep").fit(rows)
+        widest = max((len(x) for x in index.labelsArray), default=0) + 1
+        # the indexer's metadata make these columns categories to the trees, which need a bin for each
+        vector = VectorAssembler(inputCols=[*names, *index.getOutputCols()], outputCol="_raw")
+        gbt = GBTClassifier(featuresCol="_raw", labelCol="_label", maxIter=trees, stepSize=rate, maxDepth=depth, minInstancesPerNode=least, maxBins=max(32, widest), seed=seed)
+        self.model = Pipeline(stages=[index, vector, gbt]).fit(rows)
+
+    def _rows(self, df: DataFrame) -> tuple[DataFrame, list[str]]:
+        rows, names = _filled(df, self.numbers, fill=-1.0, flags=True)
+        return rows.withColumns({f"_t{k}": F.coalesce(F.col(c).cast("string"), F.lit("")) for k, c in enumerate(self.categories)}), names
+
+    def score(self, df: DataFrame, out: str = "score") -> DataFrame:
+        return self.model.transform(self._rows(df)[0]).withColumn(out, vector_to_array("probability")[1]).select(*df.columns, out)
+
+
 def fit_mlp(df: DataFrame, features: list[str], layers: tuple[int, ...] = (64, 32), label: str = "label", seed: int = 1) -> Fitted:
     """Filled, flagged, scaled, then a multilayer perceptron."""
     return _fit(

@@ -201,14 +201,17 @@ def exact_distinct_partitioned(spark, d):
     return ingest.exact_distinct(observations(spark, d), "event_id").agg(F.sum("distinct_values").alias("distinct_values"))
 
 
-@query()
+@query("SELECT channel_id FROM (SELECT DISTINCT channel_id FROM obs) ORDER BY md5(channel_id || '|2'), channel_id LIMIT 50", (OBS,))
 def hash_sample_channels(spark, d):
     return ingest.sample_channels(observations(spark, d), 50)
 
 
-@query()
+@query(f"""SELECT channel_id, as_of, label, stratum FROM (SELECT *, CASE label WHEN 1 THEN 'positive' WHEN 0 THEN 'negative' ELSE 'excluded' END AS stratum FROM v1)
+ QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY md5('3|' || channel_id || '|' || strftime(as_of, '%Y-%m-%d'))) <= 20""", (OBS, EPS, DAILY, FUTURE, SEEN, GAP_ROWS, V1))
 def stratified_sample(spark, d):
-    return ingest.stratified_sample(v1_of(spark, d), {"positive": F.col("label") == 1, "negative": F.col("label") == 0, "excluded": F.col("label").isNull()}, 20)
+    strata = {"positive": F.col("label") == 1, "negative": F.col("label") == 0, "excluded": F.col("label").isNull()}
+    by = [F.col("channel_id"), F.date_format("as_of", "yyyy-MM-dd")]
+    return ingest.stratified_sample(v1_of(spark, d), strata, 20, by=by).select("channel_id", "as_of", "label", "stratum")
 
 
 # ------------------------------------------------------------------ episodes

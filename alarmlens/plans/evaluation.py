@@ -320,16 +320,25 @@ def model_rows(spark, d) -> tuple[DataFrame, DataFrame]:
     return rows.filter(F.col("as_of") < F.lit(TEST).cast("timestamp_ntz")), rows.filter(F.col("as_of") >= F.lit(TEST).cast("timestamp_ntz"))
 
 
+def fitted_on(train: DataFrame, fit):
+    """What ``fit`` makes of ``train``, which is kept for its iterations and given back."""
+    train = train.persist()
+    try:
+        return fit(train)
+    finally:
+        train.unpersist()
+
+
 @query()
 def fit_logistic(spark, d):
     train, test = model_rows(spark, d)
-    return ml.fit_logistic(train.cache(), FEATURES).score(test).select("channel_id", "as_of", "label", "score")
+    return fitted_on(train, lambda rows: ml.fit_logistic(rows, FEATURES)).score(test).select("channel_id", "as_of", "label", "score")
 
 
 @query()
 def fit_gbt(spark, d):
     train, test = model_rows(spark, d)
-    return ml.fit_gbt(train.cache(), FEATURES, trees=10, depth=4).score(test).select("channel_id", "as_of", "label", "score")
+    return fitted_on(train, lambda rows: ml.fit_gbt(rows, FEATURES, trees=10, depth=4)).score(test).select("channel_id", "as_of", "label", "score")
 
 
 @query()

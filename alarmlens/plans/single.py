@@ -16,7 +16,7 @@ from ..streaming import operators as so
 from ..streaming.run import run_available
 from .base import DAILY, DOWN, EPS, FUTURE, HOURS, OBS, SEEN, TEST, UP, VALIDATION, observations, table
 from .core import CD, ORACLES, QUERIES, RAW_SQL, SC_CTES, V1_CTES, eps_of, query, raw_journal, scored, v1_of
-from .evaluation import CURVE, FEATURES, curve, model_rows
+from .evaluation import CURVE, FEATURES, curve, fitted_on, model_rows
 
 __all__ = ["ORACLES", "QUERIES"]
 C = (*SC_CTES, CURVE)
@@ -120,13 +120,13 @@ def constant_score(spark, d):
 @query()
 def fit_mlp(spark, d):
     train, test = model_rows(spark, d)
-    return ml.fit_mlp(train.cache(), FEATURES, (8,)).score(test).select("channel_id", "as_of", "label", "score")
+    return fitted_on(train, lambda rows: ml.fit_mlp(rows, FEATURES, (8,))).score(test).select("channel_id", "as_of", "label", "score")
 
 
 @query()
 def mixture_of_experts(spark, d):
     rows = scored(spark, d).withColumn("kind", F.pmod(F.col("channel_id").cast("long"), F.lit(3)).cast("string"))
-    mixture = ml.MixtureOfExperts(rows.filter("split = 'train'").cache(), ["score", "rule"], "kind", trees=5, depth=3)
+    mixture = fitted_on(rows.filter("split = 'train'"), lambda train: ml.MixtureOfExperts(train, ["score", "rule"], "kind", trees=5, depth=3))
     return mixture.score(rows.filter("split <> 'train'"), "mixed").select("channel_id", "as_of", "mixed")
 
 

@@ -15,7 +15,7 @@ def _all_text(columns: list[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
-def scan_journal_csv(spark: SparkSession, path: str, columns: dict[str, str], sep: str = ",") -> DataFrame:
+def scan_journal_csv(spark: SparkSession, path: str, columns: dict[str, str], sep: str = ",", escape: str = "\\") -> DataFrame:
     """Strict text CSV with the header ``columns`` (file name -> our name), in that order.  A ragged row or another
     header fails the job; rows are read whole, so that pruning hides no ragged one."""
     names = list(columns)
@@ -27,7 +27,7 @@ def scan_journal_csv(spark: SparkSession, path: str, columns: dict[str, str], se
         raise ValueError(f"header {header} is not {names}")
     reader = spark.read.schema(_all_text(names)).option("header", True).option("mode", "FAILFAST").option("enforceSchema", False).option("sep", sep)
     bad = "_broken"
-    checked = reader.schema(_all_text([*names, bad])).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad).option("enforceSchema", True).csv(path)
+    checked = reader.schema(_all_text([*names, bad])).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad).option("enforceSchema", True).option("escape", escape).csv(path)
     whole = F.when(F.col(bad).isNotNull(), F.raise_error(F.concat(F.lit("ragged row: "), F.col(bad)))).otherwise(F.col(names[0]))
     return checked.select(whole.alias(columns[names[0]]), *[F.col(n).alias(columns[n]) for n in names[1:]])
 

@@ -4,16 +4,18 @@ once the watermark has passed it."""
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..functions.time import hours
 from ..operators.episodes import KNOWN, UNKNOWN
 from ..operators.ingest import normalize_quarantine
-from ..operators.serving import new_risks
+from ..operators.models import linear_score
+from ..operators.serving import features_at, new_risks, serving_status
 
 
 def stream_normalize(raw: DataFrame, zone: str = "UTC") -> tuple[DataFrame, DataFrame]:
@@ -121,20 +123,28 @@ def stream_daily_counts(obs: DataFrame, delay: str = "1 hour") -> DataFrame:
     return found.select("channel_id", F.col("window.start").alias("day"), "row_count", "alarm_count")
 
 
-def gap_monitor(alert: Callable[[datetime, datetime], None], threshold_seconds: float = 3600, now: Callable[[], datetime] = datetime.utcnow) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that calls ``alert(last record, now)`` when the journal is stale."""
-    last: list[datetime] = []
+def gap_monitor(path: str, alert: Callable[[datetime, datetime], None], threshold_seconds: float = 3600, now: Callable[[], datetime] | None = None) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that calls ``alert(last record, now)`` when the journal is stale.
+
+    The last record is kept at ``path``, one row a batch that moved it, so a monitor that starts again goes on from
+    there; a batch that runs again writes its row again.  ``now`` gives a moment in UTC without zone."""
+    now = now or (lambda: datetime.now(timezone.utc).replace(tzinfo=None))
 
     def check(batch: DataFrame, epoch: int) -> None:
-        newest = batch.agg(F.max("occurred_at")).first()[0]
-        if newest is not None:
-            last[:] = [max([newest, *last])]
-        if last and (now() - last[0]).total_seconds() > threshold_seconds:
-            alert(last[0], now())
+        newest = batch.agg(F.max("occurred_at").alias("last_at")).filter("last_at IS NOT NULL")
+        newest.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        last = last_record(batch.sparkSession, path).first()[0]
+        if last is not None and (now() - last).total_seconds() > threshold_seconds:
+            alert(last, now())
 
     return check
 
 
+def last_record(spark: SparkSession, path: str) -> DataFrame:
+    """The newest moment that a gap monitor has stored at ``path``: last_at, null if none."""
+    return spark.read.schema("last_at timestamp_ntz, epoch long").parquet(path).agg(F.max("last_at").alias("last_at"))
+
+
 def risk_scorer(score: Callable[[DataFrame], DataFrame], open_risks: Callable[[], DataFrame], now: Callable[[], datetime], threshold: float, write: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function: score a batch's objects (object_id, model, score), keep alerts without an open
     risk, and write them."""
@@ -143,3 +153,43 @@ def risk_scorer(score: Callable[[DataFrame], DataFrame], open_risks: Callable[[]
         write(new_risks(alerts, open_risks(), F.lit(now()).cast("timestamp_ntz")))
 
     return run
+
+
+def risk_job(
+    history: Callable[[], DataFrame], directory: DataFrame, gaps: DataFrame, coefficients: dict[str, float], intercept: float, risks: str,
+    model: str = "alarm", threshold: float = 0.5, window_hours: int = 24, gap_seconds: float = 900, short: int = 7, long: int = 30,
+) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that keeps the table of risks at ``risks`` (object_id, model, opened_at, window_end,
+    score, status, epoch) up to date.
+
+    Each batch of records moves time to its newest one.  The channels that it names get their features at that moment,
+    from ``history()`` (all records stored so far, the batch included); channels that must be refused are left out; a
+    stored logistic model scores them; an object counts as its worst channel; and objects over the threshold without an
+    open risk get one.  A batch that runs again replaces what it wrote."""
+    def run(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        now = batch.agg(F.max("occurred_at")).first()[0]
+        if now is None:
+            return
+        asked = batch.select("channel_id").distinct().withColumn("t", F.lit(now).cast("timestamp_ntz"))
+        seen = history()
+        fine = serving_status(seen, asked, gaps, gap_seconds, long).filter("status = 'ok'").select("channel_id", "t")
+        features = features_at(seen, fine, gaps, gap_seconds, short, long).fillna(0.0)
+        channels = linear_score(features, coefficients, intercept).join(directory.select("channel_id", "object_id"), "channel_id")
+        alerts = channels.groupBy("object_id").agg(F.max("score").alias("score")).filter(F.col("score") >= threshold).withColumn("model", F.lit(model))
+        known = open_risks(spark, risks).filter(F.col("epoch") != epoch)
+        t = F.lit(now).cast("timestamp_ntz")
+        fresh = new_risks(alerts, known, t).select("object_id", "model", t.alias("opened_at"), (t + hours(window_hours)).alias("window_end"), "score", F.lit("open").alias("status"))
+        fresh.write.mode("overwrite").parquet(f"{risks}/epoch={epoch}")
+
+    return run
+
+
+RISKS = "object_id string, model string, opened_at timestamp_ntz, window_end timestamp_ntz, score double, status string, epoch long"
+
+
+def open_risks(spark: SparkSession, risks: str) -> DataFrame:
+    """The table that ``risk_job`` keeps; empty before its first batch."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(risks)
+    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    return spark.read.schema(RISKS).parquet(risks) if there else spark.createDataFrame([], RISKS)

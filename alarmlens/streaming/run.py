@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 
+from ..sources.scratch import shared_path
+
 
 def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Process all data that is available now, however long it takes; returns the written result.  State and result are
-    in the folder of ``spark.checkpoint.dir`` (a temporary one where that is unset)."""
+    in the folder of ``spark.checkpoint.dir``."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-alarmlens-")
-    place = f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
+    place = shared_path(spark, "streams")
     write = "overwrite" if mode == "complete" else "append"
     query = (
         stream.writeStream.outputMode(mode).option("checkpointLocation", f"{place}/state").trigger(availableNow=True)

@@ -13,13 +13,29 @@ def test_query_equals_sql(spark, name):
     assert oracle.spark_rows(registry.QUERIES[name](spark, SF)) == oracle.duck_rows(SF, registry.ORACLES[name])
 
 
-@pytest.mark.parametrize("name", ["hash_sample_channels", "stratified_sample", "bootstrap_ci", "shuffled_label_control", "reconstruction_quality"])
+@pytest.mark.parametrize("name", ["bootstrap_ci", "shuffled_label_control", "reconstruction_quality"])
 def test_query_without_sql(spark, name):
     first = registry.QUERIES[name](spark, SF)
     assert oracle.spark_rows(first) == oracle.spark_rows(registry.QUERIES[name](spark, SF))
     assert first.count() > 0
 
 
+@pytest.mark.parametrize("name", ["fit_logistic", "fit_gbt", "fit_categorical_gbt", "fit_mlp", "grid_search_time", "mixture_of_experts", "isotonic_calibration"])
+def test_fitted_scores(spark, name):
+    """One score for each held-out row, from 0 to 1."""
+    rows = registry.QUERIES[name](spark, SF).toPandas()
+    score = rows[[c for c in ("probability", "mixed", "score") if c in rows][0]]
+    assert len(rows) and not rows.duplicated(["channel_id", "as_of"]).any() and score.between(0, 1).all()
+
+
+def test_samples_are_full(spark):
+    """The sizes that were asked for, from every stratum that has as many."""
+    kinds = {r.stratum: r["count"] for r in registry.QUERIES["stratified_sample"](spark, "/root/testdata/sf0.01").groupBy("stratum").count().collect()}
+    assert kinds == {"positive": 20, "negative": 20, "excluded": 20}
+    risks = registry.QUERIES["stream_risk_scoring"](spark, "/root/testdata/sf0.01").count()
+    assert risks > 0
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 

@@ -77,13 +77,20 @@ def test_normalize(spark, tmp_path):
     assert [r.reason for r in run(bad, tmp_path, "bad").collect()] == ["timestamp"]
 
 
-def test_batch_functions(spark):
+def test_batch_functions(spark, tmp_path):
     seen = []
-    check = so.gap_monitor(lambda last, now: seen.append((last, now)), 3600, now=lambda: T0 + timedelta(hours=2))
-    batch = spark.createDataFrame([(T0,)], "occurred_at timestamp_ntz")
-    check(batch, 0)
-    check(spark.createDataFrame([(T0 + timedelta(minutes=90),)], "occurred_at timestamp_ntz"), 1)
+    monitor = lambda: so.gap_monitor(str(tmp_path / "last"), lambda last, now: seen.append((last, now)), 3600, now=lambda: T0 + timedelta(hours=2))
+    batch = lambda *moments: spark.createDataFrame([(m,) for m in moments], "occurred_at timestamp_ntz")
+    check = monitor()
+    check(batch(), 0)  # nothing seen yet
+    check(batch(T0), 1)
     assert seen == [(T0, T0 + timedelta(hours=2))]
+    check = monitor()  # a monitor that starts again knows the last record
+    check(batch(), 2)
+    check(batch(T0 - timedelta(days=1)), 2)
+    assert seen == [(T0, T0 + timedelta(hours=2))] * 3
+    check(batch(T0 + timedelta(minutes=90)), 3)
+    assert len(seen) == 3
     out = []
     open_risks = spark.createDataFrame([("a", "m", T0 + timedelta(days=1), "open")], "object_id string, model string, window_end timestamp_ntz, status string")
     run_ = so.risk_scorer(lambda df: df.withColumn("score", F.lit(0.9)), lambda: open_risks, lambda: T0, 0.5, lambda df: out.extend(df.collect()))
@@ -97,3 +104,21 @@ def test_run_available_outlasts_a_limit(spark, folder, monkeypatch):
     monkeypatch.setattr(StreamingQuery, "awaitTermination", lambda self, timeout=None: wait(self, timeout and 0.001))
     got = run_available(journal.stream_observations(spark, str(folder / "in"), files_per_trigger=1))
     assert got.count() == spark.read.parquet(str(folder / "in")).count() == 402
+
+
+def test_risk_job(spark, tmp_path):
+    """Refused channels and objects with an open risk get none; a batch that runs again changes nothing."""
+    day = timedelta(days=1)
+    rows = [(f"{c}{k}", c, T0 - k * day - timedelta(hours=2), c == "bad" and k < 4, "v") for c in ("bad", "calm") for k in range(9)]
+    rows += [("n", "new", T0 - timedelta(hours=2), True, "v"), ("last", "calm", T0, False, "v")]
+    history = spark.createDataFrame(rows, journal.OBSERVATION)
+    directory = spark.createDataFrame([("bad", "A"), ("calm", "B"), ("new", "C")], "channel_id string, object_id string")
+    gaps = spark.createDataFrame([], "start_at timestamp_ntz, end_at timestamp_ntz")
+    path = str(tmp_path / "risks")
+    job = so.risk_job(lambda: history, directory, gaps, {"alarm_count_7d": 1.0}, -2.0, path, gap_seconds=900, short=7, long=8)
+    for epoch in (0, 0, 1):
+        job(history, epoch)
+        found = so.open_risks(spark, path).collect()
+        assert [(r.object_id, r.opened_at, r.window_end, r.epoch) for r in found] == [("A", T0, T0 + day, 0)]
+    job(history.limit(0), 2)
+    assert so.open_risks(spark, path).count() == 1
