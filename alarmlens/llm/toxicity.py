@@ -251,24 +251,24 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-(a * np.clip(value, FLOOR, -FLOOR) + b)))
 
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, rounds: int = 30, block: int = 1000) -> np.ndarray:
+def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, rounds: int = 10, block: int = 2000) -> np.ndarray:
     """Squared hinge loss with an unpenalised bias (last), by Newton steps; rows are taken a block at a time."""
     width = x.shape[1] + 1
     w = np.zeros(width)
     keep = np.eye(width) * ridge
     keep[-1, -1] = 1e-9
-    total = weight.sum()
+    share = (weight / weight.sum()).astype(np.float32)
     for _ in range(rounds):
-        live = np.flatnonzero(y * (x @ w[:-1].astype(np.float32) + w[-1]) < 1)
+        live = np.flatnonzero(y * (x @ w[:-1].astype(np.float32) + np.float32(w[-1])) < 1)
         left, right = keep.copy(), np.zeros(width)
         for lo in range(0, len(live), block):
             at = live[lo : lo + block]
-            part = np.hstack([x[at], np.ones((len(at), 1), np.float32)]).astype(np.float64)
-            scaled = part * (weight[at] / total)[:, None]
+            part = np.hstack([x[at], np.ones((len(at), 1), np.float32)])
+            scaled = part * share[at, None]
             left += scaled.T @ part
-            right += scaled.T @ y[at]
+            right += scaled.T @ y[at].astype(np.float32)
         new = np.linalg.solve(left, right)
-        if np.abs(new - w).max() < 1e-4 * max(1.0, np.abs(new).max()):
+        if np.abs(new - w).max() < 1e-3 * max(1.0, np.abs(new).max()):
             break
         w = new
     return w
@@ -379,8 +379,9 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = 1000, rounds: in
             weight += [DISTURBED * n[1] / len(disturbed) / len(more)] * len(more)
         known = set(units)
         against = [u for u in dict.fromkeys([*hard, *easy]) if u not in known]
-        top = [names[k] for k in words[np.argsort(-counts[1][words], kind="stable")][: landmarks // 3]]
-        marks = list(dict.fromkeys([*top, *units[len(words) :: max(1, (len(units) - len(words)) // (landmarks // 3))], *against]))[:landmarks]
+        size = landmarks if turn >= rounds - 3 else landmarks // 3  # the first rounds only look for hard units
+        top = [names[k] for k in words[np.argsort(-counts[1][words], kind="stable")][: size // 3]]
+        marks = list(dict.fromkeys([*top, *units[len(words) :: max(1, (len(units) - len(words)) // (size // 3))], *against]))[:size]
         share = np.concatenate([np.array(weight) / sum(weight), np.full(len(against), 2 / max(1, len(against)))])
         y = np.concatenate([np.ones(len(units)), -np.ones(len(against))])
         alpha, bias = _solved([*units, *against], y, share, marks)
