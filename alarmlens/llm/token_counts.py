@@ -1,14 +1,16 @@
 """Token counts of a unigram tokenizer by dynamic programming over a trie.
 
-Pre-tokens are words with the piece file's word mark before them.  The distinct new ones of a batch are inserted in a
-trie; each node has the forward score of its prefix (the best sum of log-probabilities of pieces that spell it) and the
-number of pieces of that best way, computed once however many words share the prefix; a word's count is kept at its
-terminal.  A document's count is the sum over its words.  Everything is local to a batch of documents: nothing is
-shuffled, and the trie and the kept counts are bounded.
-
-The model's pieces come from a public vocabulary; the log-probability of the piece of rank r is that of Zipf's law,
--log(r + 1) less a constant.  A character that no piece covers falls back to its bytes, each at the lowest
-log-probability of all.  Of equally good ways the one with fewer pieces counts.
+Pre-tokens are words with the piece file's word mark before them.  A worker keeps one trie for all batches that it sees:
+each node has its children, the forward score of its prefix (the best sum of log-probabilities of pieces that spell it) and
+the number of pieces of that best way.  A word that is new is inserted from the root down; nodes that an earlier word made,
+in this batch or an earlier one, are not scored again.  The node where a word ends is its terminal, whose count is the
+word's.  A document's count is the sum over its words.  Everything is local to a worker: nothing is shuffled, and the trie
+is bounded; beyond ``most`` nodes it is begun anew, which changes no count.
+
+The model's pieces come from a public vocabulary.  Tokenizers are not trained here, and this vocabulary's file has ranks
+only, so the log-probability of the piece of rank r is that of Zipf's law, -log(r + 1) less a constant.  A character that no
+piece covers falls back to its bytes, each at the lowest log-probability of all.  Of equally good ways the one with fewer
+pieces counts.
 
 Defined results: null and empty texts count 0; any Unicode white space separates words; repeated rows get equal counts.
 """
@@ -16,6 +18,7 @@ Defined results: null and empty texts count 0; any Unicode white space separates
 from __future__ import annotations
 
 import math
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -35,67 +38,74 @@ def default_vocabulary() -> str:
 
 
 class UnigramTrie:
-    """Counts of words; ``most`` words are remembered."""
+    """Counts of words; ``most`` nodes are kept."""
 
-    def __init__(self, pieces: dict[str, float], most: int = 300_000):
+    def __init__(self, pieces: dict[str, float], most: int = 600_000):
         self.pieces, self.most = pieces, most
-        self.longest = max(map(len, pieces), default=1)
         self.floor = min(pieces.values(), default=0.0)
-        self.counts: dict[str, int] = {}
-        self.nodes = 0  # made so far: each is one forward step
-        self.ends = {p[-1]: set() for p in pieces}
+        ends: dict[str, set[int]] = {}
         for p in pieces:
-            self.ends[p[-1]].add(len(p))
-        self.ends = {c: sorted(n) for c, n in self.ends.items()}
+            ends.setdefault(p[-1], set()).add(len(p))
+        self.ends = {c: sorted(n) for c, n in ends.items()}
+        self.scored = 0  # forward steps so far
+        self.clear()
+
+    def clear(self) -> None:
+        self.child: dict[tuple[int, str], int] = {}
+        self.score, self.counts = array("d", [0.0]), array("q", [0])
+        self.terminal: dict[str, int] = {}
 
     def insert(self, words: list[str]) -> None:
-        """Insert distinct words, in order, so that the open path of the trie is that of the last word: a word adds
-        nodes only beyond the prefix it shares with the one before."""
+        """Insert words; the path of the word before is kept open, so that sorted words walk no shared prefix twice."""
         pieces, ends, floor = self.pieces, self.ends, self.floor
-        score, count = [0.0], [0]
-        last = ""
+        child, score, counts = self.child, self.score, self.counts
+        path, last = [0], ""
         for word in sorted(words):
             text = MARK + word
-            shared = 0
+            at = 0
             for a, b in zip(text, last, strict=False):
                 if a != b:
                     break
-                shared += 1
-            del score[shared + 1 :], count[shared + 1 :]
-            for end in range(shared + 1, len(text) + 1):
+                at += 1
+            del path[at + 1 :]
+            node = path[at]
+            for end in range(at + 1, len(text) + 1):
                 c = text[end - 1]
-                best, n = -math.inf, 0
-                for size in ends.get(c, ()):
-                    if size > end:
-                        break
-                    p = pieces.get(text[end - size : end])
-                    if p is not None:
-                        s = score[end - size] + p
-                        if s > best or s == best and count[end - size] + 1 < n:
-                            best, n = s, count[end - size] + 1
-                if best == -math.inf:
-                    width = len(c.encode("utf-8", "surrogatepass"))
-                    best, n = score[end - 1] + width * floor, count[end - 1] + width
-                score.append(best)
-                count.append(n)
-                self.nodes += 1
-            self.counts[word] = count[-1]
+                key = node, c
+                node = child.get(key)
+                if node is None:
+                    best, n = -math.inf, 0
+                    for size in ends.get(c, ()):
+                        if size > end:
+                            break
+                        p = pieces.get(text[end - size : end])
+                        if p is not None:
+                            before = path[end - size]
+                            s = score[before] + p
+                            if s > best or s == best and counts[before] + 1 < n:
+                                best, n = s, counts[before] + 1
+                    if best == -math.inf:
+                        width = len(c.encode("utf-8", "surrogatepass"))
+                        best, n = score[path[end - 1]] + width * floor, counts[path[end - 1]] + width
+                    node = child[key] = len(score)
+                    score.append(best)
+                    counts.append(n)
+                    self.scored += 1
+                path.append(node)
+            self.terminal[word] = node
             last = text
 
     def count(self, text: str) -> tuple[int, int]:
         """Words and tokens of one text."""
         words = text.split()
-        known = self.counts
-        try:
-            return len(words), sum(map(known.__getitem__, words))
-        except KeyError:
-            pass
-        new = set(words).difference(known)
-        if len(known) + len(new) > self.most:
-            known.clear()
-            new = set(words)
-        self.insert(list(new))
-        return len(words), sum(map(known.__getitem__, words))
+        new = [w for w in set(words) if w not in self.terminal]
+        if new:
+            if len(self.score) > self.most:
+                self.clear()
+                new = list(set(words))
+            self.insert(new)
+        terminal, counts = self.terminal, self.counts
+        return len(words), sum([counts[terminal[w]] for w in words])
 
 
 def zipf_pieces(path: str) -> dict[str, float]:
@@ -123,16 +133,6 @@ def count_tokens(docs: DataFrame, text_col: str = "text", vocabulary: str | None
     @F.pandas_udf("n_words long, n_tokens long")
     def udf(texts: pd.Series) -> pd.DataFrame:
         trie = _trie(path)
-        new: set[str] = set()
-        for x in texts:  # insert a batch's words together: they share most prefixes
-            if isinstance(x, str):
-                new.update(x.split())
-                if len(new) > 100_000:
-                    break
-        new.difference_update(trie.counts)
-        if len(trie.counts) + len(new) > trie.most:
-            trie.counts.clear()
-        trie.insert(list(new))
         rows = [trie.count(x) if isinstance(x, str) else (0, 0) for x in texts]
         return pd.DataFrame(np.array(rows, np.int64).reshape(-1, 2), columns=["n_words", "n_tokens"])
 

@@ -167,11 +167,17 @@ def test_token_counts(spark):
 
 
 def test_trie_shares_prefixes():
-    trie = token_counts.UnigramTrie({"a": -1.0, "ab": -1.5, "b": -2.0, token_counts.MARK: -0.5}, most=10)
+    trie = token_counts.UnigramTrie({"a": -1.0, "ab": -1.5, "b": -2.0, token_counts.MARK: -0.5}, most=12)
+    of = lambda *words: [trie.counts[trie.terminal[w]] for w in words]
     trie.insert(["ab", "aba", "abab", "b"])
-    assert trie.nodes == 1 + 4 + 1  # the mark, a-b-a-b once, b
-    assert trie.counts == {"ab": 2, "aba": 3, "abab": 3, "b": 2}
-    assert [trie.count(" ".join("ab" * k for k in range(1, n)))[0] for n in (2, 20)] == [1, 19]
+    assert trie.scored == 1 + 4 + 1  # the mark, a-b-a-b once, b
+    assert of("ab", "aba", "abab", "b") == [2, 3, 3, 2]
+    trie.insert(["abb", "aba"])  # a later batch: one node is new
+    assert trie.scored == 7 and of("abb", "abab") == [3, 3]
+    # begun anew beyond its bound, with the same counts
+    want = [trie.count("ab" * k) for k in range(1, 8)]
+    assert len(trie.score) > 12 and trie.count("aa b abb") == (3, 8) and len(trie.score) < 12
+    assert [trie.count("ab" * k) for k in range(1, 8)] == want
 
 
 def neighbours(rows, k=20):
