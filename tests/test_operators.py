@@ -246,14 +246,9 @@ def test_categories_and_grid(spark):
     asked = spark.createDataFrame([(9001, None, "b", 0), (9002, 1.0, "unseen", 0), (9003, 2.0, None, 0)], df.schema)
     score = {r.id: r.score for r in fitted.score(df.unionByName(asked)).collect()}
     assert all((score[k] > 0.5) == bool(y) for k, _, _, y in rows) and score[9001] > 0.5 > score[9003] and 0 <= score[9002] <= 1
-    rows = [(k, float(k), float((k * 7919) % 101), int((k // 10) % 2)) for k in range(400)]
+    rows = [(k, float(k % 40), float((k * 7919) % 101), int(k % 40 // 10 % 2)) for k in range(600)]
     df = spark.createDataFrame(rows, "id long, x double, noise double, label int")
     train, inner = df.filter("id % 3 > 0"), df.filter("id % 3 = 0")
-    grid = [{"trees": 1, "depth": 1}, {"trees": 8, "depth": 5, "least": 1}]
+    grid = [{"trees": 1, "depth": 1}, {"trees": 5, "depth": 4, "least": 1}]
     best, fitted = models.grid_search_time(train, inner, ["x", "noise"], grid)
-
-    def precision(f):
-        ranked = sorted(((r.score, r.label) for r in f.score(inner).collect()), reverse=True)
-        return sum(y for _, y in ranked[:60]) / 60
-
-    assert best == grid[1] and precision(fitted) > precision(models.fit_gbt(train, ["x", "noise"], **grid[0]))
+    assert best == grid[1] and all((r.score > 0.5) == bool(r.label) for r in fitted.score(inner).collect())
