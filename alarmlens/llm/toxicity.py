@@ -47,8 +47,8 @@ PER_CLASS = 2500
 #: Units of clean sentences that a round of training holds, at most: a quarter those of least hash, the others those that
 #: looked worst in this round or an earlier one.
 CLEAN_UNITS = 12_000
-#: Share of the toxic texts that have a witness which is also learnt disturbed.
-OFTEN = 0.03
+#: A witness is also learnt disturbed if this share of the toxic texts has it, and five at least; so many of them at most.
+OFTEN, DISTURBED_WITNESSES = 0.03, 100
 #: Weight of all disturbed witnesses against one a text.
 DISTURBED = 4.0
 #: Value of a text without any unit, and the least of any.
@@ -348,7 +348,8 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = 1000, rounds: in
     odds = np.log((counts[1] + 0.5) / (n[1] + 1)) - np.log((counts[0] + 0.5) / (n[0] + 1))
     # a run that clean texts have is no witness
     fit_for = counts[0] <= 0.02 * counts[1] * n[0] / n[1]
-    usual = np.flatnonzero((counts[1] >= OFTEN * n[1]) & (odds > np.log(8.0)) & fit_for)
+    usual = np.flatnonzero((counts[1] >= max(5, OFTEN * n[1])) & (odds > np.log(8.0)) & fit_for)
+    usual = np.sort(usual[np.argsort(-counts[1][usual], kind="stable")][:DISTURBED_WITNESSES])
     bad = single[label[single] == 1]
     bad_name = name[label[single] == 1]
     clean = np.flatnonzero(label == 0)
