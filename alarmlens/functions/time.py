@@ -58,6 +58,8 @@ def micros(c: Column) -> Column:
 
 def local_to_utc(c: Column, zone: str, ambiguous: str = "reject") -> Column:
     """UTC of a local moment without zone; null where the clock skipped it or, with ``reject``, showed it twice."""
+    if zone == "UTC":
+        return c.cast("timestamp_ntz")
     utc = F.to_utc_timestamp(c.cast("timestamp"), zone)
     back = lambda u: F.from_utc_timestamp(u, zone)
     local = c.cast("timestamp")

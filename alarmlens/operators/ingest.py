@@ -12,26 +12,23 @@ from ..functions.steps import once
 from ..functions.text import finite_double, parse_bool_token
 from ..functions.time import local_to_utc, micros_between, midnight
 
-#: Formats of the journal (fixed values).
-DATE, TIME = "yyyy-MM-dd", "HH:mm:ss"
+#: How the journal writes a local moment: date, blank, time, all digits, of our era.
+MOMENT = r"^(?!0000)\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"
 
 
 def local_moment(date: Column, time: Column) -> Column:
-    """Local moment of a date and a time text; null unless writing it back gives the same texts."""
+    """Local moment of a date and a time text; null unless they are written in full and name a moment that there is."""
     both = F.concat_ws(" ", F.trim(date), F.trim(time))
-    parsed = F.try_to_timestamp(both, F.lit(f"{DATE} {TIME}"))
-    return F.when(F.date_format(parsed, f"{DATE} {TIME}") == both, parsed).cast("timestamp_ntz")
+    return F.when(both.rlike(MOMENT), both.try_cast("timestamp_ntz"))
 
 
 def _parsed(raw: DataFrame, zone: str, ambiguous: str) -> DataFrame:
     blank = lambda c: F.col(c).isNull() | (F.trim(c) == "")
     # each step's value is used several times by the next
-    rows = once(raw, _text=F.concat_ws(" ", F.trim("date"), F.trim("time")))
-    rows = once(rows, _read=F.try_to_timestamp("_text", F.lit(f"{DATE} {TIME}")))
-    rows = once(rows, _local=F.when(F.date_format("_read", f"{DATE} {TIME}") == F.col("_text"), F.col("_read")).cast("timestamp_ntz"))
+    rows = once(raw, _local=local_moment(F.col("date"), F.col("time")))
     rows = once(rows, occurred_at=local_to_utc(F.col("_local"), zone, ambiguous), is_alarm=parse_bool_token(F.col("alarm")))
     reason = F.when(blank("event_id") | blank("channel_id"), F.lit("missing_id")).when(F.col("occurred_at").isNull(), F.lit("timestamp")).when(F.col("is_alarm").isNull(), F.lit("alarm"))
-    return rows.drop("_text", "_read", "_local").withColumn("reason", reason)
+    return rows.drop("_local").withColumn("reason", reason)
 
 
 def _observation(rows: DataFrame) -> DataFrame:
