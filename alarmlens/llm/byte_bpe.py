@@ -51,7 +51,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Merges:
-    """Encoder of single pieces for the ``ranks`` of a vocabulary that holds all single bytes."""
+    """Encoder of single pieces for the ``ranks`` of a vocabulary that holds all their bytes and lists tokens in the order of
+    their merges."""
 
     def __init__(self, ranks: dict[bytes, int]):
         import ahocorasick
@@ -59,25 +60,31 @@ class Merges:
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.size = {rank: len(token) for token, rank in ranks.items()}
-        self.words = ahocorasick.Automaton()
-        for token, rank in ranks.items():
-            self.words.add_word(token.decode("latin-1"), rank)
-        self.words.make_automaton()
-        #: the longest token that is a proper prefix, or None
-        self.prefix = {rank: next((ranks[token[:k]] for k in range(len(token) - 1, 0, -1) if token[:k] in ranks), None) for token, rank in ranks.items()}
+        self._prefixes(ranks)
         self.merged: dict[tuple[int, int], int] = {}  # the two halves of each merged token
         self.halves: dict[int, tuple[int, int] | None] = {}
         for rank in sorted(self.bytes_of):
             self.halves[rank] = self._halves(rank)
             if self.halves[rank]:
                 self.merged[self.halves[rank]] = rank
+        # a token that no merges lead to stands only for a whole piece
+        made = {token: rank for token, rank in ranks.items() if len(token) == 1 or self.halves[rank]}
+        self._prefixes(made)
+        self.words = ahocorasick.Automaton()
+        for token, rank in made.items():
+            self.words.add_word(token.decode("latin-1"), rank)
+        self.words.make_automaton()
         self.known: dict[tuple[int, int], bool] = BoundedCache(lambda pair: self._compatible(*pair), 2_000_000)
 
+    def _prefixes(self, ranks: dict[bytes, int]) -> None:
+        """Of each token the longest one that is a proper prefix of it, or None."""
+        self.prefix = {rank: next((ranks[token[:k]] for k in range(len(token) - 1, 0, -1) if token[:k] in ranks), None) for token, rank in ranks.items()}
+
     def _halves(self, rank: int) -> tuple[int, int] | None:
         token, left = self.bytes_of[rank], self.prefix[rank]
         while left is not None:
             right = self.ranks.get(token[self.size[left] :])
-            if right is not None and max(left, right) < rank and self._compatible(left, right):
+            if right is not None and max(left, right) < rank and all(self.size[x] == 1 or self.halves[x] for x in (left, right)) and self._compatible(left, right):
                 return left, right
             left = self.prefix[left]
         return None

@@ -17,7 +17,7 @@ def test_query_equals_sql(spark, name):
 
 def test_all_are_registered():
     known = __spark_entry__.queries()
-    assert {n.split("_")[0] for n in known if n[2:3].isdigit() and n.startswith("op")} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in known if n[2:3].isdigit() and n.startswith("op")} == {f"op{k}" for k in range(1, 14)}
     assert "pipeline" in known
 
 
