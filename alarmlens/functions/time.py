@@ -56,6 +56,11 @@ def micros(c: Column) -> Column:
     return micros_between(F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c)
 
 
+def moment(c: Column) -> Column:
+    """The moment of microseconds since 1970."""
+    return F.timestamp_add("MICROSECOND", c, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+
+
 def local_to_utc(c: Column, zone: str, ambiguous: str = "reject") -> Column:
     """UTC of a local moment without zone; null where the clock skipped it or, with ``reject``, showed it twice."""
     if zone == "UTC":

@@ -24,18 +24,24 @@ def build_episodes(obs: DataFrame, gap_seconds: float = 900) -> DataFrame:
     """Alarm rows of a channel less than or exactly ``gap_seconds`` apart form one episode.
 
     The left boundary is known if the channel was seen, quiet, for longer than the gap before; the right one if it was
-    seen for longer than the gap after."""
+    seen for longer than the gap after.
+
+    Two steps: runs of alarms within each day of a channel (and its other rows as one), then runs that meet at the edges of
+    days.  So only these few rows of a channel are ordered together, whatever share of the journal it has."""
     gap = int(gap_seconds * 1_000_000)
-    # one pass over each channel: the bounds come with the rows, so observations are shuffled once
-    whole = W.partitionBy("channel_id")
-    rows = obs.select("channel_id", "occurred_at", "is_alarm")
-    rows = rows.withColumn("first_seen", F.min("occurred_at").over(whole)).withColumn("last_seen", F.max("occurred_at").over(whole)).filter("is_alarm")
-    timed = whole.orderBy("occurred_at")
-    before = F.lag("occurred_at").over(timed)
-    rows = rows.withColumn("opens", F.when(before.isNull() | (micros_between(before, F.col("occurred_at")) > gap), 1).otherwise(0))
+    at = F.col("occurred_at")
+    rows = obs.select("channel_id", "occurred_at", F.coalesce("is_alarm", F.lit(False)).alias("is_alarm"), F.to_date("occurred_at").alias("day"))
+    timed = W.partitionBy("channel_id", "day", "is_alarm").orderBy("occurred_at")
+    opens = lambda before, start: F.when(before.isNull() | (micros_between(before, start) > gap), 1).otherwise(0)
+    rows = rows.withColumn("opens", F.when(F.col("is_alarm"), opens(F.lag("occurred_at").over(timed), at)).otherwise(0))
     rows = rows.withColumn("number", F.sum("opens").over(timed.rangeBetween(W.unboundedPreceding, W.currentRow)))
-    found = rows.groupBy("channel_id", "number").agg(
-        F.min("occurred_at").alias("first_alarm_at"), F.max("occurred_at").alias("last_alarm_at"), F.count("*").alias("alarm_row_count"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen")
+    runs = rows.groupBy("channel_id", "day", "is_alarm", "number").agg(F.min(at).alias("first_at"), F.max(at).alias("last_at"), F.count("*").alias("n"))
+    whole = W.partitionBy("channel_id")
+    runs = runs.select("channel_id", "is_alarm", "first_at", "last_at", "n", F.min("first_at").over(whole).alias("first_seen"), F.max("last_at").over(whole).alias("last_seen")).filter("is_alarm")
+    edges = whole.orderBy("first_at")
+    runs = runs.withColumn("opens", opens(F.lag("last_at").over(edges), F.col("first_at"))).withColumn("number", F.sum("opens").over(edges.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    found = runs.groupBy("channel_id", "number").agg(
+        F.min("first_at").alias("first_alarm_at"), F.max("last_at").alias("last_alarm_at"), F.sum("n").alias("alarm_row_count"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen")
     )
     left = (F.col("number") > 1) | (micros_between(F.col("first_seen"), F.col("first_alarm_at")) > gap)
     right = micros_between(F.col("last_alarm_at"), F.col("last_seen")) > gap

@@ -48,6 +48,13 @@ def normalize_quarantine(raw: DataFrame, zone: str = "UTC", ambiguous: str = "re
     return _observation(rows.filter("reason IS NULL")), rows.filter("reason IS NOT NULL").select(*raw.columns, "reason")
 
 
+def judged(raw: DataFrame, zone: str = "UTC", ambiguous: str = "reject") -> DataFrame:
+    """(raw, observation, reason): every row as it came and as it is read; ``reason`` is null for a good one."""
+    rows = _parsed(raw, zone, ambiguous)
+    read = F.struct(F.trim("event_id").alias("event_id"), F.trim("channel_id").alias("channel_id"), "occurred_at", "is_alarm", F.col("value").alias("raw_value"))
+    return rows.select(F.struct(*raw.columns).alias("raw"), read.alias("observation"), "reason")
+
+
 def normalize_events(raw: DataFrame, zone: str = "UTC", on_error: str = "fail", ambiguous: str = "reject"):
     return normalize_strict(raw, zone, ambiguous) if on_error == "fail" else normalize_quarantine(raw, zone, ambiguous)
 

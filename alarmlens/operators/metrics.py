@@ -3,10 +3,13 @@ distinct score, so that only these, not the rows, are ever ordered as a whole.""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.steps import stored, with_rank
 from ..functions.time import label_bucket, midnight
 
 
@@ -208,33 +211,54 @@ def choose(results: DataFrame, base: str, least_gain: float = 0.01) -> DataFrame
     return better.unionByName(results.filter(F.col("name") == base)).orderBy(F.desc("ap"), "name").limit(1)
 
 
-def bootstrap(scored: DataFrame, threshold: float, by: str | None = None, n: int = 1000, seed: int = 7) -> DataFrame:
-    """95 % interval of precision and recall over ``n`` replicates.
-
-    Replicates weigh every cluster (an object, or a hash bucket of rows) by a Poisson number of one, hashed from its id,
-    the replicate and the seed: clusters are reduced to counts first, and replicates are drawn on these."""
-    yes, pos = F.col("score") >= threshold, F.col("label") == 1
-    cluster = F.col(by) if by else F.pmod(F.xxhash64(*[F.col(c) for c in scored.columns]), F.lit(512)).cast("string")
-    cells = scored.groupBy(cluster.alias("c")).agg(F.count_if(yes & pos).alias("tp"), F.count_if(yes).alias("pred"), F.count_if(pos).alias("pos"))
-    draws = cells.crossJoin(F.broadcast(scored.sparkSession.range(n).withColumnRenamed("id", "r")))
-    u = F.pmod(F.xxhash64("c", "r", F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0
-    cut, p, total = [], 0.36787944117144233, 0.0
-    for k in range(1, 8):
-        total += p
-        cut.append(total)
-        p /= k
-    weight = sum(((u >= c).cast("int") for c in cut), F.lit(0))
-    reps = draws.withColumn("w", weight).groupBy("r").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in ("tp", "pred", "pos")])
+def _interval(reps: DataFrame) -> DataFrame:
+    """95 % interval of precision and recall over replicates (tp, pred, pos)."""
     reps = reps.select(F.try_divide("tp", "pred").alias("precision"), F.try_divide("tp", "pos").alias("recall"))
     return reps.agg(*[F.percentile(m, F.lit(q)).alias(f"{m}_{s}") for m in ("precision", "recall") for q, s in ((0.025, "low"), (0.975, "high"))])
 
 
-def shuffle_labels(df: DataFrame, seed: int = 11, block: int = 4096) -> DataFrame:
-    """Labels permuted: within hash blocks of about ``block`` rows, two random orders are matched."""
-    blocks = max(1, df.count() // block)
-    keys = [F.col(c) for c in df.columns]
-    rows = df.withColumn("_b", F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(blocks)))
-    rank = lambda s: F.row_number().over(W.partitionBy("_b").orderBy(F.xxhash64(F.lit(s), *keys)))
-    rows = rows.withColumn("_from", rank(seed + 1)).withColumn("_k", rank(seed + 2))
-    labels = rows.select("_b", "label", F.col("_from").alias("_k"))
-    return rows.drop("label").join(labels, ["_b", "_k"]).select(*df.columns)
+def bootstrap(scored: DataFrame, threshold: float, by: str, n: int = 1000, seed: int = 7) -> DataFrame:
+    """95 % interval of precision and recall over ``n`` replicates, each of as many whole clusters (values of ``by``) as
+    there are, drawn with replacement.
+
+    Clusters are reduced to counts and numbered by their id.  Draw k of replicate r takes the cluster whose number is the
+    checksum of seed, r and k, modulo the clusters; draws are made where they are counted and joined by number, so the work
+    is clusters times replicates, spread evenly, and no product of tables is formed."""
+    yes, pos = F.col("score") >= threshold, F.col("label") == 1
+    cells = scored.groupBy(F.col(by).cast("string").alias("c")).agg(F.count_if(yes & pos).alias("tp"), F.count_if(yes).alias("pred"), F.count_if(pos).alias("pos"))
+    cells = stored(with_rank(cells, "c"), "clusters")
+    size = cells.count()
+    draws = scored.sparkSession.range(n * size).select(F.floor(F.col("id") / max(1, size)).alias("r"), (F.col("id") % max(1, size)).alias("k"))
+    mark = F.md5(F.concat_ws("|", F.lit(str(seed)), "r", "k").cast("binary"))
+    draws = draws.select("r", (F.conv(F.substring(mark, 1, 13), 16, 10).cast("long") % max(1, size) + 1).alias("rank"))
+    return _interval(draws.join(cells, "rank").groupBy("r").agg(*[F.sum(c).alias(c) for c in ("tp", "pred", "pos")]))
+
+
+def bootstrap_rows(scored: DataFrame, threshold: float, n: int = 1000, seed: int = 7) -> DataFrame:
+    """95 % interval of precision and recall over ``n`` replicates of as many rows as there are, drawn with replacement.
+
+    What counts of a row is its cell (hit, false alert, miss, neither), so a replicate is a multinomial draw over the four
+    cells: three binomial numbers, whose generator is seeded by seed and replicate."""
+    yes, pos = F.col("score") >= threshold, F.col("label") == 1
+    cell = scored.agg(F.count_if(yes & pos).alias("a"), F.count_if(yes & ~pos).alias("b"), F.count_if(~yes & pos).alias("c"), F.count("*").alias("n")).first()
+    total = cell["n"]
+    shares = [cell[x] / total if total else 0.0 for x in "abc"]
+
+    @F.pandas_udf("tp long, pred long, pos long")
+    def draw(replicates: pd.Series) -> pd.DataFrame:
+        rows = []
+        for r in replicates:
+            tp, fp, fn, _ = np.random.Generator(np.random.PCG64([seed, int(r)])).multinomial(total, [*shares, max(0.0, 1 - sum(shares))])
+            rows.append((tp, tp + fp, tp + fn))
+        return pd.DataFrame(rows, columns=["tp", "pred", "pos"])
+
+    return _interval(scored.sparkSession.range(n).select(draw("id").alias("x")).select("x.*"))
+
+
+def shuffle_labels(df: DataFrame, by: list[Column], seed: int = 11) -> DataFrame:
+    """Labels permuted over the whole table: the k-th row in one order gets the label of the k-th row in another.  Both
+    orders are by checksums of the texts ``by``, which should name a row."""
+    mark = lambda salt: F.md5(F.concat_ws("|", F.lit(f"{seed}{salt}"), *by).cast("binary"))
+    to = with_rank(df.withColumn("_mark", mark("to")), "_mark", "_k").drop("_mark")
+    labels = with_rank(df.select("label", mark("from").alias("_mark")), "_mark", "_k").select(F.col("label").alias("_label"), "_k")
+    return to.join(labels, "_k").withColumn("label", F.col("_label")).select(*df.columns)

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler, VectorIndexer
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.steps import stored
 from .metrics import ranking_metrics, threshold_curve
 
 
@@ -105,17 +108,45 @@ def ensemble(df: DataFrame, a: str, b: str, out: str = "score") -> DataFrame:
     return df.withColumn(out, (F.col(a) + F.col(b)) / 2)
 
 
+def pooled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pool-adjacent-violators over blocks (low, high, hits, n) that come in the order of their scores.  Blocks that are
+    pooled in a part of the order are pooled in the whole, so parts may be pooled first."""
+    stack: list[list[float]] = []
+    for pdf in batches:
+        for low, high, hits, n in pdf[["low", "high", "hits", "n"]].itertuples(index=False):
+            block = [low, high, hits, n]
+            while stack and stack[-1][2] * block[3] >= block[2] * stack[-1][3]:
+                before = stack.pop()
+                block = [before[0], block[1], before[2] + block[2], before[3] + block[3]]
+            stack.append(block)
+    yield pd.DataFrame(stack, columns=["low", "high", "hits", "n"])
+
+
 class Calibration:
-    """Isotonic map of scores, fitted on one period and applied to another, within [0, 1]."""
+    """Isotonic map of scores, fitted on one period and applied to another, within [0, 1].
+
+    Rows are counted by score; the counts are pooled in ranges of scores, and the blocks that are left in one task.  Blocks
+    have different rates, which are fractions of whole rows, so of N rows there are of the order of N^(2/3) at most, and a
+    few hundred as a rule.  Between blocks the map is linear, outside it is constant; null scores have no probability."""
 
     def __init__(self, scored: DataFrame, score: str = "score", label: str = "label"):
-        rows = scored.select(F.col(label).cast("double").alias("label"), F.col(score).alias("_s"))
-        self.model = IsotonicRegression(featuresCol="_s", labelCol="label", predictionCol="_p").fit(rows)
         self.score = score
+        rows = scored.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).cast("double").alias("low")).agg(F.sum(F.col(label).cast("long")).alias("hits"), F.count("*").alias("n"))
+        kinds = "low double, high double, hits long, n long"
+        parts = rows.withColumn("high", F.col("low")).repartitionByRange("low").sortWithinPartitions("low").mapInPandas(pooled, kinds)
+        self.blocks = stored(parts.repartition(1).sortWithinPartitions("low").mapInPandas(pooled, kinds), "isotonic")
 
     def apply(self, scored: DataFrame, out: str = "probability") -> DataFrame:
-        rows = self.model.transform(scored.withColumn("_s", F.col(self.score)))
-        return rows.withColumn(out, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_p")))).drop("_s", "_p")
+        blocks = self.blocks.orderBy("low").toPandas()
+        x = blocks[["low", "high"]].to_numpy().ravel()
+        y = np.clip(np.repeat((blocks["hits"] / blocks["n"]).to_numpy(float), 2), 0.0, 1.0)
+
+        @F.pandas_udf("double")
+        def interpolated(values: pd.Series) -> pd.Series:
+            known = values.notna()
+            return pd.Series(np.interp(values.fillna(0.0), x, y) if len(x) else np.full(len(values), np.nan)).where(known.to_numpy() & bool(len(x)), None)
+
+        return scored.withColumn(out, interpolated(F.col(self.score).cast("double")))
 
 
 def grid_search_time(train: DataFrame, inner: DataFrame, features: list[str], grid: list[dict], label: str = "label") -> tuple[dict, Fitted]:

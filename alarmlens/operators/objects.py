@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.steps import stored
 from ..functions.time import age_hours, day_number, hours, micros
 from .episodes import with_object
 
@@ -152,7 +153,9 @@ def activity_features(object_days: DataFrame, on_events: DataFrame, floods: Data
     the daily mean of the longest window, whether it has any machine; the same summed over its siblings, with their
     flood starts.
 
-    Counts are made once for each (object, day) and joined over siblings, so events never multiply."""
+    Counts are made once for each (object, day), stored, and joined over siblings, so events never multiply; what is given
+    is read once, too."""
+    object_days, on_events, floods = stored(object_days, "object-days"), stored(on_events, "on-events"), stored(floods, "floods")
     long = windows_hours[2] // 24
     all_days = object_days.select("as_of").distinct().crossJoin(objects.select("object_id").distinct())
     own = count_in_windows(all_days, on_events, "object_id", windows_hours, prefix="on")
@@ -160,6 +163,7 @@ def activity_features(object_days: DataFrame, on_events: DataFrame, floods: Data
     own = own.withColumn("flap_ratio", F.when(daily > 0, F.col(f"on_{windows_hours[0]}h") / daily).otherwise(0.0))
     own = own.join(on_events.select("object_id").distinct().withColumn("has_machines", F.lit(1)), "object_id", "left").withColumn("has_machines", F.coalesce("has_machines", F.lit(0)))
     own = count_in_windows(own, floods, "object_id", flood_hours, prefix="flood")
+    own = stored(own, "object-activity")
     features = [f"on_{w}h" for w in windows_hours] + ["flap_ratio", "has_machines"]
     near = siblings(objects).join(own.withColumnRenamed("object_id", "sibling_id"), "sibling_id")
     near = near.groupBy("object_id", "as_of").agg(*[F.sum(c).alias(f"sibling_{c}") for c in features], *[F.sum(f"flood_{w}h").alias(f"sibling_flood_{w}h") for w in flood_hours])

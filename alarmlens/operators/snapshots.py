@@ -1,7 +1,8 @@
 """Leak-free daily snapshots of channels: trailing windows, future labels, ordered reasons for exclusion, splits.
 
 Time rules: history is (t - w, t], the label window (t, t + h].  Observations are brought down to channel-days before
-any window, so that windows run over days, not rows."""
+any window, so that windows run over days, not rows.  Both kinds of snapshots store channel-days and episode starts once
+and go on from these tables, so observations are read once here and once for their episodes."""
 
 from __future__ import annotations
 
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.steps import stored
 from ..functions.time import age_days, age_hours, day_number, days, hours, label_bucket, micros_between, seconds, snapshot_bucket
 from .episodes import KNOWN, UNKNOWN
 
@@ -97,6 +99,11 @@ def label_column() -> Column:
     return F.when(F.col("exclusion_reason").isNull(), (F.col("known_future") > 0).cast("int"))
 
 
+def _starts(episodes: DataFrame) -> DataFrame:
+    """What snapshots need of episodes, stored."""
+    return stored(episodes.select("channel_id", "first_alarm_at", "left_boundary"), "episode-starts")
+
+
 def _diagnosed(rows: DataFrame, source: DataFrame, episodes: DataFrame, gaps: DataFrame, history: Column, gap_seconds: float, validation: str, test: str) -> DataFrame:
     rows = join_future(with_bounds(rows, source), episodes).withColumn("split", assign_split(F.col("as_of"), validation, test))
     rows = overlaps_gap(rows, gaps, hours(24), hours(24))
@@ -105,7 +112,7 @@ def _diagnosed(rows: DataFrame, source: DataFrame, episodes: DataFrame, gaps: Da
 
 def build_examples(obs: DataFrame, episodes: DataFrame, gaps: DataFrame, validation: str, test: str, gap_seconds: float = 900) -> DataFrame:
     """Snapshots of days with records."""
-    daily = channel_days(obs)
+    daily, episodes = stored(channel_days(obs), "channel-days"), _starts(episodes)
     rows = daily.drop("first_event").withColumnsRenamed({"event_count": "event_count_24h", "alarm_count": "alarm_count_24h"})
     rows = _diagnosed(rows, daily, episodes, gaps, hours(24), gap_seconds, validation, test)
     t = F.col("as_of")
@@ -155,7 +162,7 @@ def _midnights(daily: DataFrame, keep: int) -> DataFrame:
 
 def build_examples_v2(obs: DataFrame, episodes: DataFrame, gaps: DataFrame, validation: str, test: str, gap_seconds: float = 900, short: int = 7, long: int = 30) -> DataFrame:
     """Snapshots of every day of an active channel, with windows of one, ``short`` and ``long`` days."""
-    daily = channel_days(obs)
+    daily, episodes = stored(channel_days(obs), "channel-days"), _starts(episodes)
     rows = trailing(densify(activity_grid(daily, long), daily.drop("first_event"), episodes), short, long)
     rows = rows.join(gap_hours(_midnights(daily, long), gaps, long, f"log_gap_hours_{long}d"), "as_of")
     rows = _diagnosed(rows, daily, episodes, gaps, days(long), gap_seconds, validation, test)

@@ -9,11 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.steps import stored
+
+
 def by_run():
     return W.partitionBy("run_id").orderBy("pos")
 
 
-
 def normal_profile(t: DataFrame, sensors: list[str], share: float | None = 0.6, spread: bool = False) -> DataFrame:
     """Median (and deviation) of each sensor of each pump over normal rows, of the first ``share`` by time."""
     rows = t.filter("is_normal")
@@ -150,9 +152,9 @@ def reconstruct_runs(t: DataFrame, lengths: tuple[int, ...] = (12, 96, 288), all
     row) and ``pos``.
 
     The k-th row of a step is the k-th run still open; a labelled row closes its run.  So an unlabelled row points to
-    row k less the labelled rows before it of the next step, and pointers are doubled until they reach the run's end,
-    each time one equi-join.  With ``allow_extra``, all runs of a pump start together and a step may lead with one normal
-    row, which is dropped where counts demand it."""
+    row k less the labelled rows before it of the next step, which gives each row the row before it.  First rows are found
+    by contraction (``first_rows``).  With ``allow_extra``, all runs of a pump start together and a step may lead with one
+    normal row, which is dropped where counts demand it."""
     rows = t
     if allow_extra:
         steps = t.groupBy("pump_id", "step").agg(F.count("*").alias("n"), F.count("fault_type").alias("ends"), F.min("row_pos").alias("lead_row"))
@@ -166,15 +168,41 @@ def reconstruct_runs(t: DataFrame, lengths: tuple[int, ...] = (12, 96, 288), all
     rows = rows.withColumn("_next_k", F.when(F.col("fault_type").isNull(), F.col("_k") - F.col("_ended")))
     follow = rows.select("pump_id", (F.col("step") + 1).alias("step"), F.col("_next_k").alias("_k"), F.col("row_pos").alias("_from")).filter("_k IS NOT NULL")
     linked = rows.join(follow, ["pump_id", "step", "_k"], "left")
-    # pointer doubling towards the run's first row
-    hops = linked.select("pump_id", "row_pos", F.coalesce("_from", "row_pos").alias("root"), F.when(F.col("_from").isNotNull(), 1).otherwise(0).alias("pos"))
-    for _ in range(max(lengths).bit_length()):
-        up = hops.select(F.col("pump_id"), F.col("row_pos").alias("root"), F.col("root").alias("_root"), F.col("pos").alias("_pos"))
-        hops = hops.join(up, ["pump_id", "root"]).select("pump_id", "row_pos", F.col("_root").alias("root"), (F.col("pos") + F.col("_pos")).alias("pos"))
-    out = t.join(hops.withColumnRenamed("root", "run_id"), ["pump_id", "row_pos"])
+    heads = first_rows(linked.select("pump_id", "step", F.col("row_pos").alias("id"), F.col("_from").alias("before")))
+    out = t.join(heads.select("pump_id", F.col("id").alias("row_pos"), F.col("root").alias("run_id"), "pos"), ["pump_id", "row_pos"])
     return out.select(*t.columns, "run_id", "pos")
 
 
+def first_rows(chains: DataFrame) -> DataFrame:
+    """(pump_id, id, root, pos): the first row of each row's chain, and how many rows lie between.
+
+    ``chains``: pump_id, step, id, and ``before``, the id of the row one step before it in its chain, null for a first one.
+    Each round sets every second row (by a digit of its step) aside and lets the others point past it; rows that point to
+    a row already known are known and leave.  When none is left, the rounds are undone: a row set aside is one pointer
+    behind a row that is known by then.  Rounds halve, so all rows together are joined about twice; each is stored."""
+    active = stored(chains, "chains")
+    known = [active.filter("before IS NULL").select("pump_id", "id", F.col("id").alias("root"), F.lit(0).cast("long").alias("pos"))]
+    active = active.filter("before IS NOT NULL")
+    aside: list[DataFrame] = []
+    k = 0
+    while not active.isEmpty():
+        odd = F.shiftright("step", k).bitwiseAND(F.lit(1)) == 1
+        aside.append(active.filter(odd))
+        past = aside[-1].select("pump_id", F.col("id").alias("before"), F.col("before").alias("_further"))
+        ends = reduce(DataFrame.unionByName, known).select("pump_id", F.col("id").alias("before"), "root", "pos")
+        hop = past.withColumns({"root": F.lit(None).cast(ends.schema["root"].dataType), "pos": F.lit(None).cast("long")}).unionByName(ends.withColumn("_further", F.lit(None).cast(past.schema["_further"].dataType)))
+        met = stored(active.filter(~odd).join(hop, ["pump_id", "before"], "left"), "chains")
+        known.append(met.filter("root IS NOT NULL").select("pump_id", "id", "root", (F.col("pos") + F.lit(1 << k)).alias("pos")))
+        active = met.filter("root IS NULL AND _further IS NOT NULL").select("pump_id", "step", "id", F.col("_further").alias("before"))
+        k += 1
+    while aside:
+        k -= 1
+        ends = reduce(DataFrame.unionByName, known).select("pump_id", F.col("id").alias("before"), "root", "pos")
+        behind = aside.pop().join(ends, ["pump_id", "before"])
+        known.append(stored(behind.select("pump_id", "id", "root", (F.col("pos") + F.lit(1 << k)).alias("pos")), "chains"))
+    return reduce(DataFrame.unionByName, known)
+
+
 def check_runs(runs: DataFrame, lengths: tuple[int, ...] = (12, 96, 288)) -> DataFrame:
     """One row: runs of another length, with a gap in steps, without exactly one label."""
     per = runs.groupBy("pump_id", "run_id").agg(F.count("*").alias("n"), (F.max("step") - F.min("step") + 1).alias("span"), F.count("fault_type").alias("labels"))
@@ -182,10 +210,10 @@ def check_runs(runs: DataFrame, lengths: tuple[int, ...] = (12, 96, 288)) -> Dat
 
 
 def run_quality(runs: DataFrame, score: str, seed: int = 4) -> DataFrame:
-    """Mean change of the score along runs, and along a random matching inside (pump, step)."""
+    """Mean change of the score along runs, and along a random matching inside (pump, step), by a checksum of the row."""
     step = W.partitionBy("pump_id", "step")
     real = runs.withColumn("d", F.abs(F.col(score) - F.lag(score).over(W.partitionBy("pump_id", "run_id").orderBy("step"))))
-    shuffled = runs.withColumn("_k", F.row_number().over(step.orderBy("row_pos"))).withColumn("_r", F.row_number().over(step.orderBy(F.xxhash64(F.lit(seed), "row_pos"))))
+    shuffled = runs.withColumn("_k", F.row_number().over(step.orderBy("row_pos"))).withColumn("_r", F.row_number().over(step.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), "row_pos").cast("binary")))))
     other = shuffled.select("pump_id", "step", F.col("_r").alias("_k"), F.col(score).alias("_score"))
     mixed = shuffled.join(other, ["pump_id", "step", "_k"]).withColumn("d", F.abs(F.col("_score") - F.lag("_score").over(W.partitionBy("pump_id", "run_id").orderBy("step"))))
     return real.agg(F.avg("d").alias("along_runs")).crossJoin(mixed.agg(F.avg("d").alias("at_random")))

@@ -10,6 +10,7 @@ from ..functions import time as tm
 from ..operators import episodes as ep
 from ..operators import ingest, objects as ob, serving as sv, snapshots as sn
 from ..sources import journal
+from ..sources.scratch import shared_path
 from .base import (
     DAILY, DENSE, DIR, DOWN, EPS, FUTURE, GAP, GAP_HOURS, GAP_ROWS, GRID, HOURS, LONG, OBJECTS, OBS, SEEN, SHORT, TEST, TRAIL, V1, V2, VALIDATION,
     directory, episodes_sql, gaps, objects, observations, table,
@@ -151,9 +152,9 @@ def anti_unmapped(spark, d):
     return ingest.unmapped(observations(spark, d), directory(spark, d))
 
 
-@query("SELECT (SELECT count(*) FROM (SELECT c_custkey FROM customer GROUP BY 1 HAVING count(*) > 1)) AS repeated_channels, (SELECT count(*) FROM (SELECT n_nationkey FROM nation GROUP BY 1 HAVING count(*) > 1)) AS repeated_facilities, (SELECT count(*) FROM dir WHERE object_id NOT IN (SELECT CAST(n_nationkey AS VARCHAR) FROM nation WHERE n_regionkey > 0)) AS missing_facility", (DIR,))
+@query("SELECT (SELECT count(*) FROM (SELECT c_custkey FROM customer GROUP BY 1 HAVING count(*) > 1)) AS repeated_channels, (SELECT count(*) FROM (SELECT n_nationkey FROM nation GROUP BY 1 HAVING count(*) > 1)) AS repeated_facilities, (SELECT count(*) FROM dir WHERE object_id NOT IN (SELECT CAST(n_nationkey AS VARCHAR) FROM nation)) AS missing_facility", (DIR,))
 def fk_check(spark, d):
-    return ingest.catalogue_report(directory(spark, d), objects(spark, d).filter("parent_id <> '0'"))
+    return ingest.catalogue_report(directory(spark, d), objects(spark, d))
 
 
 CD = "cd AS (SELECT channel_id, CAST(date_trunc('day', occurred_at) AS TIMESTAMP) AS day, count(*) AS row_count, count(*) FILTER (WHERE is_alarm) AS alarm_count, min(occurred_at) AS first_at, max(occurred_at) AS last_at FROM obs GROUP BY 1, 2)"
@@ -161,7 +162,12 @@ CD = "cd AS (SELECT channel_id, CAST(date_trunc('day', occurred_at) AS TIMESTAMP
 
 @query("SELECT * FROM cd", (OBS, CD))
 def write_channel_day(spark, d):
-    return journal.channel_day(observations(spark, d))
+    """What the sink holds after all days were written, and the last one again."""
+    o, path = observations(spark, d), shared_path(spark, "channel-days")
+    journal.write_channel_day(o, path)
+    last = o.agg(F.max("occurred_at").alias("last_at")).first()["last_at"]
+    journal.write_channel_day(o.filter(tm.midnight(F.col("occurred_at")) == tm.midnight(F.lit(last).cast("timestamp_ntz"))), path)
+    return journal.read_channel_day(spark, path)
 
 
 @query("SELECT day, CAST(sum(row_count) AS BIGINT) AS row_count, CAST(sum(alarm_count) AS BIGINT) AS alarm_count, count(*) AS active_channels FROM cd GROUP BY 1", (OBS, CD))
@@ -180,9 +186,9 @@ def channel_coverage(spark, d):
     return rows.select("channels", *[F.round(c, 9).alias(c) for c in ("least", "middle", "most")])
 
 
-@query("SELECT CAST(g AS TIMESTAMP) AS day FROM (SELECT unnest(generate_series((SELECT min(day) FROM cd), (SELECT max(day) FROM cd), INTERVAL 1 DAY)) AS g) WHERE g NOT IN (SELECT day FROM cd WHERE CAST(channel_id AS BIGINT) % 7 = 3 AND alarm_count > 0) AND g >= (SELECT min(day) FROM cd WHERE CAST(channel_id AS BIGINT) % 7 = 3 AND alarm_count > 0) AND g <= (SELECT max(day) FROM cd WHERE CAST(channel_id AS BIGINT) % 7 = 3 AND alarm_count > 0)", (OBS, CD))
+@query("SELECT CAST(g AS TIMESTAMP) AS day FROM (SELECT unnest(generate_series((SELECT min(day) FROM cd), (SELECT max(day) FROM cd), INTERVAL 1 DAY)) AS g) WHERE g NOT IN (SELECT day FROM cd)", (OBS, CD))
 def missing_calendar_days(spark, d):
-    return ingest.missing_days(observations(spark, d).filter("is_alarm AND CAST(channel_id AS BIGINT) % 7 = 3"))
+    return ingest.missing_days(observations(spark, d))
 
 
 @query("SELECT count(*) AS channels, round(quantile_cont(m, 0.05), 6) AS q05, round(quantile_cont(m, 0.5), 6) AS q50, round(quantile_cont(m, 0.95), 6) AS q95 FROM (SELECT channel_id, quantile_cont(s, 0.5) AS m FROM (SELECT channel_id, date_diff('microsecond', lag(occurred_at) OVER (PARTITION BY channel_id ORDER BY occurred_at), occurred_at) / 1000000.0 AS s FROM obs) WHERE s IS NOT NULL GROUP BY 1)", (OBS,))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import boosting
 from ..operators import episodes as ep
 from ..operators import metrics as mt
 from ..operators import models as ml
@@ -162,14 +163,31 @@ def holdout_eval(spark, d):
     return mt.holdout_eval(rows.filter("split <> 'test'"), rows.filter("split = 'test'"))
 
 
-@query()
+#: A checksum's first 13 hexadecimal digits as a number.
+_DRAW = "list_reduce([instr('0123456789abcdef', x) - 1 FOR x IN string_split(left(md5('7|' || r || '|' || k), 13), '')], lambda a, b: a * 16 + b)"
+
+
+@query(f"""SELECT quantile_cont(p, 0.025) AS precision_low, quantile_cont(p, 0.975) AS precision_high, quantile_cont(q, 0.025) AS recall_low, quantile_cont(q, 0.975) AS recall_high
+ FROM (SELECT sum(tp) / nullif(sum(pred), 0) AS p, sum(tp) / nullif(sum(pos), 0) AS q FROM (SELECT r, {_DRAW} % (SELECT count(*) FROM cells) AS i FROM range(1000) a(r), range((SELECT count(*) FROM cells)::BIGINT) b(k)) JOIN cells USING (i) GROUP BY r)""",
+ (*SC_CTES, "cells AS (SELECT row_number() OVER (ORDER BY object_id) - 1 AS i, count(*) FILTER (WHERE score >= 0.5 AND label = 1) AS tp, count(*) FILTER (WHERE score >= 0.5) AS pred, count(*) FILTER (WHERE label = 1) AS pos FROM sc GROUP BY object_id)"))
 def bootstrap_ci(spark, d):
     return mt.bootstrap(scored(spark, d), 0.5, "object_id")
 
 
 @query()
+def bootstrap_rows_ci(spark, d):
+    return mt.bootstrap_rows(scored(spark, d), 0.5)
+
+
+_MARK = "md5('11{0}|' || channel_id || '|' || strftime(as_of, '%Y-%m-%d'))"
+SHUFFLED = f"""mixed AS (SELECT a.score, b.label FROM (SELECT score, row_number() OVER (ORDER BY {_MARK.format('to')}) AS k FROM sc) a JOIN (SELECT label, row_number() OVER (ORDER BY {_MARK.format('from')}) AS k FROM sc) b USING (k)),
+mixed_cv AS (SELECT score, sum(p) OVER (ORDER BY score DESC) AS tp, sum(n) OVER (ORDER BY score DESC) AS fp, p, n FROM (SELECT score, count(*) FILTER (WHERE label = 1) AS p, count(*) FILTER (WHERE label = 0) AS n FROM mixed GROUP BY 1))"""
+
+
+@query("SELECT round(sum(p * tp / (tp + fp)) / sum(p), 9) AS average_precision, round(sum(n * (tp - p / 2)) / (sum(p) * sum(n)), 9) AS roc_auc FROM mixed_cv", (*SC_CTES, SHUFFLED))
 def shuffled_label_control(spark, d):
-    return mt.ranking_metrics(mt.threshold_curve(mt.shuffle_labels(scored(spark, d))))
+    mixed = mt.shuffle_labels(scored(spark, d), [F.col("channel_id"), F.date_format("as_of", "yyyy-MM-dd")])
+    return mt.ranking_metrics(mt.threshold_curve(mixed)).select(*[F.round(c, 9).alias(c) for c in ("average_precision", "roc_auc")])
 
 
 # ------------------------------------------------------------------ telemetry
@@ -303,10 +321,13 @@ def reconstruct_runs(spark, d):
     return tl.reconstruct_runs(rows, (3,)).select("pump_id", "step", F.col("run_id").cast("long"), F.col("pos").cast("int"))
 
 
-@query()
+@query("""SELECT round(avg(d), 9) AS along_runs, round(avg(m), 9) AS at_random FROM (SELECT abs(s.score - lag(s.score) OVER w) AS d, abs(o.score - lag(o.score) OVER w) AS m FROM ranked s JOIN ranked o ON o.pump_id = s.pump_id AND o.step = s.step AND o.r = s.k WINDOW w AS (PARTITION BY s.pump_id, s.run ORDER BY s.step))""", (
+    "readings AS (SELECT event_id % 8 AS pump_id, event_id // 8 AS run, event_id // 8 + k AS step, value + k AS score, ((event_id // 8 + k) * 3 + 2 - k) * 8 + event_id % 8 AS row_pos FROM events, range(3) t(k))",
+    "ranked AS (SELECT *, row_number() OVER (PARTITION BY pump_id, step ORDER BY row_pos) AS k, row_number() OVER (PARTITION BY pump_id, step ORDER BY md5('4|' || row_pos)) AS r FROM readings)",
+))
 def reconstruction_quality(spark, d):
     rows = interleaved(spark, d).select("pump_id", "step", "row_pos", "fault_type", "score")
-    return tl.run_quality(tl.reconstruct_runs(rows, (3,)), "score")
+    return tl.run_quality(tl.reconstruct_runs(rows, (3,)), "score").select(*[F.round(c, 9).alias(c) for c in ("along_runs", "at_random")])
 
 
 # ------------------------------------------------------------------ models
@@ -338,12 +359,20 @@ def fit_logistic(spark, d):
 @query()
 def fit_gbt(spark, d):
     train, test = model_rows(spark, d)
-    return fitted_on(train, lambda rows: ml.fit_gbt(rows, FEATURES, trees=10, depth=4)).score(test).select("channel_id", "as_of", "label", "score")
+    return boosting.fit_gbt(train, FEATURES, trees=4, leaves=8, rate=0.1, least=20).score(test).select("channel_id", "as_of", "label", "score")
 
 
-@query()
-def isotonic_calibration(spark, d):
-    rows = scored(spark, d)
-    return ml.Calibration(rows.filter("split = 'train'")).apply(rows.filter("split <> 'train'")).select("channel_id", "as_of", "score", "probability")
+#: The isotonic value at a score is the largest, over starts at or below it, of the least mean, over ends at or above it.
+ISO = """iso AS (SELECT score, row_number() OVER (ORDER BY score) AS i, sum(label) AS s, count(*) AS n FROM sc WHERE split = 'train' GROUP BY 1),
+iso_sums AS (SELECT score, i, s, n, sum(s) OVER (ORDER BY i) AS ss, sum(n) OVER (ORDER BY i) AS nn FROM iso),
+iso_means AS (SELECT a.i AS j, b.i AS k, (b.ss - a.ss + a.s) / (b.nn - a.nn + a.n) AS m FROM iso_sums a JOIN iso_sums b ON b.i >= a.i),
+iso_low AS (SELECT j, k, min(m) OVER (PARTITION BY j ORDER BY k DESC) AS low FROM iso_means),
+fitted AS (SELECT score AS x, (SELECT max(low) FROM iso_low WHERE j <= i AND k = i) AS y FROM iso)"""
 
 
+@query("""SELECT channel_id, as_of, score, round(CASE WHEN lo IS NULL THEN (SELECT arg_min(y, x) FROM fitted) WHEN hi IS NULL THEN (SELECT arg_max(y, x) FROM fitted) WHEN lo.x = hi.x THEN lo.y ELSE lo.y + (score - lo.x) * (hi.y - lo.y) / (hi.x - lo.x) END, 9) AS probability
+ FROM (SELECT channel_id, as_of, score, (SELECT max({'x': x, 'y': y}) FROM fitted WHERE x <= score) AS lo, (SELECT min({'x': x, 'y': y}) FROM fitted WHERE x >= score) AS hi FROM sc WHERE split <> 'train')""", (*SC_CTES, ISO))
+def isotonic_calibration(spark, d):
+    rows = scored(spark, d)
+    found = ml.Calibration(rows.filter("split = 'train'")).apply(rows.filter("split <> 'train'"))
+    return found.select("channel_id", "as_of", "score", F.round("probability", 9).alias("probability"))

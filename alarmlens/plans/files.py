@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import datetime
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +11,8 @@ from ..operators import models as ml
 from ..sources import journal
 from ..sources.scratch import shared_path
 from ..streaming import operators as so
+from ..streaming import risks as rk
+from ..streaming.run import rocksdb, run_into, run_until_told
 from .base import GAP, LONG, OBS, SHORT, TEST, directory, observations, table
 from .core import query
 from .evaluation import FEATURES, fitted_on, model_rows
@@ -66,40 +66,32 @@ def write_parquet_once(spark, d):
     return journal.scan_observations(spark, path).withColumn("refused_again", F.lit(refused))
 
 
-@query("SELECT max(occurred_at) AS last_at, max(occurred_at) < TIMESTAMP '2024-02-15 00:00:00' - INTERVAL 1 HOUR AS stale FROM obs", (OBS,))
+@query("SELECT max(occurred_at) AS last_at, max(occurred_at) < now()::TIMESTAMP - INTERVAL 1 HOUR AS stale FROM obs", (OBS,))
 def stream_gap_monitor(spark, d):
-    """The moment that the monitor has stored at the end of the stream, and whether it has raised the alarm."""
-    place, raised = shared_path(spark, "gap-monitor"), []
-    check = so.gap_monitor(f"{place}/last", lambda last, now: raised.append(last), 3600, now=lambda: datetime(2024, 2, 15))
-    _drained(events_stream(spark, d), check, f"{place}/state")
-    return so.last_record(spark, f"{place}/last").withColumn("stale", F.lit(bool(raised)))
-
-
-def _drained(stream: DataFrame, batch, state: str) -> None:
-    query = stream.writeStream.foreachBatch(batch).option("checkpointLocation", state).trigger(availableNow=True).start()
-    try:
-        query.awaitTermination()
-    finally:
-        query.stop()
+    """What the monitor tells once all records are old: their newest moment."""
+    with rocksdb(spark):
+        told = run_until_told(so.stream_gap_monitor(events_stream(spark, d, 100), 3600))
+    return told.select("last_at", (F.col("kind") == "stale").alias("stale"))
 
 
 RISK = {f"alarm_count_{SHORT}d": 0.8, f"event_count_{LONG}d": -0.05}
 
 
 @query(f"""WITH obs AS (SELECT CAST(user_id AS VARCHAR) AS channel_id, CAST(ts AS TIMESTAMP) AS occurred_at, event_type = 'error' AS is_alarm FROM events),
-moment AS (SELECT max(occurred_at) AS t FROM obs),
+moment AS (SELECT date_trunc('milliseconds', max(occurred_at)) + INTERVAL 999 MICROSECOND AS t FROM obs),
 facts AS (SELECT channel_id, t, min(occurred_at) AS f, max(occurred_at) AS l, max(CASE WHEN is_alarm THEN occurred_at END) AS la, count_if(is_alarm AND occurred_at > t - INTERVAL {SHORT} DAY) AS a, count_if(occurred_at > t - INTERVAL {LONG} DAY) AS n FROM obs, moment GROUP BY ALL),
 channels AS (SELECT channel_id, t, 1 / (1 + exp(-(0.8 * a - 0.05 * n - 1))) AS score FROM facts WHERE l > t - INTERVAL {LONG} DAY AND f <= t - INTERVAL 1 DAY AND (la IS NULL OR la < t - INTERVAL {GAP} SECOND)),
 best AS (SELECT CAST(c_nationkey AS VARCHAR) AS object_id, t, max(score) AS score FROM channels JOIN customer ON CAST(c_custkey AS VARCHAR) = channel_id AND c_acctbal >= 0 GROUP BY ALL)
 SELECT object_id, 'alarm' AS model, t AS opened_at, t + INTERVAL 1 DAY AS window_end, score, 'open' AS status FROM best WHERE score >= 0.5""")
 def stream_risk_scoring(spark, d):
-    """Risks after the whole journal has come as one batch; the batch that comes again opens none twice."""
+    """Risks after the whole journal has come in one batch; the batch of features that comes again opens none twice."""
     place = shared_path(spark, "risks")
     no_gaps = spark.createDataFrame([], "start_at timestamp_ntz, end_at timestamp_ntz")
-    job = so.risk_job(lambda: observations(spark, d), directory(spark, d), no_gaps, RISK, -1.0, f"{place}/risks", gap_seconds=GAP, short=SHORT, long=LONG)
-    _drained(events_stream(spark, d), job, f"{place}/state")
-    job(observations(spark, d), 1)
-    return so.open_risks(spark, f"{place}/risks").drop("epoch")
+    job = rk.risk_job(directory(spark, d), no_gaps, RISK, -1.0, place, gap_seconds=GAP, long=LONG)
+    twice = lambda batch, epoch: (job(batch, epoch), job(batch, epoch + 1))
+    with rocksdb(spark):
+        run_into(rk.stream_features(events_stream(spark, d, 100), GAP, SHORT, LONG), twice)
+    return rk.open_risks(spark, place).drop("epoch", "window_day")
 
 
 RESULTS = "results AS (SELECT c_mktsegment AS name, avg(c_acctbal) / 10000 - 0.3 AS margin, count_if(c_acctbal < 0) / count(*) AS base_rate, count_if(c_acctbal > 3000) / count(*) AS f1, count_if(c_acctbal > 6000) / count(*) AS rule_f1, count_if(c_acctbal > 5000) / count(*) AS ap, count_if(c_acctbal > 4000) / count(*) AS precision FROM customer GROUP BY 1)"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,9 +14,11 @@ from ..operators import metrics as mt
 from ..operators import models as ml
 from ..operators import snapshots as sn
 from ..operators import telemetry as tl
+from ..sources import journal
+from ..sources.scratch import shared_path
 from ..streaming import operators as so
-from ..streaming.run import run_available
-from .base import DAILY, DOWN, EPS, FUTURE, HOURS, OBS, SEEN, TEST, UP, VALIDATION, observations, table
+from ..streaming.run import rocksdb, run_available, run_into
+from .base import DAILY, DOWN, EPS, FUTURE, HOURS, OBS, SEEN, TEST, UP, VALIDATION, observations
 from .core import CD, ORACLES, QUERIES, RAW_SQL, SC_CTES, V1_CTES, eps_of, query, raw_journal, scored, v1_of
 from .evaluation import CURVE, FEATURES, curve, fitted_on, model_rows
 
@@ -133,13 +137,34 @@ def mixture_of_experts(spark, d):
 # ------------------------------------------------------------------ streams
 
 
-def events_stream(spark, d) -> DataFrame:
-    e = table(spark, d, "events")
-    stream = spark.readStream.schema(e.schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    return stream.select(
-        F.col("event_id").cast("string").alias("event_id"), F.col("user_id").cast("string").alias("channel_id"), F.col("ts").alias("occurred_at"),
-        (F.col("event_type") == "error").alias("is_alarm"), F.col("event_type").alias("raw_value"),
-    )
+def _folder(rows: DataFrame, name: str, key: str, parts: int = 4) -> str:
+    """``rows`` as files that a stream reads one by one: slices of the range of ``key``, written in this order."""
+    path = shared_path(rows.sparkSession, name)
+    low, high = rows.agg(F.min(key), F.max(key)).first()
+    at = F.least(F.floor((F.col(key) - low) * parts / max(1, high - low)), F.lit(parts - 1)) if low is not None else F.lit(0)
+    for k in range(parts):
+        rows.filter(at == k).drop(key).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+@lru_cache(maxsize=32)
+def _journal(spark, d: str) -> str:
+    return _folder(observations(spark, d).withColumn("_at", tm.micros(F.col("occurred_at"))), "journal", "_at")
+
+
+def events_stream(spark, d, files: int = 1) -> DataFrame:
+    """The journal in four files, oldest records first."""
+    return journal.stream_observations(spark, _journal(spark, d), files_per_trigger=files)
+
+
+@lru_cache(maxsize=32)
+def _raw(spark, d: str) -> str:
+    return _folder(raw_journal(spark, d).withColumn("_k", F.pmod(F.xxhash64("event_id", "channel_id", "date", "time"), F.lit(1000))), "raw-journal", "_k")
+
+
+def raw_stream(spark, d) -> DataFrame:
+    """Spoiled journal text in four files."""
+    return journal.stream_observations(spark, _raw(spark, d), "event_id string, channel_id string, date string, time string, alarm string, value string")
 
 
 @query("SELECT channel_id, day, row_count, alarm_count FROM cd", (OBS, CD))
@@ -158,11 +183,20 @@ def stream_dedupe(spark, d):
     return run_available(so.stream_dedupe(stream.union(stream), delay="60 days"))
 
 
-@query("SELECT trim(event_id) AS event_id, channel_id, occurred_at, is_alarm, raw_value FROM (SELECT event_id, channel_id, CAST(date_trunc('second', occurred_at) AS TIMESTAMP) AS occurred_at, is_alarm, raw_value FROM obs) WHERE CAST(event_id AS BIGINT) % 13 <> 0", (OBS,))
+@query(ORACLES["normalize_quarantine"])
 def stream_normalize(spark, d):
-    t = F.col("occurred_at")
-    raw = events_stream(spark, d).select("event_id", "channel_id", F.date_format(t, "yyyy-MM-dd").alias("date"), F.date_format(t, "HH:mm:ss").alias("time"), F.when(F.col("event_id").cast("long") % 13 == 0, "?").otherwise(F.col("is_alarm").cast("string")).alias("alarm"), F.col("raw_value").alias("value"))
-    return run_available(so.stream_normalize(raw)[0])
+    """Good rows of a spoiled stream; ``stream_rejects`` has the others."""
+    return run_available(so.stream_normalize(raw_stream(spark, d))[0])
+
+
+@query(ORACLES["quarantined_rows"])
+def stream_rejects(spark, d):
+    """Rejected rows that a sink of both kinds has kept; its last batch runs twice."""
+    path = shared_path(spark, "normalized")
+    keep = so.normalize_into(path)
+    twice = lambda batch, epoch: (keep(batch, epoch), keep(batch, epoch))
+    run_into(raw_stream(spark, d), twice)
+    return so.rejected_rows(spark, path)
 
 
 @query(f"SELECT channel_id, first_alarm_at, last_alarm_at, alarm_row_count FROM eps WHERE last_alarm_at + INTERVAL 43200 SECOND < (SELECT max(occurred_at) FROM obs) - INTERVAL 1 HOUR", (OBS, EPS))
@@ -171,14 +205,10 @@ def stream_session_episodes(spark, d):
     return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_alarm_at", "last_alarm_at")})
 
 
-@query()
+@query("""SELECT channel_id, first_alarm_at, last_alarm_at, alarm_row_count, left_boundary, 'observed_quiet_gap' AS right_boundary FROM eps
+ WHERE last_alarm_at + INTERVAL 43200 SECOND < (SELECT date_trunc('milliseconds', max(occurred_at)) FROM obs) - INTERVAL 1 HOUR""", (OBS, EPS))
 def stream_episodes(spark, d):
-    key, provider = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    was = spark.conf.get(key)
-    spark.conf.set(key, provider)
-    try:
-        return run_available(so.stream_episodes(events_stream(spark, d), 43_200, "1 hour"))
-    finally:
-        spark.conf.set(key, was)
-
-
+    """Episodes that were over when the watermark, the last record less an hour, had passed the gap after them."""
+    with rocksdb(spark):
+        rows = run_available(so.stream_episodes(events_stream(spark, d), 43_200, "1 hour"))
+    return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_alarm_at", "last_alarm_at")})

@@ -67,11 +67,27 @@ def channel_day(obs: DataFrame) -> DataFrame:
     )
 
 
-def write_channel_day(obs: DataFrame, path: str) -> None:
-    """Channel-day aggregates, partitioned by year."""
-    channel_day(obs).withColumn("year", F.year("day")).repartition("year").write.mode("errorifexists").partitionBy("year").parquet(path)
+CHANNEL_DAY = "channel_id string, day timestamp_ntz, row_count long, alarm_count long, first_at timestamp_ntz, last_at timestamp_ntz"
+
+
+def write_channel_day(obs: DataFrame, path: str, spread: int = 8) -> None:
+    """Channel-day aggregates of whole days, in folders of year and date.
+
+    The days that ``obs`` holds are written anew and all others stay, so a job that runs again, or one that corrects a few
+    days, replaces what it wrote.  The channels of a day are spread over ``spread`` tasks, of a file each."""
+    rows = channel_day(obs).withColumns({"year": F.year("day"), "date": F.col("day").cast("date")})
+    dealt = rows.repartition("date", F.pmod(F.xxhash64("channel_id"), F.lit(spread)))
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("year", "date").parquet(path)
+
+
+def read_channel_day(spark: SparkSession, path: str, first: str | None = None, last: str | None = None) -> DataFrame:
+    """What ``write_channel_day`` has written, from day ``first`` to day ``last``: only their folders are read."""
+    rows = spark.read.schema(f"{CHANNEL_DAY}, year int, date date").parquet(path)
+    for day, within in ((first, F.col("date") >= F.lit(first).cast("date")), (last, F.col("date") <= F.lit(last).cast("date"))):
+        rows = rows.filter(within) if day else rows
+    return rows.drop("year", "date")
 
 
 def stream_observations(spark: SparkSession, path: str, schema: str = OBSERVATION, files_per_trigger: int = 1) -> DataFrame:
-    """Parquet files of a folder as a stream."""
+    """Parquet files of a folder as a stream, oldest first."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)

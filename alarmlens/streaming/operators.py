@@ -4,18 +4,16 @@ once the watermark has passed it."""
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from datetime import datetime, timedelta, timezone
+from datetime import datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..functions.time import hours
+from ..functions.time import micros, moment
 from ..operators.episodes import KNOWN, UNKNOWN
-from ..operators.ingest import normalize_quarantine
-from ..operators.models import linear_score
-from ..operators.serving import features_at, new_risks, serving_status
+from ..operators.ingest import judged, normalize_quarantine
 
 
 def stream_normalize(raw: DataFrame, zone: str = "UTC") -> tuple[DataFrame, DataFrame]:
@@ -123,73 +121,72 @@ def stream_daily_counts(obs: DataFrame, delay: str = "1 hour") -> DataFrame:
     return found.select("channel_id", F.col("window.start").alias("day"), "row_count", "alarm_count")
 
 
-def gap_monitor(path: str, alert: Callable[[datetime, datetime], None], threshold_seconds: float = 3600, now: Callable[[], datetime] | None = None) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that calls ``alert(last record, now)`` when the journal is stale.
+#: ``normalize_into`` keeps raw rows and observations side by side.
+OUTCOME = "raw struct<event_id:string,channel_id:string,date:string,time:string,alarm:string,value:string>, observation struct<event_id:string,channel_id:string,occurred_at:timestamp_ntz,is_alarm:boolean,raw_value:string>, reason string, batch long, kept boolean"
 
-    The last record is kept at ``path``, one row a batch that moved it, so a monitor that starts again goes on from
-    there; a batch that runs again writes its row again.  ``now`` gives a moment in UTC without zone."""
-    now = now or (lambda: datetime.now(timezone.utc).replace(tzinfo=None))
 
-    def check(batch: DataFrame, epoch: int) -> None:
-        newest = batch.agg(F.max("occurred_at").alias("last_at")).filter("last_at IS NOT NULL")
-        newest.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
-        last = last_record(batch.sparkSession, path).first()[0]
-        if last is not None and (now() - last).total_seconds() > threshold_seconds:
-            alert(last, now())
+def normalize_into(path: str, zone: str = "UTC") -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that parses each batch of raw rows once and writes observations and rejected rows side by
+    side at ``path``.  A batch that runs again replaces what it wrote."""
+    def write(batch: DataFrame, epoch: int) -> None:
+        judged(batch, zone).withColumn("kept", F.col("reason").isNull()).write.mode("overwrite").partitionBy("kept").parquet(f"{path}/batch={epoch}")
 
-    return check
+    return write
 
 
-def last_record(spark: SparkSession, path: str) -> DataFrame:
-    """The newest moment that a gap monitor has stored at ``path``: last_at, null if none."""
-    return spark.read.schema("last_at timestamp_ntz, epoch long").parquet(path).agg(F.max("last_at").alias("last_at"))
+def kept_observations(spark: SparkSession, path: str) -> DataFrame:
+    """Observations that ``normalize_into`` has written."""
+    return spark.read.schema(OUTCOME).parquet(path).filter("kept").select("observation.*")
 
 
-def risk_scorer(score: Callable[[DataFrame], DataFrame], open_risks: Callable[[], DataFrame], now: Callable[[], datetime], threshold: float, write: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function: score a batch's objects (object_id, model, score), keep alerts without an open
-    risk, and write them."""
-    def run(batch: DataFrame, epoch: int) -> None:
-        alerts = score(batch).filter(F.col("score") >= threshold)
-        write(new_risks(alerts, open_risks(), F.lit(now()).cast("timestamp_ntz")))
+def rejected_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Raw rows that ``normalize_into`` has rejected, with the first reason that holds."""
+    return spark.read.schema(OUTCOME).parquet(path).filter("NOT kept").select("raw.*", "reason")
 
-    return run
 
+class SilenceProcessor(StatefulProcessor):
+    """State of a journal: its newest record, and whether its silence has been told."""
 
-def risk_job(
-    history: Callable[[], DataFrame], directory: DataFrame, gaps: DataFrame, coefficients: dict[str, float], intercept: float, risks: str,
-    model: str = "alarm", threshold: float = 0.5, window_hours: int = 24, gap_seconds: float = 900, short: int = 7, long: int = 30,
-) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that keeps the table of risks at ``risks`` (object_id, model, opened_at, window_end,
-    score, status, epoch) up to date.
+    def __init__(self, threshold_seconds: float):
+        self.threshold = int(threshold_seconds * 1e6)
 
-    Each batch of records moves time to its newest one.  The channels that it names get their features at that moment,
-    from ``history()`` (all records stored so far, the batch included); channels that must be refused are left out; a
-    stored logistic model scores them; an object counts as its worst channel; and objects over the threshold without an
-    open risk get one.  A batch that runs again replaces what it wrote."""
-    def run(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        now = batch.agg(F.max("occurred_at")).first()[0]
-        if now is None:
-            return
-        asked = batch.select("channel_id").distinct().withColumn("t", F.lit(now).cast("timestamp_ntz"))
-        seen = history()
-        fine = serving_status(seen, asked, gaps, gap_seconds, long).filter("status = 'ok'").select("channel_id", "t")
-        features = features_at(seen, fine, gaps, gap_seconds, short, long).fillna(0.0)
-        channels = linear_score(features, coefficients, intercept).join(directory.select("channel_id", "object_id"), "channel_id")
-        alerts = channels.groupBy("object_id").agg(F.max("score").alias("score")).filter(F.col("score") >= threshold).withColumn("model", F.lit(model))
-        known = open_risks(spark, risks).filter(F.col("epoch") != epoch)
-        t = F.lit(now).cast("timestamp_ntz")
-        fresh = new_risks(alerts, known, t).select("object_id", "model", t.alias("opened_at"), (t + hours(window_hours)).alias("window_end"), "score", F.lit("open").alias("status"))
-        fresh.write.mode("overwrite").parquet(f"{risks}/epoch={epoch}")
-
-    return run
-
-
-RISKS = "object_id string, model string, opened_at timestamp_ntz, window_end timestamp_ntz, score double, status string, epoch long"
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("newest", "at long, told boolean")
 
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        newest = max(int(pdf["at"].max()) for pdf in rows)
+        at, told = self.state.get() if self.state.exists() else (None, False)
+        if at is not None and newest <= at:
+            return
+        now = timerValues.getCurrentProcessingTimeInMs() * 1000
+        live = now - newest <= self.threshold
+        self.state.update((newest, told and not live))
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer((newest + self.threshold) // 1000 + 1)
+        if told and live:
+            yield pd.DataFrame([("resumed", newest, now)], columns=["kind", "last", "noticed"])
 
-def open_risks(spark: SparkSession, risks: str) -> DataFrame:
-    """The table that ``risk_job`` keeps; empty before its first batch."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(risks)
-    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-    return spark.read.schema(RISKS).parquet(risks) if there else spark.createDataFrame([], RISKS)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at, told = self.state.get()
+        now = timerValues.getCurrentProcessingTimeInMs() * 1000
+        if not told and now - at > self.threshold:
+            self.state.update((at, True))
+            yield pd.DataFrame([("stale", at, now)], columns=["kind", "last", "noticed"])
+
+
+def stream_gap_monitor(obs: DataFrame, threshold_seconds: float = 3600) -> DataFrame:
+    """One row (kind, last_at, noticed_at) when the journal falls silent, by the clock: its newest record is older than the
+    threshold (``stale``); and one when records are recent again (``resumed``).
+
+    A timer of processing time fires in batches without data, so a silence is told while it lasts.  Each task sends on only
+    its newest moment.  Needs the RocksDB state store provider, and a trigger that goes on (not ``availableNow``)."""
+    def newest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = [int(pdf["at"].max()) for pdf in batches if len(pdf)]
+        if found:
+            yield pd.DataFrame({"journal": ["all"], "at": [max(found)]})
+
+    moments = obs.filter("occurred_at IS NOT NULL").select(micros(F.col("occurred_at")).alias("at")).mapInPandas(newest, "journal string, at long")
+    told = moments.groupBy("journal").transformWithStateInPandas(SilenceProcessor(threshold_seconds), "kind string, last long, noticed long", "Append", "ProcessingTime")
+    return told.select("kind", moment(F.col("last")).alias("last_at"), moment(F.col("noticed")).alias("noticed_at"))

@@ -1,14 +1,16 @@
 """Boundaries, refusals and random trials of single operators."""
 
+import math
 import random
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
+from alarmlens.functions import steps
 from alarmlens.functions import text as tx
 from alarmlens.functions import time as tm
-from alarmlens.operators import episodes, ingest, metrics, models, objects, serving, snapshots, telemetry
+from alarmlens.operators import boosting, episodes, ingest, metrics, models, objects, serving, snapshots, telemetry
 from alarmlens.sources import journal
 
 OBS = "event_id string, channel_id string, occurred_at timestamp_ntz, is_alarm boolean, raw_value string"
@@ -252,3 +254,172 @@ def test_categories_and_grid(spark):
     grid = [{"trees": 1, "depth": 1}, {"trees": 5, "depth": 4, "least": 1}]
     best, fitted = models.grid_search_time(train, inner, ["x", "noise"], grid)
     assert best == grid[1] and all((r.score > 0.5) == bool(r.label) for r in fitted.score(inner).collect())
+
+
+def test_days_of_the_sink_are_written_again(spark, tmp_path):
+    """A second write replaces the days that it holds and no others; a day's channels are spread over files."""
+    path = str(tmp_path / "days")
+    obs = observations(spark, [(c, at(86_400 * day + 60), day == 1) for c in "abcdefgh" for day in range(3)])
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "false")  # or so few rows would be put together again
+    try:
+        journal.write_channel_day(obs, path, spread=4)
+    finally:
+        spark.conf.set(key, was)
+    assert len(list((tmp_path / "days").glob("year=*/date=*"))) == 3
+    assert max(len(list(f.glob("*.parquet"))) for f in (tmp_path / "days").glob("year=*/date=*")) > 1
+    before = {(r.channel_id, r.day): r.row_count for r in journal.read_channel_day(spark, path).collect()}
+    assert set(before.values()) == {1} and len(before) == 24
+    second = observations(spark, [("a", at(86_400 + 60), True), ("a", at(86_400 + 70), True), ("new", at(86_400 + 70), True)])
+    for _ in range(2):  # the same again changes nothing
+        journal.write_channel_day(second, path, spread=4)
+        after = {(r.channel_id, r.day): r.row_count for r in journal.read_channel_day(spark, path).collect()}
+        day = at(86_400)
+        assert {k: v for k, v in after.items() if k[1] == day} == {("a", day): 2, ("new", day): 1}
+        assert {k: v for k, v in after.items() if k[1] != day} == {k: v for k, v in before.items() if k[1] != day}
+    only = journal.read_channel_day(spark, path, str(at(86_400).date()), str(at(86_400).date()))
+    assert only.count() == 2 and "PartitionFilters: [isnotnull(date" in only._jdf.queryExecution().toString()
+
+
+def test_missing_days_and_keys(spark):
+    """Made-up holes: two days without a record; an object that is missing, one that is there twice."""
+    obs = observations(spark, [("a", at(0), True), ("b", at(86_400), False), ("a", at(4 * 86_400), False)])
+    assert sorted(r.day for r in ingest.missing_days(obs).collect()) == [at(2 * 86_400).replace(hour=0, minute=0, second=0), at(3 * 86_400).replace(hour=0, minute=0, second=0)]
+    channels = spark.createDataFrame([("a", "1"), ("a", "1"), ("b", "9")], "channel_id string, object_id string")
+    found = ingest.catalogue_report(channels, spark.createDataFrame([("1", "0"), ("1", "0"), ("2", "0")], "object_id string, parent_id string")).first()
+    assert (found.repeated_channels, found.repeated_facilities, found.missing_facility) == (1, 1, 1)
+
+
+def test_a_hot_channel_is_not_one_task(spark):
+    """A channel with a third of all rows: its rows are dealt by day, and only its runs are ordered together."""
+    rng = random.Random(8)
+    rows = [("hot", at(rng.randrange(40 * 86_400)), rng.random() < 0.5) for _ in range(6000)] + [(f"c{k % 400}", at(rng.randrange(40 * 86_400)), True) for k in range(12_000)]
+    got = episodes.build_episodes(observations(spark, rows), 3600)
+    found = {(r.channel_id, r.first_alarm_at): (r.last_alarm_at, r.alarm_row_count) for r in got.collect()}
+    want = {}
+    for c in {r[0] for r in rows}:
+        last = None
+        for t in sorted(r[1] for r in rows if r[0] == c and r[2]):
+            if last is None or (t - last).total_seconds() > 3600:
+                start, n = t, 0
+            last, n = t, n + 1
+            want[c, start] = (last, n)
+    assert found == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(channel_id" in plan and "day" in plan
+    per_task = observations(spark, rows).repartition(16, "channel_id", F.to_date("occurred_at"), "is_alarm").groupBy(F.spark_partition_id()).count().select("count").collect()
+    sizes = sorted(r[0] for r in per_task)
+    assert sizes[-1] < 3 * sizes[len(sizes) // 2]
+
+
+def test_ranks_of_a_whole_table(spark):
+    df = spark.range(5000).select(F.md5(F.col("id").cast("string").cast("binary")).alias("m")).repartition(7)
+    got = steps.with_rank(df, "m").collect()
+    assert [r.m for r in sorted(got, key=lambda r: r["rank"])] == sorted(r.m for r in got) and sorted(r["rank"] for r in got) == list(range(1, 5001))
+    assert steps.with_rank(df.limit(0), "m").count() == 0
+
+
+def test_shuffled_labels_are_a_permutation(spark):
+    df = spark.range(3000).select(F.col("id").cast("string").alias("key"), (F.col("id") < 300).cast("int").alias("label"))
+    rows = {r.key: r.label for r in metrics.shuffle_labels(df, [F.col("key")]).collect()}
+    assert len(rows) == 3000 and sum(rows.values()) == 300
+    assert 5 < sum(rows[str(k)] for k in range(300)) < 80  # 30 of the 300 are expected to stay
+    assert rows != {r.key: r.label for r in metrics.shuffle_labels(df, [F.col("key")], 12).collect()}
+
+
+def test_bootstrap_draws_with_replacement(spark):
+    """The spread of a share over whole objects, and over rows, is that of the binomial; one object alone has none."""
+    rows = [(f"o{k}", float(k % 2 == 0), 1) for k in range(400)]
+    df = spark.createDataFrame(rows, "object_id string, score double, label int")
+    half = 1.96 * (0.25 / 400) ** 0.5
+    for got in (metrics.bootstrap(df, 0.5, "object_id", 400).first(), metrics.bootstrap_rows(df, 0.5, 400).first()):
+        assert got.recall_low == pytest.approx(0.5 - half, abs=0.02) and got.recall_high == pytest.approx(0.5 + half, abs=0.02) and got.precision_low == got.precision_high == 1.0
+    one = metrics.bootstrap(df.withColumn("object_id", F.lit("o")), 0.5, "object_id", 50).first()
+    assert one.recall_low == one.recall_high == 0.5
+    assert metrics.bootstrap(df.limit(0), 0.5, "object_id", 10).first().recall_low is None
+
+
+def test_isotonic_is_the_min_max_of_means(spark):
+    rng = random.Random(6)
+    rows = [(round(rng.random(), 2), int(rng.random() < 0.3 + 0.4 * (k % 3 == 0))) for k in range(1500)]
+    rows += [(None, 1)]
+    fit = spark.createDataFrame(rows, "score double, label int").repartition(6)
+    scores = sorted({s for s, _ in rows if s is not None})
+    total = {s: (sum(y for x, y in rows if x == s), sum(x == s for x, _ in rows)) for s in scores}
+    mean = lambda j, k: sum(total[s][0] for s in scores[j : k + 1]) / sum(total[s][1] for s in scores[j : k + 1])
+    want = {s: max(min(mean(j, k) for k in range(i, len(scores))) for j in range(i + 1)) for i, s in enumerate(scores)}
+    got = models.Calibration(fit).apply(spark.createDataFrame([(s,) for s in scores] + [(-1.0,), (2.0,), (None,)], "score double")).collect()
+    found = {r.score: r.probability for r in got}
+    assert all(found[s] == pytest.approx(want[s]) for s in scores)
+    assert found[-1.0] == pytest.approx(want[scores[0]]) and found[2.0] == pytest.approx(want[scores[-1]]) and found[None] is None
+    assert models.Calibration(fit.limit(0)).apply(fit).filter("probability IS NOT NULL").count() == 0
+
+
+def test_first_rows_by_contraction(spark):
+    """Chains of many lengths that start at any step; what is still joined halves from round to round."""
+    rng = random.Random(9)
+    rows, want, ident = [], {}, 0
+    for pump in "pq":
+        for length in [1, 2, 3, 12, 96, 288, 700, *[rng.randrange(1, 40) for _ in range(30)]]:
+            start, first = rng.randrange(100), ident
+            for k in range(length):
+                rows.append((pump, start + k, ident, ident - 1 if k else None))
+                want[pump, ident] = (first, k)
+                ident += 1
+    df = spark.createDataFrame(rows, "pump_id string, step long, id long, before long").repartition(4)
+    assert {(r.pump_id, r.id): (r.root, r.pos) for r in telemetry.first_rows(df).collect()} == want
+    assert telemetry.first_rows(df.limit(0)).count() == 0
+
+
+def plain_boosting(rows, trees, leaves, rate, least):
+    """Scores of trees grown leaf by leaf, every value a cut, a missing one to the better side."""
+    ones = sum(y for *_, y in rows) / len(rows)
+    margin = [math.log(ones / (1 - ones))] * len(rows)
+    for _ in range(trees):
+        p = [1 / (1 + math.exp(-m)) for m in margin]
+        g, h = [a - r[-1] for a, r in zip(p, rows, strict=True)], [a * (1 - a) for a in p]
+        value = lambda part: sum(g[i] for i in part) ** 2 / sum(h[i] for i in part)
+        parts = [list(range(len(rows)))]
+        while len(parts) < leaves:
+            best = None
+            for k, part in enumerate(parts):
+                for missing_left in (True, False):
+                    for f in range(len(rows[0]) - 1):
+                        for cut in sorted({rows[i][f] for i in range(len(rows)) if rows[i][f] is not None}):
+                            left = [i for i in part if (missing_left if rows[i][f] is None else rows[i][f] <= cut)]
+                            inside = set(left)
+                            right = [i for i in part if i not in inside]
+                            if min(len(left), len(right)) >= least:
+                                gain = value(left) + value(right) - value(part)
+                                if gain > 1e-9 and (best is None or gain > best[0] + 1e-9):
+                                    best = gain, k, left, right
+            if best is None:
+                break
+            parts[best[1]] = best[2]
+            parts.append(best[3])
+        for part in parts:
+            step = -rate * sum(g[i] for i in part) / sum(h[i] for i in part)
+            for i in part:
+                margin[i] += step
+    return [1 / (1 + math.exp(-m)) for m in margin]
+
+
+def test_trees_grow_leaf_by_leaf(spark):
+    """Against the same trees by plain loops, missing values among the features."""
+    rng = random.Random(12)
+    rows = []
+    for _ in range(240):
+        x, z = rng.choice([None, *range(9)]), rng.choice([None, 0.5, 1.5, 2.5, 7.0])
+        rows.append((x, z, int(rng.random() < (0.8 if x is None or (z or 0) > 2 else 0.1 + 0.05 * x))))
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "id long, x int, z double, label int").repartition(5)
+    for leaves in (2, 6):
+        model = boosting.fit_gbt(df, ["x", "z"], trees=3, leaves=leaves, rate=0.3, least=15)
+        assert [len(t.values) for t in model.trees] == [leaves] * 3
+        got = [r.score for r in model.score(df).orderBy("id").collect()]
+        assert got == pytest.approx(plain_boosting(rows, 3, leaves, 0.3, 15), abs=1e-6)
+    again = boosting.fit_gbt(df.repartition(3), ["x", "z"], trees=3, leaves=6, rate=0.3, least=15)
+    assert again.trees == model.trees  # sums are of whole numbers: the order of rows makes no difference
+    one_class = boosting.fit_gbt(df.filter("label = 1"), ["x", "z"], trees=2, leaves=4, least=5)
+    assert all(r.score > 0.99 for r in one_class.score(df).collect())
+    assert boosting.fit_gbt(df.limit(0), ["x", "z"], trees=2).score(df).count() == 240

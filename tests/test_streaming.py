@@ -1,16 +1,18 @@
 """Streams with all data available give what batches give."""
 
 import random
-from datetime import datetime, timedelta
+import time
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from alarmlens.operators import episodes
+from alarmlens.operators import episodes, serving
 from alarmlens.sources import journal
 from alarmlens.streaming import operators as so
-from alarmlens.streaming.run import run_available
+from alarmlens.streaming import risks as rk
+from alarmlens.streaming.run import run_available, run_into
 
 T0 = datetime(2024, 1, 1)
 
@@ -77,25 +79,49 @@ def test_normalize(spark, tmp_path):
     assert [r.reason for r in run(bad, tmp_path, "bad").collect()] == ["timestamp"]
 
 
-def test_batch_functions(spark, tmp_path):
-    seen = []
-    monitor = lambda: so.gap_monitor(str(tmp_path / "last"), lambda last, now: seen.append((last, now)), 3600, now=lambda: T0 + timedelta(hours=2))
-    batch = lambda *moments: spark.createDataFrame([(m,) for m in moments], "occurred_at timestamp_ntz")
-    check = monitor()
-    check(batch(), 0)  # nothing seen yet
-    check(batch(T0), 1)
-    assert seen == [(T0, T0 + timedelta(hours=2))]
-    check = monitor()  # a monitor that starts again knows the last record
-    check(batch(), 2)
-    check(batch(T0 - timedelta(days=1)), 2)
-    assert seen == [(T0, T0 + timedelta(hours=2))] * 3
-    check(batch(T0 + timedelta(minutes=90)), 3)
-    assert len(seen) == 3
-    out = []
-    open_risks = spark.createDataFrame([("a", "m", T0 + timedelta(days=1), "open")], "object_id string, model string, window_end timestamp_ntz, status string")
-    run_ = so.risk_scorer(lambda df: df.withColumn("score", F.lit(0.9)), lambda: open_risks, lambda: T0, 0.5, lambda df: out.extend(df.collect()))
-    run_(spark.createDataFrame([("a", "m"), ("b", "m")], "object_id string, model string"), 0)
-    assert [r.object_id for r in out] == ["b"]
+def test_rejects_have_a_sink(spark, tmp_path):
+    """Both kinds of rows of several batches, the last of which runs twice."""
+    schema = "event_id string, channel_id string, date string, time string, alarm string, value string"
+    rows = [("1", " c ", "2024-01-02", "10:00:00", "t", "v"), ("", "c", "2024-01-02", "10:00:00", "t", "v"), ("3", "c", "2024-1-2", "10:00:00", "t", None), ("4", "c", "2024-01-02", "10:00:00", "maybe", "v"), (None, None, None, None, None, None)]
+    for r in rows:
+        spark.createDataFrame([r], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "raw"))
+    keep = so.normalize_into(str(tmp_path / "out"))
+    again = lambda batch, epoch: [keep(batch, epoch) for _ in range(2)]
+    run_into(journal.stream_observations(spark, str(tmp_path / "raw"), schema, 2), again)
+    good = so.kept_observations(spark, str(tmp_path / "out")).collect()
+    assert [tuple(r) for r in good] == [("1", "c", datetime(2024, 1, 2, 10), True, "v")]
+    bad = so.rejected_rows(spark, str(tmp_path / "out")).collect()
+    assert sorted((str(r.event_id), r.value, r.reason) for r in bad) == [("", "v", "missing_id"), ("3", None, "timestamp"), ("4", "v", "alarm"), ("None", None, "missing_id")]
+
+
+def test_a_silence_is_told_while_it_lasts(spark, tmp_path):
+    """The input stops and the alarm comes, once; records come again and that is told; then silence again."""
+    def send(k: int) -> datetime:
+        now = datetime.now(timezone.utc).replace(tzinfo=None)
+        spark.createDataFrame([(f"e{k}", "c", now - timedelta(hours=k), False, "x"), (f"f{k}", "c", now, False, "x"), (f"g{k}", "c", None, False, "x")], journal.OBSERVATION).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        return now
+
+    def told(n: int) -> list:
+        for _ in range(600):
+            rows = spark.read.schema(schema).parquet(out).orderBy("noticed_at").collect() if (tmp_path / "out").exists() else []
+            if len(rows) >= n:
+                return rows
+            time.sleep(0.1)
+        raise AssertionError("nothing was told")
+
+    out, first = str(tmp_path / "out"), send(1)
+    stream = so.stream_gap_monitor(journal.stream_observations(spark, str(tmp_path / "in")), 6)
+    schema = stream.schema
+    query = stream.writeStream.option("checkpointLocation", str(tmp_path / "state")).trigger(processingTime="500 milliseconds").foreachBatch(lambda df, epoch: df.write.mode("append").parquet(out)).start()
+    try:
+        rows = told(1)
+        assert [(r.kind, r.last_at) for r in rows] == [("stale", first)] and rows[0].noticed_at - first > timedelta(seconds=6)
+        time.sleep(2)
+        assert len(told(1)) == 1  # once
+        second = send(2)
+        assert [(r.kind, r.last_at) for r in told(3)] == [("stale", first), ("resumed", second), ("stale", second)]
+    finally:
+        query.stop()
 
 
 def test_run_available_outlasts_a_limit(spark, folder, monkeypatch):
@@ -106,19 +132,66 @@ def test_run_available_outlasts_a_limit(spark, folder, monkeypatch):
     assert got.count() == spark.read.parquet(str(folder / "in")).count() == 402
 
 
+def features_of(spark, rows, folder, slices, **how):
+    """Streamed features over ``rows`` that come in ``slices`` by time, as {(channel, t): row}."""
+    rows = sorted(rows, key=lambda r: r[2])
+    for k in range(slices):
+        part = rows[k * len(rows) // slices : (k + 1) * len(rows) // slices]
+        spark.createDataFrame(part, journal.OBSERVATION).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    got = []
+    run_into(rk.stream_features(journal.stream_observations(spark, f"{folder}/in"), **how), lambda df, epoch: got.extend(df.collect()))
+    assert len({(r.channel_id, r.t) for r in got}) == len(got)
+    return {(r.channel_id, r.t): r.asDict() for r in got}
+
+
+@pytest.mark.parametrize("slices", [1, 5])
+def test_features_from_state(spark, tmp_path, slices):
+    """The features that a batch job finds in the whole journal, at the moments at which the stream scored."""
+    rng = random.Random(slices)
+    moment = lambda: T0 + timedelta(microseconds=rng.choice([rng.randrange(20 * 86_400_000_000), rng.randrange(200) * 3_600_000_000]))
+    rows = [(f"e{k}", rng.choice("aabc"), moment(), rng.random() < 0.3, "x") for k in range(1500)]
+    rows += [(f"h{k}", "hot", T0 + timedelta(seconds=37 * k), k % 5 == 0, "x") for k in range(3000)]
+    got = features_of(spark, rows, str(tmp_path), slices, gap_seconds=5000, short=2, long=7)
+    assert len({t for _, t in got}) == slices
+    history = spark.createDataFrame(rows, journal.OBSERVATION)
+    moments = spark.createDataFrame(list(got), "channel_id string, t timestamp_ntz")
+    gaps = spark.createDataFrame([], "start_at timestamp_ntz, end_at timestamp_ntz")
+    want = serving.features_at(history, moments, gaps, 5000, 2, 7).drop("log_gap_hours_7d").collect()
+    names = [c for c in want[0].asDict() if c not in ("channel_id", "t")]
+    within = {k for k, r in got.items() if r["event_count_7d"]}
+    assert {(r.channel_id, r.t) for r in want} == within
+    for r in want:
+        mine = got[r.channel_id, r.t]
+        assert [mine[c] == pytest.approx(r[c]) if r[c] is not None else mine[c] is None for c in names] == [True] * len(names), (r, mine)
+
+
 def test_risk_job(spark, tmp_path):
     """Refused channels and objects with an open risk get none; a batch that runs again changes nothing."""
     day = timedelta(days=1)
-    rows = [(f"{c}{k}", c, T0 - k * day - timedelta(hours=2), c == "bad" and k < 4, "v") for c in ("bad", "calm") for k in range(9)]
-    rows += [("n", "new", T0 - timedelta(hours=2), True, "v"), ("last", "calm", T0, False, "v")]
-    history = spark.createDataFrame(rows, journal.OBSERVATION)
-    directory = spark.createDataFrame([("bad", "A"), ("calm", "B"), ("new", "C")], "channel_id string, object_id string")
-    gaps = spark.createDataFrame([], "start_at timestamp_ntz, end_at timestamp_ntz")
+    rows = [(f"{c}{k}", c, T0 - k * day - timedelta(hours=2), c == "bad" and 0 < k < 4, "v") for c in ("bad", "calm", "shut") for k in range(9)]
+    rows += [("n", "new", T0 - timedelta(hours=2), True, "v"), ("last", "calm", T0, False, "v"), ("x", "shut", T0 - timedelta(minutes=5), True, "v")]
+    directory = spark.createDataFrame([("bad", "A"), ("calm", "B"), ("new", "C"), ("shut", "D")], "channel_id string, object_id string")
+    far, near = ("2023-01-01 00:00:00", "2023-01-02 00:00:00"), ("2023-12-31 10:00:00", "2023-12-31 11:00:00")
+    gaps = lambda *g: spark.createDataFrame(list(g), "a string, b string").selectExpr("CAST(a AS timestamp_ntz) AS start_at", "CAST(b AS timestamp_ntz) AS end_at")
+    spark.createDataFrame(rows, journal.OBSERVATION).coalesce(1).write.parquet(str(tmp_path / "in"))
+    batches = []
+    run_into(rk.stream_features(journal.stream_observations(spark, str(tmp_path / "in")), 900, 7, 8), lambda df, epoch: batches.append(spark.createDataFrame(df.collect(), df.schema)))
+    scored = next(b for b in batches if b.count())
+    t = scored.first().t
+    assert T0 <= t < T0 + timedelta(milliseconds=1)
     path = str(tmp_path / "risks")
-    job = so.risk_job(lambda: history, directory, gaps, {"alarm_count_7d": 1.0}, -2.0, path, gap_seconds=900, short=7, long=8)
+    job = rk.risk_job(directory, gaps(far), {"alarm_count_7d": 1.0}, -2.0, path, gap_seconds=900, long=8)
+    assert rk.open_risks(spark, path).count() == 0
     for epoch in (0, 0, 1):
-        job(history, epoch)
-        found = so.open_risks(spark, path).collect()
-        assert [(r.object_id, r.opened_at, r.window_end, r.epoch) for r in found] == [("A", T0, T0 + day, 0)]
-    job(history.limit(0), 2)
-    assert so.open_risks(spark, path).count() == 1
+        job(scored, epoch)
+        assert [(r.object_id, r.opened_at, r.window_end, r.epoch) for r in rk.open_risks(spark, path).collect()] == [("A", t, t + day, 0)]
+    job(scored.limit(0), 2)
+    assert rk.open_risks(spark, path).count() == 1
+    folders = len(list((tmp_path / "risks").rglob("epoch=*")))
+    assert folders == 1  # batches that open nothing leave nothing
+    later = scored.withColumn("t", F.col("t") + F.expr("INTERVAL 2 DAYS")).withColumn("last_at", F.col("t"))
+    job(later, 3)
+    assert sorted((r.object_id, r.epoch) for r in rk.open_risks(spark, path).collect()) == [("A", 0), ("A", 3)]
+    for how in ({"gaps": gaps(near)}, {"gaps": gaps(far), "since": "2023-12-30 00:00:00"}):
+        rk.risk_job(directory, how.pop("gaps"), {"alarm_count_7d": 1.0}, -2.0, f"{path}-refused", gap_seconds=900, long=8, **how)(scored, 0)
+        assert rk.open_risks(spark, f"{path}-refused").count() == 0
