@@ -9,13 +9,15 @@ source's remaining words are reached: an unequal-probability sample whose size i
 The place where a source's ranking is cut is found by histograms: of the ranks' leading bits, then of the next bits within
 the one bucket that holds the cut, and so on until that bucket is small; only its rows are ordered.  So no source is ever
 ordered as a whole, however large it is.  What is missing at the cut (less than one document) is filled by going on down
-the same ranking, over those documents that are not larger than what is missing and by the same steps, until none fits.
+the same ranking: each document that is not larger than what is then missing is taken.  Once the documents that may still
+fit are few enough in every source, they are walked in order at once; until then, by further histograms.
 
 Row numbers are stored with the sizes (or documents) once, and everything is joined on that stored copy.
 
 Defined results: null text has size 0 and is never taken twice on account of it; a null source is a source, sorted last;
-repeated rows are sampled one by one; an empty table gives no rows.  The random numbers are hashes of id, text and the seed,
-so that reruns agree; the stored row numbers only tell rows apart that are equal in both.
+an empty table gives no rows.  The random numbers are hashes of id, text and the seed, so that reruns agree however the table
+is read.  Rows that repeat in both share one number: they go in or out together, but for the source's cut among them, and
+there the stored row numbers say which; a row's copies are the same whichever of them it is.
 """
 
 from __future__ import annotations
@@ -114,6 +116,16 @@ def _fill(rows: DataFrame, room: DataFrame, id_col: str) -> tuple[DataFrame, Dat
     return cuts, fits.select("_row"), materialize(behind.select(*rows.columns), "behind"), left
 
 
+def _walked(rows: DataFrame, room: DataFrame, id_col: str) -> DataFrame:
+    """Numbers of the ``rows`` (source, id, _row, key, size), at most ``BUCKET_ROWS`` a source, that are taken on a walk down
+    the ranking: each that fits into what is left of the ``room`` (s, room)."""
+    met = rows.join(room, F.col("source").eqNullSafe(F.col("s")))
+    lists = met.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("key", F.col(id_col).alias("id"), "_row", "size"))).alias("ranking"), F.first("room").alias("room"))
+    start = F.struct(F.col("room").alias("room"), F.array().cast("array<bigint>").alias("taken"))
+    step = lambda at, x: F.when(x["size"] <= at["room"], F.struct((at["room"] - x["size"]).alias("room"), F.array_append(at["taken"], x["_row"]).alias("taken"))).otherwise(at)
+    return lists.select(F.explode(F.aggregate("ranking", start, step)["taken"]).alias("_row"))
+
+
 def sample_copies(sized: DataFrame, targets: DataFrame, id_col: str, seed: int = 17, most_copies: float = 2.0, propensity: str | None = None, draw: str | None = None) -> DataFrame:
     """``sized`` (_row, id, source, size[, propensity, draw]), a written table, with ``source_size``, ``target`` and
     ``copies``.  A propensity takes few values; ``draw`` is what the random numbers are drawn by, else the id."""
@@ -127,15 +139,16 @@ def sample_copies(sized: DataFrame, targets: DataFrame, id_col: str, seed: int =
     # odds over odds, as a number in (0, 1) that grows with it
     rank = F.when(F.col("part") > 0, u * (1 - F.col("part")) / (u * (1 - F.col("part")) + (1 - u) * F.col("part"))).otherwise(F.lit(1.0))
     high = F.least(F.floor(rank * float(1 << RANK_BITS)), F.lit((1 << RANK_BITS) - 1)).cast("long")
-    rows = rows.withColumn("key", F.shiftleft(high, TIE_BITS).bitwiseOR(F.xxhash64("_row").bitwiseAND((1 << TIE_BITS) - 1)))
+    rows = rows.withColumn("key", F.shiftleft(high, TIE_BITS).bitwiseOR(F.xxhash64(F.lit(seed + 1), F.col(draw or id_col)).bitwiseAND((1 << TIE_BITS) - 1)))
     rows = materialize(rows.select(*sized.columns, "source_size", "target", "sure", "part", "key"), "ranked")
     room = rows.groupBy(F.col("source").alias("s")).agg((F.first("target") - F.sum(F.col("sure") * F.col("size"))).alias("room"))
     open_ = rows.filter("part > 0").select("source", id_col, "_row", "key", "size")
     cuts, extra, behind, left = _fill(open_, materialize(room, "room"), id_col)
-    while not behind.isEmpty():
+    while (behind.groupBy("source").count().agg(F.max("count")).first()[0] or 0) > BUCKET_ROWS:
         more, fits, behind_next, left = _fill(behind, left, id_col)
         whole = behind.join(more, F.col("source").eqNullSafe(F.col("s")), "left").filter(F.col("prefix").isNull() | F.expr("shiftright(key, shift) < prefix"))
         extra, behind = extra.union(fits).union(whole.select("_row")), behind_next
+    extra = extra.union(_walked(behind, left, id_col))
     extra = materialize(extra.select(F.col("_row").alias("r"), F.lit(True).alias("filled_in")), "at-the-cut")
     rows = rows.join(cuts, F.col("source").eqNullSafe(F.col("s")), "left").join(extra, F.col("_row") == F.col("r"), "left")
     # a source without a cut takes every further copy there is
