@@ -5,12 +5,13 @@ that fits and no other gap has a better claim to: walking the sizes upwards, a p
 level down, and a gap takes the piece whose level it closes.  Levels are ranks: a histogram by size gives each class its
 first level, and a row's rank within its class the rest, so the sweep is grouped counts and one window over each level
 (at most two rows of a size meet in a level, so no window exceeds twice the capacity).  Gaps shrink by what they took
-and the next round starts, until nothing fits; then sequences are opened for the longest pieces left and it goes on.
-What a round places is added to one table in the shared folder, and what it leaves is a table of its own.
+and the next round starts.
 
-Three parameters set the pace and drop nothing: a sweep that places less than the share ``few`` of the waiting pieces is
-the last before sequences are opened; these are opened for pieces longer than ``share`` of the longest; and for all that
-are left once these hold no more than the share ``rest`` of all tokens.
+Before a round as many sequences are opened as the sum of what waits asks for beyond the gaps there are, one for each of the
+longest pieces (every piece of more than half a sequence opens its own); if a sweep finds nothing, gaps do not count.  All
+other pieces are placed by sweeps.  Short pieces of one size go together as a unit of at most a thirty-second part of a sequence, which
+is placed like a piece, so that a gap is filled in few rounds.  What a round places is added to one table in the shared
+folder.  The driver sees one row for each size.
 
 Ids: every token lies within a run without white space, so runs are looked up by themselves (a bounded cache).  Runs that
 are new are split by the file's own pattern and looked up piece by piece in the library's model, if all their characters
@@ -30,13 +31,15 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import BoundedCache, append, as_bytes, materialize, numbered, scratch_path
 
 CAPACITY = 2048
+#: So many rows of one size are picked by their ids.
+EXACT = 1000
 SEPARATOR = 0
 
 
@@ -145,60 +148,76 @@ def _sweep(rows: DataFrame, capacity: int, buckets: int) -> DataFrame:
     return swept.select("id", "size", "is_gap", mate["id"].alias("mate"), mate["size"].alias("mate_size"))
 
 
-def _open(pieces: DataFrame, capacity: int, buckets: int) -> DataFrame:
-    """Lay pieces (id, size), longest first, end to end over new sequences; those that cross an end are left out (no
-    mate).  Rows as of ``_sweep``, with ``at`` for the place in the sequence and ``mate`` for its number from 0."""
+def _units(pieces: DataFrame, most: int, buckets: int) -> DataFrame:
+    """``pieces`` (id, size), stored, with the unit that each is placed with: ``lead`` (the least id of the unit), ``inner``
+    (the place in it) and ``total`` (its size).  A unit is one piece, or short ones of one size up to ``most`` together."""
+    together = F.greatest(F.lit(1), F.floor(F.lit(most) / F.col("size")))
     rows = pieces.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)))
-    ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy("size", "bucket").orderBy("id")))
-    counts = ranked.groupBy("size", "bucket").agg(F.max("rank").cast("long").alias("n"))
-    counts = counts.withColumn("in_class", F.coalesce(F.sum("n").over(W.partitionBy("size").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    classes = counts.groupBy("size").agg(F.sum(F.col("n") * F.col("size")).alias("total"))
-    classes = classes.withColumn("base", F.coalesce(F.sum("total").over(W.orderBy(F.desc("size")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    first = counts.join(classes, "size").select("size", "bucket", "base", "in_class")
-    start = F.col("base") + (F.col("in_class") + F.col("rank") - 1) * F.col("size")
-    laid = ranked.join(first, ["size", "bucket"]).select("id", "size", start.alias("from"))
-    laid = laid.withColumn("number", F.floor(F.col("from") / capacity)).withColumn("at", F.col("from") % capacity)
-    fits = F.col("at") + F.col("size") <= capacity
-    # the piece that crosses into a sequence leaves its start free: the others move up
-    lead = F.min(F.when(fits, F.col("at"))).over(W.partitionBy("number"))
-    return laid.select("id", "size", F.when(fits, F.col("number")).alias("mate"), F.when(fits, F.col("at") - lead).alias("at"))
-
-
-def pack(pieces: DataFrame, capacity: int = CAPACITY, rows_per_bucket: int = 500_000, few: float = 0.1, share: float = 0.3, rest: float = 0.005) -> DataFrame:
+    rows = rows.withColumn("rank", F.row_number().over(W.partitionBy("size", "bucket").orderBy("id")) - 1)
+    rows = rows.withColumn("unit", F.floor(F.col("rank") / together))
+    unit = W.partitionBy("size", "bucket", "unit")
+    inner = (F.col("rank") % together) * F.col("size")
+    return materialize(rows.select("id", F.min("id").over(unit).alias("lead"), inner.cast("long").alias("inner"), F.sum("size").over(unit).alias("total")), "units")
+
+
+def longest(sizes: dict[int, int], wanted: int) -> tuple[int, int]:
+    """(s, n): of rows with these ``sizes`` (size: rows) the ``wanted`` longest are those above s and n of those of size s."""
+    for size in sorted(sizes, reverse=True):
+        if sizes[size] >= wanted:
+            return size, wanted
+        wanted -= sizes[size]
+    return 0, 0
+
+
+def _openers(left: DataFrame, sizes: dict[int, int], wanted: int) -> Column:
+    """Which rows of ``left`` are the ``wanted`` longest, or a few less where very many of one size are as good."""
+    size, n = longest(sizes, wanted)
+    if n == sizes.get(size, 0):
+        return F.col("size") >= size
+    same = left.filter(F.col("size") == size)
+    if n <= EXACT:
+        some = F.col("id") <= same.orderBy("id").limit(n).agg(F.max("id")).first()[0]
+    else:
+        some = F.pmod(F.xxhash64(F.lit(wanted), "id"), F.lit(1 << 30)) < int((n - 2 * n**0.5) / sizes[size] * (1 << 30))
+    return (F.col("size") > size) | ((F.col("size") == size) & some)
+
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY, rows_per_bucket: int = 500_000) -> DataFrame:
     """Place ``pieces`` (id long, unique; size long from 1 to ``capacity``): one row each (id, sequence_id, offset)."""
     spark, path = pieces.sparkSession, scratch_path(pieces.sparkSession, "placed")
-    total, tokens = pieces.agg(F.count("*"), F.sum("size")).first()
-    if not total:
-        return pieces.select("id", F.lit(None).cast("long").alias("sequence_id"), F.lit(None).cast("long").alias("offset"))
-    buckets = max(16, total // rows_per_bucket)
-    large = pieces.filter(F.col("size") * 2 > capacity)
-    append(large.select("id", F.col("id").alias("sequence_id"), F.lit(0).cast("long").alias("offset")), path)
-    gaps = large.select("id", (F.lit(capacity) - F.col("size")).alias("size")).filter("size > 0")
-    left = pieces.filter(F.col("size") * 2 <= capacity)
-    opened = 0
-    waiting, least, most, weight = left.agg(F.count("*"), F.min("size"), F.max("size"), F.sum("size")).first()
-    while most is not None:  # each time round places a piece or opens a sequence
-        fit = gaps.filter(F.col("size") >= least)
+    buckets = max(16, pieces.count() // rows_per_bucket)
+    members = _units(pieces, capacity // 32, buckets)
+    left = members.filter("id = lead").select("id", F.col("total").alias("size"))
+    gaps = left.limit(0)
+    sizes = dict(left.groupBy("size").count().collect())  # a row a size
+    append(gaps.select("id", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")), path)  # there even for no pieces
+    free: dict[int, int] = {}
+    found = 0
+    while sizes:
+        # open as many sequences as the sum asks for: with what has more than half a sequence, or if nothing fits, all anew
+        large, weight = sum(n for size, n in sizes.items() if 2 * size > capacity), sum(size * n for size, n in sizes.items())
+        room = sum(size * n for size, n in free.items() if size >= min(sizes)) if found or not free else 0
+        wanted = max(large, -(-(weight - room) // capacity))
+        if wanted > 0:
+            opens = _openers(left, sizes, wanted)
+            opened = left.filter(opens)
+            append(opened.select("id", F.col("id").alias("sequence_id"), F.lit(0).cast("long").alias("offset")), path)
+            gaps = gaps.unionByName(opened.select("id", (F.lit(capacity) - F.col("size")).alias("size")).filter("size > 0"))
+            left = left.filter(~opens)
+        fit = gaps.filter(F.col("size") >= min(sizes))
         swept = materialize(_sweep(left.withColumn("is_gap", F.lit(False)).unionByName(fit.withColumn("is_gap", F.lit(True))), capacity, buckets), "sweep")
         got = swept.filter("not is_gap and mate is not null")
-        unplaced = F.when(~F.col("is_gap") & F.col("mate").isNull(), F.col("size"))
-        found, least, most, weight = swept.agg(F.count(F.when(~F.col("is_gap"), F.col("mate"))), F.min(unplaced), F.max(unplaced), F.sum(unplaced)).first()
         append(got.select("id", F.col("mate").alias("sequence_id"), (F.lit(capacity) - F.col("mate_size")).cast("long").alias("offset")), path)
         left = swept.filter("not is_gap and mate is null").select("id", "size")
         gaps = swept.filter("is_gap").select("id", (F.col("size") - F.coalesce("mate_size", F.lit(0))).alias("size")).filter("size > 0")
-        enough, waiting = found >= max(1, few * waiting), waiting - found
-        if enough or not waiting:
-            continue
-        limit = 0 if weight <= rest * tokens else int(share * most)
-        laid = materialize(_open(left.filter(F.col("size") > limit), capacity, buckets), "opened")
-        new = F.lit(-1 - opened) - F.col("mate")
-        append(laid.filter("mate is not null").select("id", new.alias("sequence_id"), F.col("at").cast("long").alias("offset")), path)
-        fresh = laid.filter("mate is not null").groupBy(new.alias("id")).agg((F.lit(capacity) - F.sum("size")).alias("size")).filter("size > 0")
-        opened += laid.agg(F.max("mate")).first()[0] + 1
-        gaps = gaps.unionByName(fresh)
-        left = left.filter(F.col("size") <= limit).unionByName(laid.filter("mate is null").select("id", "size"))
-        waiting, least, most, weight = left.agg(F.count("*"), F.min("size"), F.max("size"), F.sum("size")).first()
-    return spark.read.schema("id long, sequence_id long, offset long").parquet(path)
+        # a row a size of gaps, of pieces that are placed and of such that wait
+        kind = F.when(F.col("is_gap"), "gap").when(F.col("mate").isNull(), "waits").otherwise("placed")
+        after = F.when(F.col("is_gap"), F.col("size") - F.coalesce("mate_size", F.lit(0))).otherwise(F.col("size"))
+        counts = swept.groupBy(kind.alias("kind"), after.alias("size")).count().collect()
+        sizes, free = ({r["size"]: r["count"] for r in counts if r["kind"] == k} for k in ("waits", "gap"))
+        found = sum(r["count"] for r in counts if r["kind"] == "placed")
+    placed = spark.read.schema("id long, sequence_id long, offset long").parquet(path)
+    return members.join(placed.withColumnRenamed("id", "lead"), "lead").select("id", "sequence_id", (F.col("offset") + F.col("inner")).alias("offset"))
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
