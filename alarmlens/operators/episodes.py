@@ -77,21 +77,35 @@ def with_object(df: DataFrame, directory: DataFrame, unknown: str | None = None)
 def incidents(episodes: DataFrame, directory: DataFrame, gap_minutes: int = 60, unknown: str = "unknown") -> DataFrame:
     """Episode starts of an object at most ``gap_minutes`` apart form one incident: object_id, started_at, ended_at,
     day (as a label day), size."""
-    rows = with_object(episodes, directory, unknown).select("object_id", "first_alarm_at")
-    timed = W.partitionBy("object_id").orderBy("first_alarm_at")
-    before = F.lag("first_alarm_at").over(timed)
-    opens = F.when(before.isNull() | (micros_between(before, F.col("first_alarm_at")) > gap_minutes * 60_000_000), 1).otherwise(0)
-    rows = rows.withColumn("opens", opens).withColumn("number", F.sum("opens").over(timed.rangeBetween(W.unboundedPreceding, W.currentRow)))
-    found = rows.groupBy("object_id", "number").agg(F.min("first_alarm_at").alias("started_at"), F.max("first_alarm_at").alias("ended_at"), F.count("*").alias("size"))
+    gap = gap_minutes * 60_000_000
+    rows = with_object(episodes, directory, unknown).select("object_id", "first_alarm_at", F.to_date("first_alarm_at").alias("day"))
+    # as in episodes: runs within a day, then at the edges of days; unmapped channels are one object, perhaps a large one
+    opens = lambda before, start: F.when(before.isNull() | (micros_between(before, start) > gap), 1).otherwise(0)
+    timed = W.partitionBy("object_id", "day").orderBy("first_alarm_at")
+    rows = rows.withColumn("opens", opens(F.lag("first_alarm_at").over(timed), F.col("first_alarm_at")))
+    rows = rows.withColumn("number", F.sum("opens").over(timed.rangeBetween(W.unboundedPreceding, W.currentRow)))
+    runs = rows.groupBy("object_id", "day", "number").agg(F.min("first_alarm_at").alias("first_at"), F.max("first_alarm_at").alias("last_at"), F.count("*").alias("n"))
+    edges = W.partitionBy("object_id").orderBy("first_at")
+    runs = runs.select("object_id", "first_at", "last_at", "n", opens(F.lag("last_at").over(edges), F.col("first_at")).alias("opens"))
+    runs = runs.withColumn("number", F.sum("opens").over(edges.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    found = runs.groupBy("object_id", "number").agg(F.min("first_at").alias("started_at"), F.max("last_at").alias("ended_at"), F.sum("n").alias("size"))
     return found.select("object_id", "started_at", "ended_at", label_bucket(F.col("started_at")).alias("day"), "size")
 
 
 def recovery_stats(obs: DataFrame, episodes: DataFrame) -> DataFrame:
-    """How many episode starts have a normal row of their channel since the last alarm row before."""
-    starts = episodes.select("channel_id", F.col("first_alarm_at").alias("occurred_at"), F.lit(True).alias("starts"))
-    rows = obs.select("channel_id", "occurred_at", "is_alarm").withColumn("starts", F.lit(False)).unionByName(starts.withColumn("is_alarm", F.lit(None).cast("boolean")))
-    past = W.partitionBy("channel_id").orderBy("occurred_at", F.desc("starts")).rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("last_alarm", F.max(F.when(F.col("is_alarm"), F.col("occurred_at"))).over(past)).withColumn("last_normal", F.max(F.when(~F.col("is_alarm"), F.col("occurred_at"))).over(past))
-    found = rows.filter(F.col("starts") & F.col("last_alarm").isNotNull())
+    """How many episode starts have a normal row of their channel since the last alarm row before.
+
+    What comes before a start is looked for in its day, and among the last rows of each day before; so only a row a day of a
+    channel is ordered as a whole."""
+    moment = {"last_alarm": F.when(F.col("is_alarm"), F.col("occurred_at")), "last_normal": F.when(~F.col("is_alarm"), F.col("occurred_at"))}
+    day = F.to_date("occurred_at").alias("day")
+    starts = episodes.select("channel_id", F.col("first_alarm_at").alias("occurred_at"), F.lit(None).cast("boolean").alias("is_alarm"), F.lit(True).alias("starts"))
+    rows = obs.select("channel_id", "occurred_at", "is_alarm", F.lit(False).alias("starts")).unionByName(starts).select("*", day)
+    past = W.partitionBy("channel_id", "day").orderBy("occurred_at", F.desc("starts")).rowsBetween(W.unboundedPreceding, -1)
+    found = rows.select("channel_id", "day", "starts", *[F.max(c).over(past).alias(n) for n, c in moment.items()]).filter("starts")
+    daily = rows.groupBy("channel_id", "day").agg(*[F.max(c).alias(n) for n, c in moment.items()])
+    before = W.partitionBy("channel_id").orderBy("day").rowsBetween(W.unboundedPreceding, -1)
+    daily = daily.select("channel_id", "day", *[F.max(n).over(before).alias(f"{n}_before") for n in moment])
+    found = found.join(daily, ["channel_id", "day"]).select(*[F.coalesce(n, f"{n}_before").alias(n) for n in moment]).filter("last_alarm IS NOT NULL")
     recovered = F.col("last_normal") > F.col("last_alarm")
     return found.agg(F.count("*").alias("starts"), F.count_if(recovered).alias("recovered"), F.try_divide(F.count_if(recovered), F.count("*")).alias("share"))

@@ -149,22 +149,31 @@ class Calibration:
         return scored.withColumn(out, interpolated(F.col(self.score).cast("double")))
 
 
-def grid_search_time(train: DataFrame, inner: DataFrame, features: list[str], grid: list[dict], label: str = "label") -> tuple[dict, Fitted]:
-    """The grid point of best average precision on the later, inner period."""
+def grid_search_time(train: DataFrame, inner: DataFrame, features: list[str], grid: list[dict], label: str = "label") -> tuple[dict, Fitted, list[float]]:
+    """The grid point of best average precision on the later, inner period (the first of equal ones), what was fitted with
+    it, and the average precision of every point."""
     best: tuple[float, dict, Fitted] | None = None
+    tried = []
     for point in grid:
         fitted = fit_gbt(train, features, label=label, **point)
         ap = ranking_metrics(threshold_curve(fitted.score(inner).withColumn("label", F.col(label)))).first()["average_precision"] or 0.0
+        tried.append(ap)
         if best is None or ap > best[0]:
             best = (ap, point, fitted)
-    return best[1], best[2]
+    return best[1], best[2], tried
 
 
 class MixtureOfExperts:
-    """P(fault) as the sum over fault types of P(type) times P(fault given type); a type with one class is constant."""
+    """P(fault) as the sum over fault types of P(type) times P(fault given type); a type with one class is constant.  Each
+    type is fitted by itself, so more than ``MOST_TYPES`` of them are an error."""
+
+    MOST_TYPES = 64
 
     def __init__(self, df: DataFrame, features: list[str], type_col: str, label: str = "label", **gbt):
-        self.types = [r[0] for r in df.select(type_col).filter(F.col(type_col).isNotNull()).distinct().orderBy(type_col).collect()]
+        kinds = df.select(type_col).filter(F.col(type_col).isNotNull()).distinct().orderBy(type_col)
+        self.types = [r[0] for r in kinds.limit(self.MOST_TYPES + 1).collect()]
+        if len(self.types) > self.MOST_TYPES:
+            raise ValueError(f"{type_col} has more than {self.MOST_TYPES} types")
         codes = F.create_map(*[F.lit(x) for k, t in enumerate(self.types) for x in (t, float(k))])
         rows, names = _filled(df.filter(F.col(type_col).isNotNull()), features, -1.0)
         forest = RandomForestClassifier(featuresCol="_raw", labelCol="_type", numTrees=40, maxDepth=8, seed=1)

@@ -4,8 +4,8 @@ once the watermark has passed it."""
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from datetime import datetime, timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +15,8 @@ from ..functions.time import micros, moment
 from ..operators.episodes import KNOWN, UNKNOWN
 from ..operators.ingest import judged, normalize_quarantine
 
+HOUR = 3_600_000_000
+
 
 def stream_normalize(raw: DataFrame, zone: str = "UTC") -> tuple[DataFrame, DataFrame]:
     """Observations and rejected rows, both streams."""
@@ -28,75 +30,86 @@ def stream_dedupe(obs: DataFrame, cols: list[str] | None = None, delay: str = "1
 
 
 class EpisodeProcessor(StatefulProcessor):
-    """State of a channel: first moment seen, number of episodes, the open episode, rows newer than the watermark."""
+    """State of a channel: first moment seen, number of episodes, the open episode, the timer that is set, and the rows that
+    are newer than the watermark, packed by the hour (twice the microsecond, plus one for an alarm).  Rows are put away piece
+    by piece and taken up an hour at a time."""
+
+    COLUMNS = ["channel_id", "first", "last", "alarm_row_count", "left_boundary", "right_boundary"]
 
     def __init__(self, gap_seconds: float):
-        self.gap = timedelta(seconds=gap_seconds)
+        self.gap = int(gap_seconds * 1e6)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("channel", "first_seen timestamp, episodes long, opened timestamp, last timestamp, n long, known boolean")
-        self.waiting = handle.getListState("waiting", "at timestamp, alarm boolean")
+        self.state = handle.getValueState("channel", "first_seen long, episodes long, opened long, last long, n long, known boolean, wake long")
+        self.waiting = handle.getMapState("waiting", "hour long", "packed binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [(r.at.to_pydatetime(), bool(r.alarm)) for pdf in rows for r in pdf[["at", "alarm"]].itertuples(index=False)]
-        yield from self._advance(key, [*self._held(), *new], timerValues.getCurrentWatermarkInMs())
+        for pdf in rows:
+            new = np.sort(pdf["at_us"].to_numpy(np.int64) * 2 + pdf["alarm"].to_numpy(bool))
+            hour_of = (new >> 1) // HOUR
+            for hour in np.unique(hour_of).tolist():
+                part = new[hour_of == hour]
+                if self.waiting.containsKey((hour,)):
+                    part = np.sort(np.concatenate([self._of_hour(hour), part]))
+                self.waiting.updateValue((hour,), (part.astype("<i8").tobytes(),))
+        yield from self._advance(key, timerValues.getCurrentWatermarkInMs() * 1000, False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._advance(key, self._held(), timerValues.getCurrentWatermarkInMs())
+        yield from self._advance(key, timerValues.getCurrentWatermarkInMs() * 1000, True)
 
-    def _held(self) -> list[tuple[datetime, bool]]:
-        return [(r[0], r[1]) for r in self.waiting.get()] if self.waiting.exists() else []
+    def _of_hour(self, hour: int) -> np.ndarray:
+        return np.frombuffer(bytes(self.waiting.getValue((hour,))[0]), "<i8")
 
-    def _advance(self, key, rows: list[tuple[datetime, bool]], mark_ms: int) -> Iterator[pd.DataFrame]:
-        mark = datetime(1970, 1, 1) + timedelta(milliseconds=max(mark_ms, 0))
-        first, episodes, opened, last, n, known = self.state.get() if self.state.exists() else (None, 0, None, None, 0, False)
+    def _advance(self, key, mark: int, fired: bool) -> Iterator[pd.DataFrame]:
+        first, episodes, opened, last, n, known, wake = self.state.get() if self.state.exists() else (None, 0, None, None, 0, False, None)
         out = []
 
-        def close(right: bool) -> None:
+        def close() -> None:
             nonlocal opened
-            out.append((key[0], opened, last, n, KNOWN if known else UNKNOWN, KNOWN if right else UNKNOWN))
+            out.append((key[0], opened, last, n, KNOWN if known else UNKNOWN, KNOWN))
             opened = None
 
-        rows.sort()
-        ready = [r for r in rows if r[0] <= mark]
-        for at, alarm in ready:
-            first = first or at
-            if opened is not None and at - last > self.gap:
-                close(True)
-            if not alarm:
-                continue
-            if opened is None:
-                known = episodes > 0 or at - first > self.gap
-                opened, last, n, episodes = at, at, 0, episodes + 1
-            last, n = at, n + 1
+        later = None
+        for hour in sorted(k[0] for k in self.waiting.keys()) if self.waiting.exists() else []:
+            held = self._of_hour(hour)
+            cut = int(np.searchsorted(held, mark * 2 + 2))
+            for value in held[:cut].tolist():
+                at = value >> 1
+                first = at if first is None else first
+                if opened is not None and at - last > self.gap:
+                    close()
+                if value & 1:
+                    if opened is None:
+                        known = episodes > 0 or at - first > self.gap
+                        opened, last, n, episodes = at, at, 0, episodes + 1
+                    last, n = at, n + 1
+            if cut == len(held):
+                self.waiting.removeKey((hour,))
+            else:
+                self.waiting.updateValue((hour,), (held[cut:].tobytes(),))
+                later = int(held[cut] >> 1)
+                break
         if opened is not None and mark - last > self.gap:
-            close(True)
-        later = rows[len(ready) :]
-        self.waiting.put(later) if later else self.waiting.clear()
-        if first is not None:
-            self.state.update((first, episodes, opened, last, n, known))
-        wake = []
-        if opened is not None:
-            wake.append(last + self.gap)
-        if later:
-            wake.append(later[0][0])
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        if wake:
-            self.handle.registerTimer(int((min(wake) - datetime(1970, 1, 1)).total_seconds() * 1000) + 1)
+            close()
+        due = [x for x in (None if opened is None else last + self.gap, later) if x is not None]
+        due_ms = min(due) // 1000 + 1 if due else None
+        if due_ms != wake or fired:
+            if wake is not None and not fired:
+                self.handle.deleteTimer(wake)
+            if due_ms is not None:
+                self.handle.registerTimer(due_ms)
+        self.state.update((first, episodes, opened, last, n, known, due_ms))
         if out:
-            yield pd.DataFrame(out, columns=["channel_id", "first_alarm_at", "last_alarm_at", "alarm_row_count", "left_boundary", "right_boundary"])
-
-
-EPISODE = "channel_id string, first_alarm_at timestamp, last_alarm_at timestamp, alarm_row_count long, left_boundary string, right_boundary string"
+            yield pd.DataFrame(out, columns=self.COLUMNS)
 
 
 def stream_episodes(obs: DataFrame, gap_seconds: float = 900, delay: str = "1 hour") -> DataFrame:
     """Closed episodes, once the watermark has passed their last alarm by the gap; rows later than the watermark are
     dropped.  Needs the RocksDB state store provider."""
-    rows = obs.select("channel_id", F.col("occurred_at").cast("timestamp").alias("at"), F.col("is_alarm").alias("alarm")).withWatermark("at", delay)
-    return rows.groupBy("channel_id").transformWithStateInPandas(EpisodeProcessor(gap_seconds), EPISODE, "Append", "EventTime")
+    rows = obs.select("channel_id", F.col("occurred_at").cast("timestamp").alias("at"), micros(F.col("occurred_at")).alias("at_us"), F.coalesce("is_alarm", F.lit(False)).alias("alarm")).withWatermark("at", delay)
+    found = rows.groupBy("channel_id").transformWithStateInPandas(EpisodeProcessor(gap_seconds), "channel_id string, first long, last long, alarm_row_count long, left_boundary string, right_boundary string", "Append", "EventTime")
+    return found.select("channel_id", moment(F.col("first")).alias("first_alarm_at"), moment(F.col("last")).alias("last_alarm_at"), "alarm_row_count", "left_boundary", "right_boundary")
 
 
 def stream_session_episodes(obs: DataFrame, gap_seconds: float = 900, delay: str = "1 hour") -> DataFrame:

@@ -221,7 +221,7 @@ def test_models_score_what_they_were_taught(spark):
         scored = fitted.score(df)
         assert scored.columns == [*df.columns, "score"]
         assert metrics.ranking_metrics(metrics.threshold_curve(scored)).first().roc_auc > 0.9
-    point, _ = models.grid_search_time(df.filter("id < 400"), df.filter("id >= 400"), ["a", "b"], [{"trees": 1, "depth": 1, "least": 500}, {"trees": 5, "depth": 3}])
+    point, _, tried = models.grid_search_time(df.filter("id < 400"), df.filter("id >= 400"), ["a", "b"], [{"trees": 1, "depth": 1, "least": 500}, {"trees": 5, "depth": 3}])
     assert point["trees"] == 5
     report = models.multiclass_report(df.withColumn("prediction", F.lit(1)))
     assert {r["class"]: round(r.recall, 3) for r in report.collect()} == {0: 0.0, 1: 1.0}
@@ -252,7 +252,8 @@ def test_categories_and_grid(spark):
     df = spark.createDataFrame(rows, "id long, x double, noise double, label int")
     train, inner = df.filter("id % 3 > 0"), df.filter("id % 3 = 0")
     grid = [{"trees": 1, "depth": 1}, {"trees": 5, "depth": 4, "least": 1}]
-    best, fitted = models.grid_search_time(train, inner, ["x", "noise"], grid)
+    best, fitted, tried = models.grid_search_time(train, inner, ["x", "noise"], grid)
+    assert len(tried) == 2 and grid[tried.index(max(tried))] == best
     assert best == grid[1] and all((r.score > 0.5) == bool(r.label) for r in fitted.score(inner).collect())
 
 
@@ -423,3 +424,36 @@ def test_trees_grow_leaf_by_leaf(spark):
     one_class = boosting.fit_gbt(df.filter("label = 1"), ["x", "z"], trees=2, leaves=4, least=5)
     assert all(r.score > 0.99 for r in one_class.score(df).collect())
     assert boosting.fit_gbt(df.limit(0), ["x", "z"], trees=2).score(df).count() == 240
+
+
+def test_types_of_a_mixture_are_bounded(spark):
+    df = spark.range(70).select(F.col("id").cast("string").alias("kind"), F.lit(1.0).alias("x"), (F.col("id") % 2).alias("label"))
+    with pytest.raises(ValueError, match="more than 64"):
+        models.MixtureOfExperts(df, ["x"], "kind")
+
+
+def test_incidents_and_recoveries_across_midnights(spark):
+    """Chains of starts that run over midnight, and what came before a start days ago, against plain loops."""
+    rng = random.Random(13)
+    rows = [(rng.choice("abcd"), at(60 * rng.randrange(6 * 1440)), rng.random() < 0.4) for _ in range(900)]
+    obs = observations(spark, rows)
+    eps = episodes.build_episodes(obs, 600)
+    directory = spark.createDataFrame([("a", "A"), ("b", "A"), ("c", "C")], "channel_id string, object_id string")
+    of = {"a": "A", "b": "A", "c": "C", "d": "unknown"}
+    starts = brute_episodes(rows, 600)
+    want = []
+    for o in ("A", "C", "unknown"):
+        groups = []
+        for t in sorted(e[1] for e in starts if of[e[0]] == o):
+            if groups and (t - groups[-1][-1]).total_seconds() <= 10800:
+                groups[-1].append(t)
+            else:
+                groups.append([t])
+        want += [(o, g[0], g[-1], len(g)) for g in groups]
+    got = episodes.incidents(eps, directory, 180).collect()
+    assert sorted((r.object_id, r.started_at, r.ended_at, r["size"]) for r in got) == sorted(want)
+    assert any(r.started_at.date() != r.ended_at.date() for r in got)
+    told = [(c, s, max((t for x, t, a in rows if x == c and a and t < s), default=None), max((t for x, t, a in rows if x == c and not a and t < s), default=None)) for c, s, *_ in starts]
+    told = [(alarm, normal) for *_, alarm, normal in told if alarm is not None]
+    found = episodes.recovery_stats(obs, eps).first()
+    assert (found.starts, found.recovered) == (len(told), sum(normal is not None and normal > alarm for alarm, normal in told))

@@ -25,6 +25,11 @@ def test_fitted_scores(spark, name):
     """One score for each held-out row, from 0 to 1."""
     rows = registry.QUERIES[name](spark, SF).toPandas()
     score = rows[[c for c in ("probability", "mixed", "score") if c in rows][0]]
+    if name == "grid_search_time":
+        from alarmlens.plans import files
+
+        chosen = {k: rows[f"chosen_{k}"].unique().tolist() for k in files.GRID[0]}
+        assert len(files.GRID) == 16 and {k: v[0] for k, v in chosen.items()} in files.GRID and rows.inner_average_precision.between(0, 1).all()
     assert len(rows) and not rows.duplicated(["channel_id", "as_of"]).any() and score.between(0, 1).all()
 
 
