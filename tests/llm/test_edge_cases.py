@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from alarmlens.llm import ann, mixing, packing, progressive_jpeg, quality, simhash, substring_dedup, token_counts, toxicity, warc_zip
+from alarmlens.llm import ann, byte_bpe, merkle, mixing, packing, progressive_jpeg, quality, simhash, substring_dedup, token_counts, toxicity, warc_zip
 
 CLASHING = ["_row", "_doc", "id", "text_", "score", "_score", "piece", "length", "size", "list", "query", "bound", "rank", "anchor", "span", "fingerprint", "component_id", "copies", "key", "digest", "n", "largest", "refers_to_"]
 
@@ -23,6 +23,7 @@ OPERATORS = {
     "op2": lambda d: progressive_jpeg.media_features(d), "op3": lambda d: token_counts.count_tokens(d), "op5": lambda d: mixing.mix(d), "op6": lambda d: substring_dedup.dedup_digest(d),
     "op7": lambda d: toxicity.scored(d, toxicity.ToxicityModel(np.zeros(toxicity.CODES**3, np.float32))),
     "op8": lambda d: quality.scored(d, quality.train(np.zeros((0, len(quality.STATISTICS))), np.zeros(0))), "op9": lambda d: simhash.near_duplicates(d),
+    "op11": lambda d: merkle.verified(d.withColumns({"lang": F.lit(None).cast("string"), "n_chars": F.lit(1)}), merkle.disturbed()), "op12": lambda d: byte_bpe.digested(d),
 }
 
 

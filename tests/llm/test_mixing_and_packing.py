@@ -10,6 +10,7 @@ import pytest
 from tokenizers import Tokenizer
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from alarmlens.llm import mixing, packing
 
@@ -64,6 +65,35 @@ def test_mix_meets_targets(spark, tmp_path):
     assert out.columns == docs.columns and out.count() == sum(r.copies for r in got)
 
 
+def test_repeated_rows_are_mixed_alike(spark, tmp_path):
+    """All copies of a row go in or out together, but for the cut of their source; another split gives the same mix."""
+    rows = [(k, " ".join(["w"] * (1 + k % 40)), "ab"[k % 2]) for k in range(300) for _ in range(20)]
+    docs = stored(spark, rows, tmp_path)
+    got = mixing.mix(docs).groupBy("doc_id", "source").agg(F.count_distinct("copies").alias("ways"), F.sum("copies").alias("copies"), F.sum(F.col("copies") * F.col("size")).alias("taken"), F.first("target").alias("target")).collect()
+    ways = defaultdict(list)
+    for r in got:
+        ways[r.source].append(r.ways)
+    assert all(sum(w > 1 for w in x) <= 6 for x in ways.values())
+    for s in "ab":
+        assert sum(r.taken for r in got if r.source == s) >= 0.99 * next(r.target for r in got if r.source == s)
+    other = mixing.mix(docs.repartition(13)).groupBy("doc_id").agg(F.sum("copies").alias("copies")).collect()
+    assert {(r.doc_id, r.copies) for r in other} == {(r.doc_id, r.copies) for r in got}
+
+
+def test_the_walk_is_that_of_many_passes(spark, monkeypatch):
+    """Candidates that are walked at once, and such that are cut by histograms until few are left, give one result."""
+    rng = random.Random(5)
+    rows = [(k, k, "abc"[k % 3], rng.choice([1, 2, 3, 700])) for k in range(1500)]
+    sized = spark.createDataFrame(rows, "_row long, doc_id long, source string, size long")
+    total = {s: sum(r[3] for r in rows if r[2] == s) for s in "abc"}
+    goal = spark.createDataFrame([(s, t, 0.37 * t) for s, t in total.items()], "source string, source_size long, target double")
+    found = []
+    for most in (50_000, 20):
+        monkeypatch.setattr(mixing, "BUCKET_ROWS", most)
+        found.append(sorted((r.doc_id, r.copies) for r in mixing.sample_copies(sized, goal, "doc_id").collect()))
+    assert found[0] == found[1]
+
+
 def test_mix_of_nothing(spark, tmp_path):
     assert mixing.mix(stored(spark, [], tmp_path)).count() == 0
     docs = stored(spark, [(1, None, "a"), (2, "", None)], tmp_path)
@@ -155,6 +185,47 @@ def test_packing_is_tight(spark, case):
     assert used <= best_fit(sizes, 100) * 1.02 + 1
 
 
+def test_sweeps_place_all_but_the_openers(spark, monkeypatch):
+    """Every sequence is opened by one unit; every other unit was matched to it by a sweep; sequences are near the bound."""
+    rng = random.Random(7)
+    sizes = [min(2048, int(rng.lognormvariate(5.5, 1.3)) + 1) for _ in range(3000)]
+    matched, units, sweep, made = set(), [], packing._sweep, packing._units
+
+    def watched(*args):
+        out = sweep(*args)
+        matched.update((r.id, r.mate) for r in out.filter("not is_gap and mate is not null").collect())
+        return out
+
+    def kept(*args):
+        units.append(made(*args))
+        return units[-1]
+
+    monkeypatch.setattr(packing, "_sweep", watched)
+    monkeypatch.setattr(packing, "_units", kept)
+    got = packing.pack(spark.createDataFrame(list(enumerate(sizes)), "id long, size long")).collect()
+    used = check_places([(sizes[r.id], r.sequence_id, r.offset) for r in got], packing.CAPACITY)
+    lead = {r.id: r.lead for r in units[0].collect()}
+    openers = {r.sequence_id for r in got}
+    assert all(lead[r.id] == r.sequence_id or (lead[r.id], r.sequence_id) in matched for r in got)
+    assert len(openers) == used <= 1.01 * (-(-sum(sizes) // packing.CAPACITY)) + 1
+    assert len({x for x, _ in matched}) + used == len(set(lead.values()))
+    total = defaultdict(int)
+    for r in got:
+        total[lead[r.id]] += sizes[r.id]
+    assert all(t <= packing.CAPACITY // 32 or t == sizes[x] for x, t in total.items())
+
+
+@pytest.mark.parametrize(("wanted", "rule"), [(1, (9, 1)), (3, (9, 3)), (4, (5, 1)), (103, (5, 100)), (104, (2, 1)), (999, (0, 0))])
+def test_the_longest_rows(wanted, rule):
+    assert packing.longest({9: 3, 5: 100, 2: 7}, wanted) == rule
+
+
+def test_very_many_of_one_size(spark, monkeypatch):
+    monkeypatch.setattr(packing, "EXACT", 10)
+    got = packing.pack(spark.range(4000).selectExpr("id", "CAST(50 AS long) AS size"), 100).collect()
+    assert check_places([(50, r.sequence_id, r.offset) for r in got], 100) <= 2020
+
+
 def test_documents_are_packed_whole(spark, tmp_path):
     rng = random.Random(3)
     texts = [None, "", "Hello, World 42!", "naïve É ﬁ ǅ İstanbul Σας 中文", "<|endoftext|> x", " ".join(rng.choice(["alpha", "Beta's", "12", "a.b", "é"]) for _ in range(5000))]
