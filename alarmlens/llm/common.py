@@ -87,10 +87,10 @@ def text_chunks(pdf: pd.DataFrame, col: str, most: int = 1 << 21) -> Iterator[pd
     sizes = np.cumsum([len(x) if isinstance(x, str) else 0 for x in pdf[col]])
     cuts = np.unique(np.searchsorted(sizes, np.arange(most, (sizes[-1] if len(sizes) else 0) + most, most)) + 1)
     start = 0
-    for stop in [*cuts.tolist(), len(pdf)]:
+    for stop in np.minimum([*cuts.tolist(), len(pdf)], len(pdf)).tolist():
         if stop > start:
-            yield pdf.iloc[start : min(stop, len(pdf))]
-            start = min(stop, len(pdf))
+            yield pdf.iloc[start:stop]
+            start = stop
 
 
 class BoundedCache(dict):

@@ -10,7 +10,8 @@ import corpus_pipeline
 from alarmlens.llm import merkle, mixing, packing, quality, simhash, substring_dedup, token_counts, toxicity, variants, warc_zip
 
 SF = "/root/testdata/sf0.001"
-LONG = " ".join(random.Random(1).choice(["Prose", "with", "ordinary", "words,", "naïve", "中文", "and", "a", "number:"]) + str(k % 977) for k in range(450_000))
+_RNG = random.Random(1)
+LONG = " ".join(_RNG.choice(["Prose", "with", "ordinary", "words,", "naïve", "中文", "and", "a", "number:"]) + str(k % 977) for k in range(450_000))
 WORDS = LONG.split(" ")
 
 
