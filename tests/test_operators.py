@@ -4,6 +4,7 @@ import math
 import random
 from datetime import datetime, timedelta
 
+import oracle
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from alarmlens.functions import steps
 from alarmlens.functions import text as tx
 from alarmlens.functions import time as tm
 from alarmlens.operators import boosting, episodes, ingest, metrics, models, objects, serving, snapshots, telemetry
+from alarmlens.plans import registry
 from alarmlens.sources import journal
 
 OBS = "event_id string, channel_id string, occurred_at timestamp_ntz, is_alarm boolean, raw_value string"
@@ -292,6 +294,18 @@ def test_missing_days_and_keys(spark):
     assert (found.repeated_channels, found.repeated_facilities, found.missing_facility) == (1, 1, 1)
 
 
+def test_keys_of_all_customers(spark, tmp_path):
+    """A repeated key and a missing nation among customers with a debt."""
+    rows = [(1, 0, 5.0), (2, 1, -5.0), (2, 1, -6.0), (3, 7, -1.0), (4, 8, 1.0)]
+    spark.createDataFrame(rows, "c_custkey long, c_nationkey int, c_acctbal double").coalesce(1).write.parquet(str(tmp_path / "c"))
+    spark.createDataFrame([(0, 0), (1, 1)], "n_nationkey int, n_regionkey int").coalesce(1).write.parquet(str(tmp_path / "n"))
+    for folder, name in (("c", "customer"), ("n", "nation")):
+        next((tmp_path / folder).glob("part-*.parquet")).rename(tmp_path / f"{name}.parquet")
+    found = registry.QUERIES["fk_check"](spark, str(tmp_path))
+    assert found.first().asDict() == {"repeated_channels": 1, "repeated_facilities": 0, "missing_facility": 2}
+    assert oracle.spark_rows(found) == oracle.duck_rows(str(tmp_path), registry.ORACLES["fk_check"])
+
+
 def test_a_hot_channel_is_not_one_task(spark):
     """A channel with a third of all rows: its rows are dealt by day, and only its runs are ordered together."""
     rng = random.Random(8)
