@@ -306,6 +306,30 @@ def test_keys_of_all_customers(spark, tmp_path):
     assert oracle.spark_rows(found) == oracle.duck_rows(str(tmp_path), registry.ORACLES["fk_check"])
 
 
+def test_windows_are_differences_of_running_counts(spark):
+    """Counts and last moments of a brute search, at the very edges too; no frame slides over an object's moments."""
+    rng = random.Random(5)
+    edges = [at(86_400 * 3), at(86_400 * 2), at(86_400 * 2, 1), at(86_400 * 3, 1), at(86_400 * 3 - 1, 999_999)]
+    starts = [("a", x) for x in edges] + [(rng.choice("ab"), at(rng.randrange(-9 * 86_400, 6 * 86_400))) for _ in range(300)] + [(None, at(5)), ("a", None)]
+    asked = [(o, at(86_400 * k)) for o in "abc" for k in range(-8, 6)] + [("a", at(86_400 * 3)), (None, at(60))]
+    left = spark.createDataFrame(asked, "object_id string, as_of timestamp_ntz")
+    right = spark.createDataFrame(starts, "object_id string, occurred_at timestamp_ntz")
+    near = lambda o, t, low, high: sum(k == o and u is not None and low < u - t <= high for k, u in starts)
+    hour = timedelta(hours=1)
+    found = objects.count_in_windows(left, right, "object_id", (24, 72))
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(repr((o, t, near(o, t, -24 * hour, 0 * hour), near(o, t, -72 * hour, 0 * hour))) for o, t in asked)
+    last = objects.asof_previous(left, right, "object_id")
+    assert sorted(map(repr, map(tuple, last.collect()))) == sorted(repr((o, t, max((u for k, u in starts if k == o and u is not None and u <= t), default=None))) for o, t in asked)
+    known, days = right.filter("object_id IS NOT NULL AND occurred_at IS NOT NULL"), left.filter("object_id IS NOT NULL").distinct()
+    rows = objects.rhythm(days, known, 72)
+    us = timedelta(microseconds=1)
+    for r in rows.collect():
+        assert (r.starts_90d, r.same_window_1w) == (near(r.object_id, r.as_of, -90 * 24 * hour, 0 * hour), near(r.object_id, r.as_of, -168 * hour - us, -96 * hour - us))
+    for plan in (found, last, rows):
+        text = plan._jdf.queryExecution().optimizedPlan().toString()
+        assert not [x for x in text.split("windowspecdefinition(") if " _t#" in x.split("ASC")[0] and "unboundedpreceding" not in x]
+
+
 def test_a_hot_channel_is_not_one_task(spark):
     """A channel with a third of all rows: its rows are dealt by day, and only its runs are ordered together."""
     rng = random.Random(8)
