@@ -90,7 +90,15 @@ def stream_risk_scoring(spark, d):
     place = shared_path(spark, "risks")
     no_gaps = spark.createDataFrame([], "start_at timestamp_ntz, end_at timestamp_ntz")
     job = rk.risk_job(directory(spark, d), no_gaps, RISK, -1.0, place, gap_seconds=GAP, long=LONG)
-    twice = lambda batch, epoch: (job(batch, epoch), job(batch, epoch + 1))
+
+    def twice(batch: DataFrame, epoch: int) -> None:
+        batch.persist()
+        try:
+            job(batch, epoch)
+            job(batch, epoch + 1)
+        finally:
+            batch.unpersist()
+
     with rocksdb(spark):
         run_into(rk.stream_features(events_stream(spark, d, 100), GAP, SHORT, LONG), twice)
     return rk.open_risks(spark, place).drop("epoch", "window_day")

@@ -5,6 +5,7 @@ import time
 from datetime import datetime, timedelta, timezone
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -195,3 +196,65 @@ def test_risk_job(spark, tmp_path):
     for how in ({"gaps": gaps(near)}, {"gaps": gaps(far), "since": "2023-12-30 00:00:00"}):
         rk.risk_job(directory, how.pop("gaps"), {"alarm_count_7d": 1.0}, -2.0, f"{path}-refused", gap_seconds=900, long=8, **how)(scored, 0)
         assert rk.open_risks(spark, f"{path}-refused").count() == 0
+
+
+class Kept:
+    """State in memory that counts its calls."""
+
+    def __init__(self):
+        self.calls, self.value, self.map, self.timers = 0, None, {}, set()
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls += 1
+            if name in ("getValueState", "getMapState"):
+                return self
+            if name == "get":
+                return self.value
+            if name == "update":
+                self.value = args[0]
+            if name in ("registerTimer", "deleteTimer"):
+                (self.timers.add if name == "registerTimer" else self.timers.discard)(args[0])
+            if name == "containsKey":
+                return args[0] in self.map
+            if name == "getValue":
+                return self.map[args[0]]
+            if name == "updateValue":
+                self.map[args[0]] = args[1]
+            if name == "removeKey":
+                del self.map[args[0]]
+            return list(self.map) if name == "keys" else None
+
+        return call
+
+
+class Clock:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = lambda: ms
+
+
+@pytest.mark.parametrize("module, make", [(so, lambda: so.EpisodeProcessor(7200)), (rk, lambda: rk.ChannelFeatures(7200, 3, 7))])
+def test_few_calls_for_a_small_channel(monkeypatch, module, make):
+    """What is kept in one piece and what is spread over hours give the same; the first takes a few calls a batch."""
+    rng = random.Random(11)
+    days = [[Row(at_us=1_704_067_200_000_000 + rng.randrange(d * 86_400_000, (d + 2) * 86_400_000) * 1000, alarm=rng.random() < 0.4) for _ in range(60)] for d in range(12)]
+    told, calls = [], []
+    for small in (4096, 100, 7):
+        monkeypatch.setattr(module, "SMALL", small)
+        one, kept, found, mark = make(), Kept(), [], 0
+        one.init(kept)
+        kept.calls = 0
+        for rows in [*days, []]:
+            before = kept.calls
+            if rows:
+                found += list(one.handleInputRows(("a",), iter(rows), Clock(mark)))
+                mark = max(r.at_us for r in rows) // 1000 - 3_600_000
+            else:
+                mark += 10 * 86_400_000
+            for due in sorted(t for t in kept.timers if t <= mark):
+                kept.timers.discard(due)
+                found += list(one.handleExpiredTimer(("a",), Clock(mark), None))
+            calls.append((small, kept.calls - before))
+        told.append(found)
+    assert told[0] and told[0] == told[1] == told[2]
+    assert max(n for small, n in calls if small == 4096) <= 12 < max(n for small, n in calls if small == 7)
