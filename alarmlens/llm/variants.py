@@ -78,7 +78,9 @@ def vocabulary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         held: Counter = Counter()
 
         def told() -> pd.DataFrame:
-            return pd.DataFrame({"word": [w.decode("latin-1") for w in held], "n": np.fromiter(held.values(), np.int64, len(held))})
+            # of type object also when there is none: an empty column of numbers is no column of texts
+            words = pd.Series([w.decode("latin-1") for w in held], dtype=object)
+            return pd.DataFrame({"word": words, "n": np.fromiter(held.values(), np.int64, len(held))})
 
         for pdf in batches:
             for ident, text in zip(pdf["id"], pdf["text"], strict=True):

@@ -276,3 +276,11 @@ def test_chains_of_forms(spark):
     words = {"a" * (5 + k): 3 * 2**k for k in range(20)} | {"zzzzz": 5, "zzzzzz": 9}
     got = variants.grouped(spark.createDataFrame(list(words.items()), "word string, n long"))
     assert sorted(map(tuple, got.collect()), key=str) == grouping_of(words)
+
+
+def test_tasks_without_words(spark):
+    """Parts of the table that hold no word, and a table that holds none."""
+    rows = [(1, "a b c"), (2, None), (3, "planet planet planet"), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4, "doc_id")
+    assert [(r.word, r.n) for r in variants.vocabulary(docs, every=10**12).collect()] == [("planet", 3)]
+    assert variants.vocabulary(docs.filter("doc_id <> 3"), every=10**12).count() == 0
