@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import pickle
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import numpy as np
@@ -34,15 +36,67 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+class _Open(threading.local):
+    """For each ``settled`` that this thread is in: the paths drawn since."""
+
+    def __init__(self):
+        self.drawn: list[list[str]] = []
+
+
+_open = _Open()
+
+
+def _file_system(spark: SparkSession, path: str):
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop_path
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, deleted when the application ends."""
+    """A fresh path in the shared folder, deleted at the end of the ``settled`` that it is drawn in, or when the application
+    ends."""
     path = f"{shared_dir(spark)}/alarmlens/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    files, hadoop_path = _file_system(spark, path)
+    files.deleteOnExit(hadoop_path)
+    if _open.drawn:
+        _open.drawn[-1].append(path)
     return path
 
 
+@contextmanager
+def _without_shuffle_files(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a job go when it ends, not when the driver's garbage is collected."""
+    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(clean, "false")
+    spark.conf.set(clean, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(clean, was)
+
+
+def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` returns, written once; the tables that were written on the way to it are deleted, and shuffle files
+    job by job.
+
+    Nothing else may read these tables: what ``make`` does not return must not leave it."""
+    _open.drawn.append([])
+    try:
+        with _without_shuffle_files(spark):
+            made = make()
+            drawn = _open.drawn.pop()
+            _open.drawn.append([])
+            kept = materialize(made, name)
+    finally:
+        left = _open.drawn.pop()
+        if _open.drawn:
+            _open.drawn[-1] += left
+    for path in drawn:
+        files, hadoop_path = _file_system(spark, path)
+        files.delete(hadoop_path, True)
+        files.cancelDeleteOnExit(hadoop_path)
+    return kept
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
@@ -53,14 +107,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def append(df: DataFrame, path: str) -> None:
     """Add rows to the Parquet table at ``path``.  The shuffle files of the job are given back when it ends."""
-    spark = df.sparkSession
-    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    was = spark.conf.get(clean, "false")
-    spark.conf.set(clean, "true")
-    try:
+    with _without_shuffle_files(df.sparkSession):
         df.write.mode("append").option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(clean, was)
 
 
 def numbered(df: DataFrame, name: str, col: str = "_row") -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, boxed, materialize, numbered
+from .common import WORD, boxed, materialize, numbered, settled
 
 #: Bits of a rank and of what tells equal ranks apart; bits that one histogram looks at.
 RANK_BITS, TIE_BITS, STEP = 36, 12, 12
@@ -179,7 +179,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most_copies: float = 2.0, seed: int = 17) -> DataFrame:
     """The documents of the mix: each as often as it is taken."""
     keyed = numbered(boxed(docs), "documents")
-    sized = materialize(keyed.select(*_sized("_doc.", id_col, text_col, source_col), "_row"), "sizes")
-    copies = _mixed_sizes(sized, weights, share, most_copies, seed).filter("copies > 0").select("_row", F.col("copies").alias("_copies"))
-    rows = keyed.join(copies, "_row")
+
+    def taken() -> DataFrame:
+        sized = materialize(keyed.select(*_sized("_doc.", id_col, text_col, source_col), "_row"), "sizes")
+        return _mixed_sizes(sized, weights, share, most_copies, seed).filter("copies > 0").select("_row", F.col("copies").alias("_copies"))
+
+    rows = keyed.join(settled(docs.sparkSession, "copies", taken), "_row")
     return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_doc.*")

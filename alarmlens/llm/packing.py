@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, append, as_bytes, materialize, numbered, scratch_path
+from .common import BoundedCache, append, as_bytes, materialize, numbered, scratch_path, settled
 
 CAPACITY = 2048
 #: So many rows of one size are picked by their ids.
@@ -223,5 +223,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rows_per_bucket: int = 500
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
     """Tokenise and pack: id, piece, start, length, ids_crc32, sequence_id, offset."""
     pieces = numbered(tokenized_pieces(docs, id_col, text_col, capacity, tokenizer), "pieces", "_piece")
-    places = pack(pieces.select(F.col("_piece").alias("id"), F.col("length").alias("size")), capacity).withColumnRenamed("id", "_piece")
+    sized = pieces.select(F.col("_piece").alias("id"), F.col("length").alias("size"))
+    places = settled(docs.sparkSession, "places", lambda: pack(sized, capacity)).withColumnRenamed("id", "_piece")
     return pieces.join(places, "_piece").select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, boxed, materialize, numbered
+from .common import as_bytes, boxed, materialize, numbered, settled
 
 BITS, BLOCK, BUDGET = 64, 16, 3
 SEED = 42
@@ -264,8 +264,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _classes(marked: DataFrame, id_col: str) -> DataFrame:
+    spark = marked.sparkSession
     distinct = materialize(marked.groupBy("fingerprint").agg(F.min(id_col).alias("least")), "distinct-fingerprints")
-    roots = components(link_edges(distinct))
+    edges = settled(spark, "edges", lambda: link_edges(distinct))
+    roots = settled(spark, "roots", lambda: components(edges))
     rooted = materialize(distinct.join(roots, distinct.fingerprint == roots.node, "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root")), "rooted")
     named = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "named")
     classes = rooted.join(named, "root").select("fingerprint", "component_id")
@@ -276,7 +278,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """``docs`` without near-duplicates: the row with the least id (then the first stored) of each component stays."""
     keyed = numbered(boxed(docs), "documents")
     marked = fingerprints(keyed.select("_row", F.col(f"_doc.`{id_col}`").alias("id"), F.col(f"_doc.`{text_col}`").alias("text")), "text", shingle)
-    found = materialize(_classes(materialize(marked.select("_row", "id", "fingerprint"), "fingerprints"), "id"), "classes")
+    found = settled(docs.sparkSession, "classes", lambda: _classes(materialize(marked.select("_row", "id", "fingerprint"), "fingerprints"), "id"))
     first = found.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", F.col("_row").alias("r")))["r"].alias("_row"))
     dropped = found.select("_row").join(first.select("_row"), "_row", "left_anti")
     return keyed.join(dropped, "_row", "left_anti").select("_doc.*")

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, as_bytes, boxed, materialize, numbered, text_chunks
+from .common import BoundedCache, as_bytes, boxed, materialize, numbered, settled, text_chunks
 
 WINDOW = 35
 BASE = 0x9E3779B97F4A7C15
@@ -146,7 +146,7 @@ def repeated_windows(keyed: DataFrame, text: Column, window: int = WINDOW) -> Da
     first and last window start (word places) of stretches of repeated windows."""
     texts = keyed.select("_row", text.alias("text"))
     shape = "_row long, span long, anchor long, segment long"
-    settled: list[DataFrame] = []
+    repeats: list[DataFrame] = []
     survivors = None
     for n in level_lengths(window):
         rows = texts if survivors is None else texts.join(survivors.groupBy("_row").agg(F.collect_list("span").alias("spans")), "_row")
@@ -162,7 +162,7 @@ def repeated_windows(keyed: DataFrame, text: Column, window: int = WINDOW) -> Da
         counted = level.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("segment") == F.max("segment")).alias("alike"))
         counted = materialize(counted.filter("n > 1").select("anchor", "alike"), f"repeated-{n}")
         level = materialize(level.join(counted, "anchor").select("_row", "span", "anchor", "alike"), f"candidates-{n}")
-        settled.append(level.filter("alike").select("_row", F.shiftright("span", 32).alias("first"), (F.shiftright("span", 32) + F.col("span").bitwiseAND(0xFFFFFFFF)).alias("last")))
+        repeats.append(level.filter("alike").select("_row", F.shiftright("span", 32).alias("first"), (F.shiftright("span", 32) + F.col("span").bitwiseAND(0xFFFFFFFF)).alias("last")))
         survivors = level.filter("not alike").select("_row", "span", "anchor")
         if survivors.isEmpty():
             break
@@ -184,9 +184,8 @@ def repeated_windows(keyed: DataFrame, text: Column, window: int = WINDOW) -> Da
         wanted = survivors.groupBy("_row").agg(F.collect_list(F.struct("span", "anchor")).alias("spans"))
         whole = materialize(texts.join(wanted, "_row").mapInPandas(extend, "_row long, anchor long, hash long, place long"), "windows")
         twice = materialize(whole.groupBy("anchor", "hash").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", "hash"), "repeated-windows")
-        settled.append(whole.join(twice, ["anchor", "hash"], "left_semi").select("_row", F.col("place").alias("first"), F.col("place").alias("last")))
-    found = reduce(DataFrame.unionByName, settled).groupBy("_row").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    return materialize(found, "runs")
+        repeats.append(whole.join(twice, ["anchor", "hash"], "left_semi").select("_row", F.col("place").alias("first"), F.col("place").alias("last")))
+    return reduce(DataFrame.unionByName, repeats).groupBy("_row").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
 
 
 def _kept(texts: pd.Series, runs: pd.Series, window: int) -> Iterator[tuple[list[bytes], list[bytes]]]:
@@ -206,7 +205,7 @@ def _kept(texts: pd.Series, runs: pd.Series, window: int) -> Iterator[tuple[list
 def dedup_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """Per document: id, n_words, n_removed, kept_sha256."""
     keyed = numbered(docs.select(F.col(id_col), F.col(text_col)), "texts")
-    runs = repeated_windows(keyed, F.col(text_col), window)
+    runs = settled(docs.sparkSession, "runs", lambda: repeated_windows(keyed, F.col(text_col), window))
 
     @F.pandas_udf("n_words long, n_removed long, kept_sha256 string")
     def digest(texts: pd.Series, found: pd.Series) -> pd.DataFrame:
@@ -221,7 +220,7 @@ def without_repeats(docs: DataFrame, text_col: str = "text", window: int = WINDO
     stays as it is, null too).  ``n_chars``, if there, follows the new text."""
     keyed = numbered(boxed(docs), "texts")
     text = F.col(f"_doc.`{text_col}`")
-    runs = repeated_windows(keyed, text, window)
+    runs = settled(docs.sparkSession, "runs", lambda: repeated_windows(keyed, text, window))
 
     @F.pandas_udf("string")
     def cleaned(texts: pd.Series, found: pd.Series) -> pd.Series:
