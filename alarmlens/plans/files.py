@@ -119,7 +119,7 @@ def qualify_and_choose(spark, d):
 
 @query()
 def fit_categorical_gbt(spark, d):
-    train, test = ((x.join(directory(spark, d), "channel_id", "left")) for x in model_rows(spark, d))
+    train, test = ((x.join(directory(spark, d).hint("merge"), "channel_id", "left")) for x in model_rows(spark, d))
     fitted = fitted_on(train, lambda rows: ml.CategoricalFitted(rows, FEATURES, ["sensor_type"], trees=5, depth=4))
     return fitted.score(test).select("channel_id", "as_of", "label", "score")
 

@@ -495,3 +495,12 @@ def test_incidents_and_recoveries_across_midnights(spark):
     told = [(alarm, normal) for *_, alarm, normal in told if alarm is not None]
     found = episodes.recovery_stats(obs, eps).first()
     assert (found.starts, found.recovered) == (len(told), sum(normal is not None and normal > alarm for alarm, normal in told))
+
+
+def test_growing_sides_are_not_broadcast(spark):
+    """Channels and their days are joined by shuffles, however small their compressed files are."""
+    from alarmlens.plans import core
+
+    plan = core.scored(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "channel_id" in line]
+    assert len(joins) >= 3 and all("SortMergeJoin" in line for line in joins), plan
