@@ -2,9 +2,10 @@
 
 Pieces and gaps (the free ends of open sequences) are sorted by size.  One sweep finds for every gap the largest piece
 that fits and no other gap has a better claim to: walking the sizes upwards, a piece steps one level up and a gap one
-level down, and a gap takes the piece whose level it closes.  Levels are ranks: a histogram by size gives each class its
-first level, and a row's rank within its class the rest, so the sweep is grouped counts and one window over each level
-(at most two rows of a size meet in a level, so no window exceeds twice the capacity).  Gaps shrink by what they took
+level down, and a gap takes the piece whose level it closes.  Levels are ranks: the histogram by size, which the driver has,
+gives each class its first level, and a row's rank within its class (dealt into buckets where it is large) the rest, so a
+sweep is one window over each class and one over each level (at most two rows of a size meet in a level, so no window
+exceeds twice the capacity): two shuffles.  Gaps shrink by what they took
 and the next round starts.
 
 Before a round as many sequences are opened as the sum of what waits asks for beyond the gaps there are, one for each of the
@@ -31,6 +32,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -125,22 +127,34 @@ def tokenized_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return found
 
 
-def _sweep(rows: DataFrame, capacity: int, buckets: int) -> DataFrame:
-    """``rows``: (id, size, is_gap).  Adds ``mate``, ``mate_size``: of a piece the gap that takes it and that gap's
-    size, of a gap the piece that it takes and that piece's length."""
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)))
+def _classes(sizes: dict[int, int], free: dict[int, int], rows_per_bucket: int) -> list[tuple[int, bool, int, int]]:
+    """(size, is_gap, base, buckets) of each class, ``sizes`` being the pieces and ``free`` the gaps (size: rows): the level
+    that its rows start from, and into how many parts they are dealt.  Two classes a size at most."""
+    found, level = [], 0
+    for size, is_gap in sorted([(x, False) for x in sizes] + [(x, True) for x in free]):
+        n = (free if is_gap else sizes)[size]
+        found.append((size, is_gap, level, -(-n // rows_per_bucket)))
+        level += -n if is_gap else n
+    return found
+
+
+def _sweep(rows: DataFrame, classes: list[tuple[int, bool, int, int]]) -> DataFrame:
+    """``rows``: (id, size, is_gap), ``classes``: theirs.  Adds ``mate``, ``mate_size``: of a piece the gap that takes it and
+    that gap's size, of a gap the piece that it takes and that piece's length."""
     of_class = ["size", "is_gap"]
-    ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy(*of_class, "bucket").orderBy("id")))
-    counts = ranked.groupBy(*of_class, "bucket").agg(F.max("rank").cast("long").alias("n"))
-    before = W.partitionBy(*of_class).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    counts = counts.withColumn("in_class", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    # at most two classes for each size, so this one window is bounded by the capacity
-    classes = counts.groupBy(*of_class).agg(F.sum(F.when(F.col("is_gap"), -F.col("n")).otherwise(F.col("n"))).alias("step"))
-    classes = classes.withColumn("base", F.coalesce(F.sum("step").over(W.orderBy("size", "is_gap").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    first = counts.join(classes, of_class).select(*of_class, "bucket", "base", "in_class")
-    rank = F.col("rank") + F.col("in_class")
-    level = F.when(F.col("is_gap"), F.col("base") - rank + 1).otherwise(F.col("base") + rank)
-    levelled = ranked.join(first, [*of_class, "bucket"]).select("id", "size", "is_gap", level.alias("level"))
+    columns = zip(*classes, strict=True) if classes else [[]] * 4
+    kinds = (("size", pa.int64()), ("is_gap", pa.bool_()), ("base", pa.int64()), ("buckets", pa.int64()))
+    told = rows.sparkSession.createDataFrame(pa.table({name: pa.array(x, kind) for (name, kind), x in zip(kinds, columns, strict=True)}))
+    rows = rows.join(F.broadcast(told), of_class).withColumn("bucket", F.pmod(F.xxhash64("id"), F.col("buckets")))
+    rank = F.row_number().over(W.partitionBy(*of_class, "bucket").orderBy("id"))
+    ranked = rows.withColumn("rank", rank.cast("long"))
+    if any(buckets > 1 for *_, buckets in classes):  # else a class is one bucket, and ranks in it are ranks in the class
+        counts = ranked.filter("buckets > 1").groupBy(*of_class, "bucket").agg(F.max("rank").alias("n"))
+        before = W.partitionBy(*of_class).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+        first = counts.select(*of_class, "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("in_class"))
+        ranked = ranked.join(first, [*of_class, "bucket"], "left").withColumn("rank", F.col("rank") + F.coalesce("in_class", F.lit(0)))
+    level = F.when(F.col("is_gap"), F.col("base") - F.col("rank") + 1).otherwise(F.col("base") + F.col("rank"))
+    levelled = ranked.select("id", "size", "is_gap", level.alias("level"))
     across = W.partitionBy("level").orderBy("size", "is_gap")
     after, prior = (f(F.struct("id", "size", "is_gap"), 1).over(across) for f in (F.lead, F.lag))
     swept = levelled.select("id", "size", "is_gap", after.alias("after"), prior.alias("prior"))
@@ -169,17 +183,20 @@ def longest(sizes: dict[int, int], wanted: int) -> tuple[int, int]:
     return 0, 0
 
 
-def _openers(left: DataFrame, sizes: dict[int, int], wanted: int) -> Column:
-    """Which rows of ``left`` are the ``wanted`` longest, or a few less where very many of one size are as good."""
+def _openers(left: DataFrame, sizes: dict[int, int], wanted: int) -> tuple[Column, dict[int, int]]:
+    """Which rows of ``left`` are the ``wanted`` longest, or a few less where very many of one size are as good; and how many
+    they are of each size."""
     size, n = longest(sizes, wanted)
+    opened = {s: m for s, m in sizes.items() if s > size or s == size and m == n}
     if n == sizes.get(size, 0):
-        return F.col("size") >= size
+        return F.col("size") >= size, opened
     same = left.filter(F.col("size") == size)
     if n <= EXACT:
         some = F.col("id") <= same.orderBy("id").limit(n).agg(F.max("id")).first()[0]
     else:
         some = F.pmod(F.xxhash64(F.lit(wanted), "id"), F.lit(1 << 30)) < int((n - 2 * n**0.5) / sizes[size] * (1 << 30))
-    return (F.col("size") > size) | ((F.col("size") == size) & some)
+        n = same.filter(some).count()
+    return (F.col("size") > size) | ((F.col("size") == size) & some), opened | ({size: n} if n else {})
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, rows_per_bucket: int = 500_000) -> DataFrame:
@@ -199,13 +216,19 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rows_per_bucket: int = 500
         room = sum(size * n for size, n in free.items() if size >= min(sizes)) if found or not free else 0
         wanted = max(large, -(-(weight - room) // capacity))
         if wanted > 0:
-            opens = _openers(left, sizes, wanted)
+            opens, many = _openers(left, sizes, wanted)
             opened = left.filter(opens)
             append(opened.select("id", F.col("id").alias("sequence_id"), F.lit(0).cast("long").alias("offset")), path)
             gaps = gaps.unionByName(opened.select("id", (F.lit(capacity) - F.col("size")).alias("size")).filter("size > 0"))
             left = left.filter(~opens)
-        fit = gaps.filter(F.col("size") >= min(sizes))
-        swept = materialize(_sweep(left.withColumn("is_gap", F.lit(False)).unionByName(fit.withColumn("is_gap", F.lit(True))), capacity, buckets), "sweep")
+            for size, n in many.items():
+                free[capacity - size] = free.get(capacity - size, 0) + n
+            sizes = {size: n - many.get(size, 0) for size, n in sizes.items() if n > many.get(size, 0)}
+            if not sizes:
+                break
+        fit, free = gaps.filter(F.col("size") >= min(sizes)), {size: n for size, n in free.items() if size >= min(sizes)}
+        both = left.withColumn("is_gap", F.lit(False)).unionByName(fit.withColumn("is_gap", F.lit(True)))
+        swept = materialize(_sweep(both, _classes(sizes, free, rows_per_bucket)), "sweep")
         got = swept.filter("not is_gap and mate is not null")
         append(got.select("id", F.col("mate").alias("sequence_id"), (F.lit(capacity) - F.col("mate_size")).cast("long").alias("offset")), path)
         left = swept.filter("not is_gap and mate is null").select("id", "size")

@@ -226,6 +226,32 @@ def test_very_many_of_one_size(spark, monkeypatch):
     assert check_places([(50, r.sequence_id, r.offset) for r in got], 100) <= 2020
 
 
+def test_a_sweep_shuffles_twice(spark, monkeypatch):
+    """Levels of classes come from the histogram, so that a round is few tasks for the driver to keep."""
+    plans, sweep = [], packing._sweep
+
+    def watched(*args):
+        out = sweep(*args)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(packing, "_sweep", watched)
+    sizes = [70, 30, 20, 45, 45, 10] * 20
+    got = packing.pack(spark.createDataFrame(list(enumerate(sizes)), "id long, size long"), 100).collect()
+    check_places([(sizes[r.id], r.sequence_id, r.offset) for r in got], 100)
+    assert plans and all(p.count("Exchange hashpartitioning") == 2 and "SinglePartition" not in p for p in plans)
+
+
+@pytest.mark.parametrize("most", [7, 40])
+def test_classes_in_buckets(spark, most):
+    """Classes of more rows than a bucket holds are dealt, and ranked as one."""
+    rng = random.Random(5)
+    sizes = [rng.choice([60, 40, 35, 25, 5]) for _ in range(600)]
+    got = packing.pack(spark.createDataFrame(list(enumerate(sizes)), "id long, size long"), 100, most).collect()
+    assert sorted(r.id for r in got) == list(range(len(sizes)))
+    assert check_places([(sizes[r.id], r.sequence_id, r.offset) for r in got], 100) <= best_fit(sizes, 100) * 1.02 + 1
+
+
 def test_documents_are_packed_whole(spark, tmp_path):
     rng = random.Random(3)
     texts = [None, "", "Hello, World 42!", "naïve É ﬁ ǅ İstanbul Σας 中文", "<|endoftext|> x", " ".join(rng.choice(["alpha", "Beta's", "12", "a.b", "é"]) for _ in range(5000))]
