@@ -33,6 +33,14 @@ def test_fitted_scores(spark, name):
     assert len(rows) and not rows.duplicated(["channel_id", "as_of"]).any() and score.between(0, 1).all()
 
 
+def test_snapshots_are_built_once_for_a_fit(spark):
+    """Rows to fit and rows to score are read from one table; neither builds the snapshots again."""
+    from alarmlens.plans.evaluation import model_rows
+
+    plans = [x._jdf.queryExecution().executedPlan().toString() for x in model_rows(spark, SF)]
+    assert all("Exchange" not in p and "Window" not in p and "model-rows" in p for p in plans)
+
+
 def test_samples_are_full(spark):
     """The sizes that were asked for, from every stratum that has as many."""
     kinds = {r.stratum: r["count"] for r in registry.QUERIES["stratified_sample"](spark, "/root/testdata/sf0.01").groupBy("stratum").count().collect()}
